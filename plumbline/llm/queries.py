@@ -5,13 +5,33 @@ Each reads whole tables; the digest columns that its contract names are derived
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
-from .common import table
+from . import bpe, gif, token_counts, warc
+from .common import shared_dir, table
+
+
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    out = gif.with_frames(gif.to_gif(docs).select("doc_id", "n_bytes", "media"))
+    payload = F.reduce("frames", F.lit(b""), lambda a, f: F.concat(a, f["samples"]))
+    greys = F.reduce("frames", F.array_repeat(F.lit(0).cast("long"), 16), lambda a, f: F.zip_with(a, f["greys"], lambda x, y: x + y))
+    out = out.select("doc_id", "n_bytes", payload.alias("payload"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.array_join(greys, ",").alias("feature"), F.size("frames").cast("long").alias("n_frames"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "n_frames",
+    )
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +44,35 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    out = warc.stored_digest(warc.read_warc(spark, path))
+    size = F.coalesce(F.octet_length("payload"), F.col("payload_bytes")).cast("long")
+    return out.select("page_id", size.alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_gif": op5_gif,
     "op7_bpe": op7_bpe,
+    "op8_warc": op8_warc,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), q AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first_id < page_id THEN first_id END AS refers_to
+        FROM q
+    """,
+}
