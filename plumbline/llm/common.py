@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset (local tests only)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext.getCheckpointDir()
     if found:
+        if held is None:
+            spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
     if held is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -47,6 +49,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser over 64 bits (splitmix)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
