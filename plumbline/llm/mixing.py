@@ -10,8 +10,8 @@ independently would let the words taken scatter; pivotal rounding keeps their su
 
 Units of a source are dealt to blocks of about ``BLOCK`` by hash. Each block is folded pair by pair; at most one unit
 stays fractional, and those residuals are dealt to blocks again: a reduction tree whose depth is the logarithm of the
-largest source. Only the last residual of a source is rounded by itself, so a source's words miss the target by less
-than its largest document. All draws are hashes of a seed and the units, so reruns agree however rows are partitioned.
+largest source. Only the last residual of a source is rounded by itself, to the nearer side, so a source's words miss
+the target by at most half its largest document. All draws are hashes of a seed and the units, so reruns agree however rows are partitioned.
 
 Rows that repeat id, source and size are one unit with their number as multiplicity, so copies never pile up in one
 block; its copies are dealt evenly to its rows. Null sources are one source, the last in order; null texts have size 0,
@@ -105,7 +105,7 @@ def rounded(units: DataFrame, *, block: int = BLOCK, seed: int = SEED) -> DataFr
         out = decided if out is None else out.unionByName(decided)
         left = folded.where("f.left is not null").select("source", F.col("f.left.key").alias("key"), F.col("f.left.size").alias("size"), F.col("f.left.p").alias("p"), F.ceil(F.col("n") / block).alias("n"))
         if last:
-            alone = left.select("key", (_uniform(F.lit(seed), F.lit("last"), F.col("key")) < F.col("p")).cast("int").alias("more"))
+            alone = left.select("key", (F.col("p") >= 0.5).cast("int").alias("more"))
             return out.unionByName(alone)
         here, largest, level = left, -(-largest // block), level + 1
 

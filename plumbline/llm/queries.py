@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gif, mixing, token_counts, warc
-from .common import shared_dir, table
+from . import bpe, chat, gif, mixing, quality, token_counts, warc
+from .common import crc_mod, shared_dir, table
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    out = quality.score(docs, weights)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     out = gif.with_frames(gif.to_gif(docs).select("doc_id", "n_bytes", "media"))
@@ -70,6 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
+    "op3_quality": op3_quality,
     "op5_gif": op5_gif,
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
