@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gif, mixing, quality, token_counts, warc
+from . import bpe, chat, gif, lm, mixing, quality, token_counts, warc
 from .common import crc_mod, shared_dir, table
 
 
@@ -30,6 +30,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = crc_mod("doc_id", 7)
+    fold = F.when(rest == 2, lm.SCORED).when(rest == 3, lm.DELETED).otherwise(lm.TRAINED)
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold=fold)
+
+
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     out = gif.with_frames(gif.to_gif(docs).select("doc_id", "n_bytes", "media"))
@@ -78,6 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
+    "op4_lm": op4_lm,
     "op5_gif": op5_gif,
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
