@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, gif, lm, mixing, quality, token_counts, warc
+from . import ann, bpe, chat, gif, jaccard, lm, mixing, quality, token_counts, warc
 from .common import crc_mod, shared_dir, table
 
 
@@ -59,6 +59,10 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_lm": op4_lm,
     "op5_gif": op5_gif,
+    "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
