@@ -10,8 +10,9 @@ The join is exact. Sets are those of distinct ``width``-word shingles (64-bit ha
 4. Round one: in each prefix shingle's bucket, every class meets the bucket's first one. These pairs, as many as
    entries at most, are verified and linked; connected components follow.
 5. Round two: in buckets that still hold different components, all pairs across components go through the length,
-   positional and suffix filters inside the task that holds the bucket. The suffix filter compares counts of shingles by hash class: they differ by no more than
-   the sets do. What passes, a pair each, is verified once on the sets themselves; then the components are final.
+   positional and suffix filters inside the task that holds the bucket. The suffix filter compares counts of shingles by
+   hash class: they differ by no more than the sets do. What passes, a pair each, is verified once on the sets
+   themselves; then the components are final.
 
 So a group of thousands of near copies costs a filter of its unlinked pairs in place, but never rows for all pairs.
 
@@ -35,7 +36,7 @@ from .common import combine, mix, stored, text_slices, word_hashes
 from .components import components
 from .lm import from_planes, planes
 
-WIDTH, THRESHOLD = 3, 90  # words, per cent
+WIDTH, THRESHOLD = 5, 80  # words, per cent
 SKETCH = 1 << 18
 CLASSES = 1024  # hash classes of the suffix filter
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -399,6 +400,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     active = stored(active_classes(prefix_entries(texts, width, t, ranges, sketch), t), "jaccard-active")
     n_active = active.count()
     classes = rows.where("n > 0").groupBy("f", "g").agg(F.min("id").alias("first_id"))
+
     @F.arrow_udf("long")
     def cls(f: pa.Array, g: pa.Array) -> pa.Array:
         return pa.array(class_id(f.to_numpy(), g.to_numpy()))

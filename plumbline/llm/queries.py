@@ -60,7 +60,7 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, threshold=90)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
