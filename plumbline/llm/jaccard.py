@@ -5,8 +5,9 @@ The join is exact. Sets are those of distinct ``width``-word shingles (64-bit ha
 1. Equal sets are one class from the start (128-bit fingerprints), so copies are never paired.
 2. Shingles have one global order, rare first: by their document frequency in a fixed-size table of counts, then hash.
    Two sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1`` of each (the prefix).
-3. Prefix shingles are grouped by key range. Classes that share one with a class of fitting length are *active*; only
-   their sets are kept.
+3. Prefix shingles are grouped by key range. A class stays a candidate if one of its buckets has another class of
+   fitting length and place; candidates meet again with small signatures (counts of shingles by hash class, for the
+   suffix filter), and those that still have a partner are *active*. Only the sets of these are kept.
 4. Round one: in each prefix shingle's bucket, every class meets the bucket's first one. These pairs, as many as
    entries at most, are verified and linked; connected components follow.
 5. Round two: in buckets that still hold different components, all pairs across components go through the length,
@@ -28,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +37,9 @@ from .components import components
 from .lm import from_planes, planes
 
 WIDTH, THRESHOLD = 5, 80  # words, per cent
-SKETCH = 1 << 18
-CLASSES = 1024  # hash classes of the suffix filter
+SKETCH, SLICES = 1 << 20, 64
+CLASSES, SIGNED = 1024, 128  # hash classes of the suffix filter: on sets, and in a row's signature
+SHIFTS = 256  # entries further apart in a bucket count as partners when candidates are chosen
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -91,11 +92,18 @@ def batches_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, l
         yield a, b, [(t or "").encode() for t in texts[a:b]]
 
 
-_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("task", pa.int64()), ("sketch", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("sketch", pa.binary())])
+
+
+def signatures(gram: np.ndarray, counts: np.ndarray, classes: int = SIGNED) -> np.ndarray:
+    """Each set's counts of shingles by hash class, saturated."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    at = (mix(gram ^ _B) & np.uint64(classes - 1)).astype(np.int64)
+    return np.minimum(np.bincount(doc * classes + at, minlength=len(counts) * classes), 255).astype(np.uint8).reshape(len(counts), classes)
 
 
 def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
-    """Each row's id, set size and fingerprints; and, with ``sketch``, each task's counts of shingles by slot."""
+    """Each row's id, set size, fingerprints and signature; and, with ``sketch``, each task's counts of shingles by slot, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, dtype=np.int64)
@@ -105,27 +113,29 @@ def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
                 f, g = fingerprints(gram, counts)
                 sketch += np.bincount(slot(gram), minlength=SKETCH)
                 m = b - a
-                none = pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(counts.astype(np.int64)), pa.array(f), pa.array(g), *none], schema=_SETS)
-        yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "sketch": planes(sketch.astype(np.uint32))}], schema=_SETS)
+                sig = pa.array([x.tobytes() for x in signatures(gram, counts)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(counts.astype(np.int64)), pa.array(f), pa.array(g), sig, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=_SETS)
+        for k, part in enumerate(np.split(sketch.astype(np.uint32), SLICES)):
+            yield pa.RecordBatch.from_pylist([{"slice": k, "sketch": planes(part)}], schema=_SETS)
 
-    return docs.mapInArrow(run, "id long, n long, f long, g long, task long, sketch binary")
+    return docs.mapInArrow(run, "id long, n long, f long, g long, sig binary, slice int, sketch binary")
 
 
 def summed_sketch(rows: DataFrame) -> np.ndarray:
-    """Of all tasks: a table of fixed size, added up in groups first."""
+    """Of all tasks: a table of fixed size, added up slice by slice as rows stream by."""
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH, dtype=np.uint64)
-        for x in group.column("sketch"):
-            total += from_planes(x.as_py(), np.uint32)
-        return pa.table({"sum": pa.array([total.tobytes()], type=pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                totals[k] = totals.get(k, 0) + from_planes(x.as_py(), np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(totals), type=pa.int32()), "sum": pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in totals.values()], type=pa.binary())})
 
-    parts = rows.where("sketch is not null").select((F.col("task") % 8).alias("g"), "sketch").groupBy("g").applyInArrow(add, "sum binary").collect()
-    total = np.zeros(SKETCH, dtype=np.uint64)
+    parts = rows.where("sketch is not null").select("slice", "sketch").repartition("slice").mapInArrow(add, "slice int, sum binary").collect()
+    total = np.zeros((SLICES, SKETCH // SLICES), dtype=np.uint32)
     for r in parts:
-        total += np.frombuffer(r["sum"], dtype=np.uint64)
-    return total
+        total[r["slice"]] = np.frombuffer(r["sum"], dtype=np.uint32)
+    return total.ravel()
 
 
 def prefix_length(n: np.ndarray, t: int) -> np.ndarray:
@@ -209,18 +219,50 @@ def prefix_entries(docs: DataFrame, width: int, t: int, ranges: int, sketch) ->
     return docs.mapInArrow(run, _ENTRY_DDL)
 
 
-def neighbours_fit(e: dict[str, np.ndarray], t: int) -> np.ndarray:
-    """Whether an entry's bucket has another class of fitting size: then the next smaller or the next larger fits."""
-    same = (e["token"][1:] == e["token"][:-1]) & fits(e["n"][1:], e["n"][:-1], t)
-    return np.concatenate((same, [False])) | np.concatenate(([False], same))
-
+def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Between rows of counts; a saturated count says nothing."""
+    apart = np.maximum(x, y) - np.minimum(x, y)
+    apart[(x == 255) | (y == 255)] = 0
+    return apart.sum(axis=1, dtype=np.int64)
+
+
+def partnered(e: dict[str, np.ndarray], t: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """Whether an entry's bucket has another class that the length and positional filters, and with ``counts`` the suffix filter, let through.
+
+    Entries are sorted by token and size, so a bucket's fitting partners of an entry follow it without a gap.
+    """
+    token, n, pos = e["token"], e["n"], e["pos"]
+    found = np.zeros(len(token), dtype=bool)
+    i, k = np.arange(len(token)), 0
+    while len(i):
+        k += 1
+        i = i[i + k < len(token)]
+        i = i[(token[i] == token[i + k]) & fits(n[i], n[i + k], t)]
+        if k > SHIFTS:
+            found[i] = found[i + k] = True
+            break
+        a = i[~(found[i] & found[i + k])]
+        a = a[positional(n[a], pos[a], n[a + k], pos[a + k], t)]
+        if counts is not None:
+            for part in np.array_split(a, -(-len(a) // 65_536) or 1):
+                allowed = n[part] + n[part + k] - 2 * least_overlap(n[part], n[part + k], t)
+                part = part[differences(counts[part], counts[part + k]) <= allowed]
+                found[part] = found[part + k] = True
+        else:
+            found[a] = found[a + k] = True
+    return found
+
+
+def active_classes(two: DataFrame, signed: DataFrame, t: int) -> DataFrame:
+    """From entries of ``buckets_of_two`` and the signatures (``cls``, ``sig``) of classes."""
 
-def active_classes(entries: DataFrame, t: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
-        e = undealt(group)
-        return pa.table({"cls": pa.array(np.unique(e["cls"][neighbours_fit(e, t)]))})
+        group = group.sort_by([("token", "ascending"), ("n", "ascending"), ("cls", "ascending")])
+        e = {c: group.column(c).to_numpy() for c in ("token", "cls", "n", "pos")}
+        counts = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(len(group), -1)
+        return pa.table({"cls": pa.array(np.unique(e["cls"][partnered(e, t, counts)]))})
 
-    return entries.groupBy("range").applyInArrow(run, "cls long").distinct()
+    return two.join(signed, "cls").select("range", "token", "cls", "n", "pos", "sig").groupBy("range").applyInArrow(run, "cls long").distinct()
 
 
 def membership(cls: DataFrame, n: int) -> np.ndarray:
@@ -328,11 +370,11 @@ _CONTESTED = pa.schema([("range", pa.int32()), ("token", pa.int64()), ("cls", pa
 
 
 def buckets_of_two(entries: DataFrame, t: int) -> DataFrame:
-    """Entries, as rows, of buckets with another class of fitting size."""
+    """Entries, as rows, whose bucket has another class of fitting size and place."""
 
     def run(group: pa.Table) -> pa.Table:
         e = undealt(group)
-        ok = neighbours_fit(e, t)
+        ok = partnered(e, t)
         r = group.column("range")[0].as_py()
         return pa.table([pa.array([r] * int(ok.sum()), type=pa.int32()), pa.array(e["token"][ok].view(np.int64)), pa.array(e["cls"][ok]), pa.array(e["n"][ok]), pa.array(e["pos"][ok])], schema=_CONTESTED)
 
@@ -345,11 +387,8 @@ def with_counts(entries: DataFrame, sets: DataFrame) -> DataFrame:
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for tokens in batches:
-            out = []
-            for x in tokens:
-                h = (mix(np.frombuffer(x.as_py(), dtype=np.uint64) ^ _B) & np.uint64(CLASSES - 1)).astype(np.int64)
-                out.append(np.minimum(np.bincount(h, minlength=CLASSES), 255).astype(np.uint8).tobytes())
-            yield pa.array(out, type=pa.binary())
+            sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in tokens]
+            yield pa.array([signatures(x, np.array([len(x)]), CLASSES).tobytes() for x in sets], type=pa.binary())
 
     counted = sets.join(entries.select("cls").distinct(), "cls", "left_semi").select("cls", run("tokens").alias("counts"))
     return entries.join(counted, "cls").select("range", "token", "cls", "n", "pos", "comp", "counts")
@@ -371,14 +410,9 @@ def cross_pairs(entries: DataFrame, t: int) -> DataFrame:
                 if not len(j):
                     continue
                 allowed = n[i] + n[j] - 2 * least_overlap(n[i], n[j], t)
-                x = counts[i]
                 for k in range(0, len(j), 4096):
                     part = j[k : k + 4096]
-                    y = counts[part]
-                    differ = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-                    if n[part].max() > 255 and ((y == 255) | (x == 255)).any():
-                        differ = np.where((y == 255) | (x == 255), 0, np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-                    part = part[differ <= allowed[k : k + 4096]]
+                    part = part[differences(counts[i], counts[part]) <= allowed[k : k + 4096]]
                     if len(part):
                         found.append(np.column_stack([np.minimum(cls[i], cls[part]), np.maximum(cls[i], cls[part])]))
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
@@ -393,19 +427,20 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = stored(fingerprint_rows(texts, width), "jaccard-rows")
     sketch = spark.sparkContext.broadcast(summed_sketch(rows))  # of fixed size
-    rows = rows.where("sketch is null").select("id", "n", "f", "g")
+    rows = rows.where("sketch is null").select("id", "n", "f", "g", "sig")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    ranges = max(shuffles, -(-total // (1 << 24)))
-    active = stored(active_classes(prefix_entries(texts, width, t, ranges, sketch), t), "jaccard-active")
-    n_active = active.count()
-    classes = rows.where("n > 0").groupBy("f", "g").agg(F.min("id").alias("first_id"))
+    ranges = max(shuffles, -(-total // (1 << 23)))
 
     @F.arrow_udf("long")
     def cls(f: pa.Array, g: pa.Array) -> pa.Array:
         return pa.array(class_id(f.to_numpy(), g.to_numpy()))
 
-    classes = classes.select(cls("f", "g").alias("cls"), "f", "g", "first_id")
+    classes = rows.where("n > 0").groupBy("f", "g").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"))
+    classes = classes.select(cls("f", "g").alias("cls"), "f", "g", "first_id", "sig")
+    two = stored(buckets_of_two(prefix_entries(texts, width, t, ranges, sketch), t), "jaccard-candidates")
+    active = stored(active_classes(two, classes.select("cls", "sig"), t), "jaccard-active")
+    n_active = active.count()
     linked = None
     if n_active:
         bitmap = spark.sparkContext.broadcast(membership(active, n_active))
