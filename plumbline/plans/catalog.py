@@ -1,6 +1,632 @@
-"""Named queries over the bound tables, each with equivalent DuckDB SQL."""
+"""Named queries over the bound tables, each with equivalent DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import gates, metrics, quality, reconcile, scoring, splits, vectors
+from ..streaming import answers
+from .bindings import DOCS, EVT, LAYERS, VEC, curve_sql, docs, evt, split_sql, table, vec
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def six(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals, as the SQL has them."""
+    return df.select(*[six(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- audits ----------------------------------------------------------------------------------------------------------
+
+_SUMMARY = """count(*) AS num_entries, count(*) FILTER (class = 'correct') AS num_correct, count(*) FILTER (class = 'hard_hallucination') AS num_hard_hallucination,
+    count(*) FILTER (class = 'false_negative_error') AS num_false_negative_error, count(*) FILTER (class = 'parsed_none') AS num_parsed_none, count(*) FILTER (class = 'invalid_label') AS num_invalid_label,
+    count(*) FILTER (class IN ('correct', 'hard_hallucination')) AS num_primary_population,
+    round(count(*) FILTER (class = 'hard_hallucination') / nullif(CAST(count(*) FILTER (class IN ('correct', 'hard_hallucination')) AS DOUBLE), 0), 6) AS hallucination_rate,
+    count(*) FILTER (class = 'hard_hallucination') < 20 AS low_positive_count"""
+
+
+@query(f"WITH {DOCS} SELECT dataset_name, subset, {_SUMMARY} FROM classed GROUP BY dataset_name, subset")
+def population_summary(spark, sf):
+    return rounded(quality.population_summary(docs(spark, sf), ("dataset_name", "subset")))
+
+
+@query(f"WITH {DOCS}, {split_sql('docs', 'bucket')} SELECT split, subset, {_SUMMARY} FROM classed JOIN named ON bucket = key_text GROUP BY split, subset")
+def population_by_split(spark, sf):
+    d = docs(spark, sf).select("bucket", "subset", "label", "parsed")
+    return rounded(quality.population_summary(splits.grouped_split(d, "bucket"), ("split", "subset")))
+
+
+@query(
+    f"""WITH {DOCS}, {split_sql('docs', 'bucket')}, kept AS (SELECT split, subset, class FROM classed JOIN named ON bucket = key_text WHERE class NOT IN ('correct', 'hard_hallucination'))
+    SELECT split, 'pooled' AS scope, class, count(*) AS n FROM kept GROUP BY split, class UNION ALL SELECT split, subset, class, count(*) FROM kept GROUP BY split, subset, class"""
+)
+def excluded_counts_rollup(spark, sf):
+    return quality.excluded_counts(splits.grouped_split(docs(spark, sf).select("bucket", "subset", "label", "parsed"), "bucket"))
+
+
+@query(
+    f"""WITH {DOCS}, specs AS (SELECT DISTINCT dataset_name, subset FROM docs UNION ALL SELECT 'absent', 'all')
+    SELECT dataset_name, subset, CASE WHEN count(d.doc_id) = 0 THEN 'missing' ELSE 'present' END AS status, count(d.doc_id) AS num_records,
+        count(*) FILTER (label = 1) AS num_label_yes, count(*) FILTER (label = 0) AS num_label_no, CAST(0 AS BIGINT) AS num_missing_image_path,
+        count(d.doc_id) FILTER (text IS NULL OR regexp_matches(text, '^\\s*$')) AS num_missing_question, CAST(0 AS BIGINT) AS num_unknown_object, count(DISTINCT bucket) AS num_unique_objects,
+        count(DISTINCT n_chars) AS num_unique_images, count(d.doc_id) - count(DISTINCT d.sample_id) AS num_duplicate_sample_id,
+        CAST(coalesce(sum(CASE WHEN d.doc_id IS NOT NULL THEN CAST(text IS NULL OR regexp_matches(text, '^\\s*$') AS INT) + CAST(label IS NULL AS INT) END), 0) AS BIGINT) AS num_null_required_fields,
+        count(d.doc_id) FILTER (label IS NULL) AS num_invalid_label
+    FROM specs LEFT JOIN docs d USING (dataset_name, subset) GROUP BY dataset_name, subset"""
+)
+def dataset_audit(spark, sf):
+    d = docs(spark, sf).withColumn("image_path", F.col("dataset_name"))
+    by = ("dataset_name", "subset")
+    audit = quality.dataset_audit(d, by, image="n_chars", question="text", name="bucket")
+    specs = d.select(*by).distinct().unionByName(spark.createDataFrame([("absent", "all")], "dataset_name string, subset string"))
+    return quality.audit_of_specs(specs, audit, by)
+
+
+_RATE = "CASE WHEN count(*) FILTER (label = 0) > 0 THEN regexp_replace(regexp_replace(printf('%.6f', round_even(count(*) FILTER (parsed = 1 AND label = 0) / CAST(count(*) FILTER (label = 0) AS DOUBLE), 6)), '0+$', ''), '\\.$', '') END"
+
+
+@query(
+    f"""WITH {DOCS} SELECT dataset_name, subset, count(*) AS num_records, count(*) FILTER (label = 1) AS num_gt_yes, count(*) FILTER (label = 0) AS num_gt_no, count(*) FILTER (label IS NULL) AS num_invalid_label,
+    CASE WHEN bool_or(toxic = 1) THEN count(*) FILTER (parsed = 1) END AS num_parsed_yes, CASE WHEN bool_or(toxic = 1) THEN count(*) FILTER (parsed = 0) END AS num_parsed_no,
+    CASE WHEN bool_or(toxic = 1) THEN count(*) FILTER (parsed IS NULL) END AS num_parsed_none, CASE WHEN bool_or(toxic = 1) THEN count(*) FILTER (parsed = label) END AS num_correct,
+    CASE WHEN bool_or(toxic = 1) THEN count(*) FILTER (parsed = 1 AND label = 0) END AS num_hallucination, CASE WHEN bool_or(toxic = 1) THEN {_RATE} END AS hallucination_rate,
+    CASE WHEN bool_or(toxic = 1) THEN 'available' ELSE 'not_available_in_cache' END AS parsed_answer_status
+    FROM docs GROUP BY dataset_name, subset"""
+)
+def label_balance(spark, sf):
+    return quality.label_balance(docs(spark, sf), ("dataset_name", "subset"), has_field=F.col("toxic") == 1)
+
+
+@query(
+    f"""WITH {DOCS} SELECT dataset_name, subset, count(*) AS num_entries, count(*) FILTER (label = 1) AS num_gt_yes, count(*) FILTER (label = 0) AS num_gt_no, count(*) FILTER (parsed = 1) AS num_parsed_yes,
+    count(*) FILTER (parsed = 0) AS num_parsed_no, count(*) FILTER (parsed IS NULL) AS num_parsed_none, count(*) FILTER (parsed = label) AS num_correct, count(*) FILTER (parsed = 1 AND label = 0) AS num_hard_hallucination,
+    count(*) FILTER (parsed = 0 AND label = 1) AS num_false_negative_error, count(*) FILTER (label = 0) AS num_primary_population, {_RATE} AS hallucination_rate_in_primary_population
+    FROM docs GROUP BY dataset_name, subset"""
+)
+def cache_label_balance(spark, sf):
+    return quality.cache_label_balance(docs(spark, sf), ("dataset_name", "subset"))
+
+
+@query(
+    f"""WITH {DOCS} SELECT dataset_name, bucket, count(*) AS num_records, CASE WHEN bool_or(toxic = 1) THEN count(*) FILTER (parsed = label) END AS num_correct,
+    CASE WHEN bool_or(toxic = 1) THEN count(*) FILTER (parsed = 1 AND label = 0) END AS num_hallucination FROM docs GROUP BY dataset_name, bucket"""
+)
+def object_audit(spark, sf):
+    return quality.object_audit(docs(spark, sf), ("dataset_name",), "bucket", has_field=F.col("toxic") == 1)
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id HAVING count(*) > 1")
+def ambiguous_ids(spark, sf):
+    return quality.repeated(table(spark, sf, "conversations"), ("conv_id",))
+
+
+@query("SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1")
+def duplicate_keys(spark, sf):
+    return quality.repeated(table(spark, sf, "lineitem"), ("l_orderkey", "l_suppkey"))
+
+
+@query(
+    f"""WITH {DOCS} SELECT doc_id, concat_ws(',', CASE WHEN text IS NULL OR regexp_matches(text, '^\\s*$') THEN 'missing or blank text' END, CASE WHEN label IS NULL OR label NOT IN (0, 1) THEN 'label must be 0 or 1' END) AS violations
+    FROM docs WHERE text IS NULL OR regexp_matches(text, '^\\s*$') OR label IS NULL OR label NOT IN (0, 1)"""
+)
+def extraction_violations(spark, sf):
+    bad = quality.extraction_violations(docs(spark, sf), ("sample_id", "text", "label"))
+    return bad.select("doc_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("SELECT l_suppkey, max_by(l_orderkey, (l_shipdate, l_orderkey, l_linenumber)) AS l_orderkey FROM lineitem GROUP BY l_suppkey")
+def last_wins(spark, sf):
+    return quality.last_wins(table(spark, sf, "lineitem"), ("l_suppkey",), F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")).select("l_suppkey", "l_orderkey")
+
+
+@query("SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN max(l_returnflag) ELSE 'mixed' END AS flag FROM lineitem GROUP BY l_orderkey")
+def single_source(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(quality.single_value(F.col("l_returnflag"), F.lit("mixed")).alias("flag"))
+
+
+# --- reconciliation --------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {DOCS}, records AS (SELECT doc_id, dataset_name, subset, CAST(n_chars AS VARCHAR) AS sample_id FROM docs),
+    answers AS (SELECT dataset_name, subset, CAST(n_chars AS VARCHAR) AS sample_id, toxic AS parsed FROM docs WHERE label IS NOT NULL),
+    n3 AS (SELECT dataset_name, subset, sample_id, count(*) AS n, min(parsed) AS p FROM answers GROUP BY ALL), n1 AS (SELECT sample_id, count(*) AS n, min(parsed) AS p FROM answers GROUP BY ALL),
+    amb AS (SELECT sample_id, count(*) > 1 AS a FROM records GROUP BY ALL)
+    SELECT doc_id, CASE WHEN n3.n = 1 THEN n3.p WHEN NOT a AND n1.n = 1 THEN n1.p END AS parsed, CASE WHEN n3.n = 1 THEN 'keyed' WHEN NOT a AND n1.n = 1 THEN 'sample' ELSE 'none' END AS matched
+    FROM records LEFT JOIN n3 USING (dataset_name, subset, sample_id) LEFT JOIN n1 USING (sample_id) LEFT JOIN amb USING (sample_id)"""
+)
+def cascaded_answer_match(spark, sf):
+    d = docs(spark, sf).withColumn("sample_id", F.col("n_chars").cast("string"))
+    records = d.select("doc_id", "dataset_name", "subset", "sample_id")
+    found = d.where("label is not null").select("dataset_name", "subset", "sample_id", F.col("toxic").alias("parsed"))
+    return reconcile.cascaded_match(records, found).select("doc_id", "parsed", "matched")
+
+
+@query(
+    """SELECT doc_id, coalesce(l.toxic, CAST(n_chars % 2 AS INTEGER)) AS label, CASE WHEN l.toxic IS NOT NULL THEN 'relabelled' ELSE source END AS source_dataset
+    FROM documents LEFT JOIN labels l USING (doc_id)"""
+)
+def relabel_left_join(spark, sf):
+    records = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("label"), F.col("source").alias("source_dataset"))
+    new = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"), F.col("doc_id").alias("ordinal"))
+    return reconcile.relabelled(records, new, key="doc_id", name="relabelled")
+
+
+@query(
+    """WITH a AS (SELECT doc_id AS ordinal, quality AS x, toxic AS z FROM labels), b AS (SELECT doc_id AS ordinal, n_chars % 2 AS x, n_chars % 3 AS z FROM documents)
+    SELECT ordinal, CASE WHEN a.ordinal IS NULL OR b.ordinal IS NULL THEN 'row count' ELSE concat_ws(',', CASE WHEN a.x IS DISTINCT FROM b.x THEN 'x' END, CASE WHEN a.z IS DISTINCT FROM b.z THEN 'z' END) END AS fields
+    FROM a FULL JOIN b USING (ordinal) WHERE a.ordinal IS NULL OR b.ordinal IS NULL OR a.x IS DISTINCT FROM b.x OR a.z IS DISTINCT FROM b.z"""
+)
+def lossless_relabel_violations(spark, sf):
+    a = table(spark, sf, "labels").select(F.col("doc_id").alias("ordinal"), F.col("quality").alias("x"), F.col("toxic").alias("z"))
+    b = table(spark, sf, "documents").select(F.col("doc_id").alias("ordinal"), (F.col("n_chars") % 2).alias("x"), (F.col("n_chars") % 3).alias("z"))
+    return reconcile.lossless_violations(a, b, ordinal="ordinal", fields=("x", "z"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderstatus AS left_subset, CAST(o_custkey AS VARCHAR) AS cust, o_orderpriority AS prio FROM orders), k AS (
+        SELECT DISTINCT left_subset, 'cust' AS key, cust AS value FROM a UNION SELECT DISTINCT left_subset, 'cust_prio', cust || '|' || prio FROM a)
+    SELECT l.key, l.left_subset, r.left_subset AS right_subset, count(*) AS n FROM k l JOIN k r USING (key, value) GROUP BY ALL"""
+)
+def overlap_audit(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("left_subset"), F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("prio"))
+    return reconcile.overlap_counts(o, o.withColumnRenamed("left_subset", "right_subset"), {"cust": ("cust",), "cust_prio": ("cust", "prio")}, ("left_subset", "right_subset"))
+
+
+def _matrix(spark, sf):
+    o = table(spark, sf, "orders")
+    required = reconcile.required_matrix(o.select(F.col("o_orderstatus").alias("model")).distinct(), o.select(F.col("o_orderpriority").alias("subset")).distinct())
+    seen = o.where("o_orderstatus != 'F' or o_orderpriority != '5-LOW'").groupBy(F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("subset")).agg(F.count("*").alias("observed"), F.count_if(F.col("o_totalprice") > 1000).alias("expected"))
+    required = required.join(seen.select("model", "subset", "expected"), ["model", "subset"], "left").withColumn("expected", F.coalesce("expected", F.lit(1).cast("long")))
+    return required, seen.select("model", "subset", "observed")
+
+
+_MTX = """m AS (SELECT model, subset, coalesce(expected, 1) AS expected, coalesce(observed, 0) AS observed FROM (SELECT DISTINCT o_orderstatus AS model FROM orders) CROSS JOIN (SELECT DISTINCT o_orderpriority AS subset FROM orders)
+    LEFT JOIN (SELECT o_orderstatus AS model, o_orderpriority AS subset, count(*) AS observed, count(*) FILTER (o_totalprice > 1000) AS expected FROM orders WHERE o_orderstatus != 'F' OR o_orderpriority != '5-LOW' GROUP BY ALL) USING (model, subset)),
+    s AS (SELECT *, CASE WHEN observed = expected THEN 'completed' WHEN observed > 0 THEN 'mismatch' ELSE 'missing' END AS state FROM m)"""
+
+
+@query(f"WITH {_MTX} SELECT model, subset, expected FROM s")
+def matrix_required(spark, sf):
+    return _matrix(spark, sf)[0]
+
+
+@query(f"WITH {_MTX} SELECT * FROM s")
+def matrix_states(spark, sf):
+    return reconcile.reconciled(*_matrix(spark, sf), ("model", "subset"))
+
+
+@query(f"WITH {_MTX} SELECT model, subset, expected, observed FROM s WHERE state = 'completed'")
+def matrix_completed(spark, sf):
+    return matrix_states(spark, sf).where("state = 'completed'").drop("state")
+
+
+@query(f"WITH {_MTX} SELECT model, subset, expected, observed FROM s WHERE state != 'completed'")
+def matrix_missing(spark, sf):
+    return matrix_states(spark, sf).where("state != 'completed'").drop("state")
+
+
+@query(f"WITH {_MTX} SELECT model || '/' || subset || ': expected ' || expected || ', observed ' || observed AS label FROM s WHERE state = 'mismatch'")
+def count_mismatch_labels(spark, sf):
+    return reconcile.mismatch_labels(matrix_states(spark, sf), ("model", "subset"))
+
+
+@query(
+    """SELECT k, coalesce(a.n, 0) AS expected_n, coalesce(b.n, 0) AS observed_n FROM (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY ALL) a
+    FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY ALL) b USING (k) WHERE coalesce(a.n, 0) != coalesce(b.n, 0)"""
+)
+def count_differences(spark, sf):
+    a = table(spark, sf, "orders").groupBy(F.col("o_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    b = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    return reconcile.count_differences(a, b, ("k",))
+
+
+def _reference(spark, sf, cap):
+    images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_orderpriority").alias("file_name"))
+    parts = table(spark, sf, "part")
+    notes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("category_id"))
+    allowed = parts.where("p_type in ('ECONOMY', 'PROMO')").select(F.col("p_brand").alias("name"))
+    excluded = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("image_id"))
+    out = reconcile.reference_candidates(images, parts.select(F.col("p_partkey").alias("category_id"), F.col("p_brand").alias("name")), notes, allowed=allowed, excluded=excluded, cap=cap)
+    return out.withColumn("object_names", F.array_join("object_names", ","))
+
+
+def _reference_sql(cap: str) -> str:
+    return f"""WITH pairs AS (SELECT DISTINCT l_orderkey AS image_id, p_brand AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT p_brand FROM part WHERE p_type IN ('ECONOMY', 'PROMO'))
+        AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')), kept AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY image_id) AS rn FROM pairs)
+    SELECT image_id, o_orderpriority AS file_name, string_agg(name, ',' ORDER BY name) AS object_names FROM kept JOIN orders ON image_id = o_orderkey {cap} GROUP BY image_id, o_orderpriority"""
+
+
+@query(_reference_sql(""))
+def reference_candidates(spark, sf):
+    return _reference(spark, sf, None)
+
+
+@query(_reference_sql("WHERE rn <= 25"))
+def reference_candidates_capped(spark, sf):
+    return _reference(spark, sf, 25)
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def expected_presence_anti(spark, sf):
+    return reconcile.missing(table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ("o_orderkey",))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey")
+def expected_semi_counts(spark, sf):
+    wanted = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return reconcile.counts_of_expected(table(spark, sf, "lineitem"), wanted, ("l_orderkey",))
+
+
+# --- splits ----------------------------------------------------------------------------------------------------------
+
+_EVT_SPLIT = f"{EVT}, {split_sql('evt', 'user_key')}, es AS (SELECT evt.*, split FROM evt JOIN named ON user_key = key_text)"
+
+
+def _evt_split(spark, sf):
+    return splits.grouped_split(evt(spark, sf), "user_key")
+
+
+@query(f"WITH {_EVT_SPLIT} SELECT event_id, user_key, split FROM es")
+def grouped_split_assign(spark, sf):
+    return _evt_split(spark, sf).select("event_id", "user_key", "split")
+
+
+@query(f"WITH {_EVT_SPLIT} SELECT CAST(i - 1 AS INTEGER) AS ordinal, name AS split, count(event_id) AS n FROM ends LEFT JOIN es ON name = split GROUP BY i, name")
+def split_counts(spark, sf):
+    return splits.split_counts(_evt_split(spark, sf))
+
+
+@query(f"WITH {_EVT_SPLIT} SELECT split, subset AS value, count(*) AS n FROM es GROUP BY split, subset")
+def split_field_counts(spark, sf):
+    maps = splits.field_counts(_evt_split(spark, sf), "subset")
+    return splits.added_maps(maps, "counts", ("split",))
+
+
+@query(f"WITH {_EVT_SPLIT} SELECT subset AS value, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM es GROUP BY subset HAVING count(DISTINCT split) > 1")
+def split_leakage(spark, sf):
+    return splits.leaks(_evt_split(spark, sf), "subset").select("value", F.array_join("splits", ",").alias("splits"))
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, CASE event_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'bank' WHEN 2 THEN 'cal' ELSE 'unknown' END AS old FROM events)
+    SELECT CAST(user_id AS VARCHAR) AS group_key, array_to_string(list_sort(list(DISTINCT old)), ',') AS splits, '{splits.CONFLICT_ACTION}' AS action FROM e WHERE old != 'unknown' GROUP BY user_id HAVING count(DISTINCT old) > 1"""
+)
+def split_conflicts(spark, sf):
+    fifth = F.col("event_id") % 5
+    e = evt(spark, sf).withColumn("old", F.when(fifth == 0, "test").when(fifth == 1, "bank").when(fifth == 2, "cal").otherwise("unknown"))
+    return splits.split_conflicts(e, "user_key", "old").withColumn("splits", F.array_join("splits", ","))
+
+
+@query("SELECT event_id, event_type AS subset FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 20")
+def first_n_per_subset(spark, sf):
+    return splits.first_n(evt(spark, sf).select("event_id", "subset"), ("subset",), 20, "event_id")
+
+
+@query("SELECT event_id, event_type AS subset, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 128) AS BIGINT) AS shard FROM events")
+def shard_chunks(spark, sf):
+    return splits.chunked(evt(spark, sf).select("event_id", "subset"), ("subset",), 128, "event_id")
+
+
+# --- scalar functions ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, coalesce(nullif(ltrim(list_extract(regexp_extract_all(url, '([0-9]+)', 1), -1), '0'), ''), CASE WHEN regexp_matches(url, '[0-9]') THEN '0' ELSE '' END) AS image_id FROM pages")
+def parse_image_id(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.image_id(F.col("url")).alias("image_id"))
+
+
+@query(
+    """WITH q AS (SELECT doc_id, 'Is there a ' || source || CASE doc_id % 3 WHEN 0 THEN ' Cat' WHEN 1 THEN '' ELSE ' in' END || ' in the image?' || CASE doc_id % 2 WHEN 0 THEN ' ' ELSE ' really' END AS question FROM documents)
+    SELECT doc_id, coalesce(nullif(lower(regexp_extract(question, '(?i)^\\s*is there\\s+(?:a|an)\\s+(.+?)\\s+in the image\\?\\s*$', 1)), ''), 'unknown') AS object_name FROM q"""
+)
+def parse_object_name(spark, sf):
+    third, half = F.col("doc_id") % 3, F.col("doc_id") % 2
+    q = F.concat(F.lit("Is there a "), "source", F.when(third == 0, " Cat").when(third == 1, "").otherwise(" in"), F.lit(" in the image?"), F.when(half == 0, " ").otherwise(" really"))
+    return table(spark, sf, "documents").select("doc_id", T.object_name(q).alias("object_name"))
+
+
+@query("SELECT event_id, CASE WHEN lower(event_type) IN ('yes', 'y', '1', 'true', 'present') THEN 1 WHEN lower(event_type) IN ('no', 'n', '0', 'false', 'absent') THEN 0 WHEN user_id % 2 = 1 THEN 1 ELSE 0 END AS label FROM events")
+def parse_yes_no_label(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.coalesce(T.yes_no_label(F.col("event_type")), T.yes_no_label((F.col("user_id") % 2).cast("string"))).alias("label"))
+
+
+@query("SELECT conv_id, turn, CASE lower(regexp_extract(text, '(?i)\\b(de|la|the|no|yes)\\b', 1)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS answer FROM (SELECT conv_id, turn, regexp_replace(CASE turn % 3 WHEN 0 THEN 'No. ' WHEN 1 THEN 'Well, YES ' ELSE 'nothing ' END, ' $', '') AS text FROM conversations)")
+def parse_yes_no_answer(spark, sf):
+    third = F.col("turn") % 3
+    said = F.when(third == 0, "No.").when(third == 1, "<think>Well</think>, YES").otherwise("nothing")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.response_answer(said).alias("answer"))
+
+
+@query(
+    """WITH q AS (SELECT conv_id, turn, trim(role || CASE turn % 2 WHEN 0 THEN '?' ELSE '' END) AS q FROM conversations)
+    SELECT conv_id, turn, CASE WHEN regexp_matches(q, '[?.!]$') THEN q ELSE q || '.' END || ' Respond with only one word: yes or no.' AS question FROM q"""
+)
+def format_question(spark, sf):
+    q = F.concat("role", F.when(F.col("turn") % 2 == 0, "?").otherwise(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.formatted_question(T.formatted_question(q)).alias("question"))
+
+
+@query("SELECT p_partkey, CAST(floor(CAST(p_size AS BIGINT) * CASE p_partkey % 3 WHEN 0 THEN 1000000 WHEN 1 THEN 1073741824 ELSE 1 END) AS BIGINT) AS bytes FROM part")
+def byte_size(spark, sf):
+    third = F.col("p_partkey") % 3
+    size = F.concat(F.col("p_size").cast("string"), F.when(third == 0, " MB").when(third == 1, "GiB").otherwise(""))
+    return table(spark, sf, "part").select("p_partkey", T.byte_size(size).alias("bytes"))
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN n_chars % 2 = 0 THEN source ELSE ' ' END), ''), nullif(CASE WHEN n_chars % 3 = 0 THEN lang END, ''), '') AS first_text FROM documents")
+def coalesce_aliases(spark, sf):
+    a, b = F.when(F.col("n_chars") % 2 == 0, F.col("source")).otherwise(" "), F.when(F.col("n_chars") % 3 == 0, F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", T.first_text(a, b).alias("first_text"))
+
+
+@query(
+    """SELECT total, part, i, CAST(CASE WHEN n = 1 THEN floor((a + b) / 2) ELSE round_even(a + i * ((b - a) / CAST(n - 1 AS DOUBLE)), 0) END AS INTEGER) AS layer FROM (
+        SELECT total, part, CASE part WHEN 'early' THEN 0 WHEN 'middle' THEN total // 4 WHEN 'late' THEN total // 2 ELSE 0 END AS a, CASE part WHEN 'early' THEN greatest(total // 2 - 1, 0) WHEN 'middle' THEN total - total // 4 - 1 ELSE total - 1 END AS b, n
+        FROM (SELECT DISTINCT p_size + 7 AS total FROM part), (VALUES ('early'), ('middle'), ('late'), ('all')) p(part), (VALUES (1), (3), (5)) c(n)), range(5) r(i) WHERE i < n AND n = 5"""
+)
+def layer_ranges(spark, sf):
+    totals = table(spark, sf, "part").select((F.col("p_size") + 7).alias("total")).distinct()
+    out = []
+    for part in ("early", "middle", "late", "all"):
+        a, b = T.layer_bounds(F.col("total"), part)
+        out.append(totals.select("total", F.lit(part).alias("part"), F.posexplode(T.spaced_layers(a, b, F.lit(5))).alias("i", "layer")).withColumn("i", F.col("i").cast("long")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("SELECT total, concat_ws(',', 0, total // 4, total // 2, 3 * total // 4, total - 1) AS layers FROM (SELECT DISTINCT p_size + 7 AS total FROM part)")
+def quarter_layers(spark, sf):
+    totals = table(spark, sf, "part").select((F.col("p_size") + 7).alias("total")).distinct()
+    return totals.select("total", F.array_join(T.quarter_layers(F.col("total")), ",").alias("layers"))
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+_NORM = "sqrt(list_sum(list_transform({0}, lambda z: z * z)))"
+_UNIT = "list_transform({0}, lambda q: q / greatest(sqrt(list_sum(list_transform({0}, lambda z: z * z))), 1e-12))"
+_MEAN = f"list_transform(range(1, {LAYERS + 1}), lambda j: list_sum(list_transform({{0}}, lambda r: r[j])) / {LAYERS})"
+
+
+def _representation_sql() -> str:
+    each = {
+        "Raw-Static": ("v0", "layers[-1]"),
+        "Sphere-Static": ("v0", _UNIT.format("layers[-1]")),
+        "Norm-Static": ("v0", "[ln(greatest(" + _NORM.format("layers[-1]") + ", 1e-12))]"),
+        "Raw-Traj-MeanPool": ("v0", _MEAN.format("layers")),
+        "Sphere-Traj-MeanPool": ("pooled", _UNIT.format("m")),
+        "Norm-Traj": ("v0", "list_transform(layers, lambda r: ln(greatest(sqrt(list_sum(list_transform(r, lambda z: z * z))), 1e-12)))"),
+    }
+    units = "list_transform(layers, lambda r: list_transform(r, lambda q: q / greatest(sqrt(list_sum(list_transform(r, lambda z: z * z))), 1e-12)))"
+    parts = [f"SELECT vec_id, '{name}' AS variant, generate_subscripts({e}, 1) - 1 AS i, round(unnest({e}), 6) AS x FROM {src}" for name, (src, e) in each.items()]
+    return f"WITH {VEC}, v0 AS (SELECT * FROM vec), units AS (SELECT vec_id, {units} AS u FROM vec), pooled AS (SELECT vec_id, {_MEAN.format('u')} AS m FROM units) " + " UNION ALL ".join(parts)
+
+
+@query(_representation_sql())
+def representations(spark, sf):
+    long = vectors.representations(vec(spark, sf), "vec_id", "layers")
+    return long.select("vec_id", "variant", F.posexplode("vector").alias("i", "x")).select("vec_id", "variant", F.col("i").cast("long").alias("i"), six("x").alias("x"))
+
+
+_ORDER = vectors.layer_permutation(LAYERS)
+
+
+@query(
+    f"""WITH {VEC}, t AS (SELECT vec_id, list_transform({_ORDER}, lambda i: layers[i + 1]) AS l FROM vec), u AS (SELECT vec_id, list_transform(l, lambda r: list_transform(r, lambda q: q / greatest(sqrt(list_sum(list_transform(r, lambda z: z * z))), 1e-12))) AS l FROM t)
+    SELECT vec_id, generate_subscripts(flatten(l), 1) - 1 AS i, round(unnest(flatten(l)), 6) AS x FROM u"""
+)
+def lstm_trajectory(spark, sf):
+    t = vec(spark, sf).select("vec_id", F.flatten(vectors.trajectory(F.col("layers"), _ORDER)).alias("l"))
+    return t.select("vec_id", F.posexplode("l").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), six("x").alias("x"))
+
+
+def _knn_sql(distance: str) -> str:
+    return f"""WITH {VEC}, d AS (SELECT q.vec_id, {distance} AS d FROM vec q CROSS JOIN vec b WHERE b.y = 1)
+    SELECT vec_id, round(avg(d), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS rn FROM d) WHERE rn <= 10 GROUP BY vec_id"""
+
+
+@query(_knn_sql("list_distance(q.v, b.v)"))
+def knn_euclidean(spark, sf):
+    e = vec(spark, sf)
+    return rounded(vectors.knn_scores(e.where("y = 1"), e, key="vec_id", vector="v"))
+
+
+@query(_knn_sql(f"acos(least(1.0, greatest(-1.0, list_inner_product(q.v, b.v) / ({_NORM.format('q.v')} * {_NORM.format('b.v')})))) / pi()").replace("avg(d), 6", "avg(d), 5"))
+def knn_angular(spark, sf):
+    e = vec(spark, sf)
+    return vectors.knn_scores(e.where("y = 1"), e, key="vec_id", vector="v", metric="angular").select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query(
+    f"""WITH {VEC}, l AS (SELECT vec_id, y, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS x FROM vec), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM l WHERE y = 1 GROUP BY i)
+    SELECT vec_id, i, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS z FROM l JOIN s USING (i)"""
+)
+def standard_scale(spark, sf):
+    z = vectors.standard_scaled(vec(spark, sf), "vec_id", "v", F.col("y") == 1)
+    return z.select("vec_id", F.posexplode("v").alias("i", "z")).select("vec_id", F.col("i").cast("long").alias("i"), six("z").alias("z"))
+
+
+@query(f"WITH {VEC} SELECT vec_id, CASE WHEN label % 3 = 0 THEN 'layer count differs,selected_layers must be contiguous from 0' ELSE '' END AS errors FROM vec")
+def vector_validity(spark, sf):
+    want = F.when(F.col("label") % 3 == 0, 9).otherwise(8)
+    e = quality.layer_vector_errors(F.col("layers"), F.sequence(F.lit(0), F.lit(7)), want)
+    return vec(spark, sf).select("vec_id", F.array_join(e, ",").alias("errors"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, [ascii(c) for c in string_split(role, '')] AS t, CASE WHEN turn % 2 = 0 THEN [101, 114] ELSE [115] END AS p FROM conversations)
+    SELECT conv_id, turn, CAST(CASE WHEN len(p) = 2 THEN instr(role_text, 'er') ELSE instr(role_text, 's') END AS INTEGER) - 1 AS start FROM (SELECT *, array_to_string([chr(x) for x in t], '') AS role_text FROM w) WHERE CASE WHEN len(p) = 2 THEN instr(role_text, 'er') ELSE instr(role_text, 's') END > 0"""
+)
+def subsequence_find(spark, sf):
+    tokens = F.transform(F.split("role", ""), F.ascii)
+    part = F.when(F.col("turn") % 2 == 0, F.array(F.lit(101), F.lit(114))).otherwise(F.array(F.lit(115)))
+    return table(spark, sf, "conversations").select("conv_id", "turn", vectors.subsequence_start(tokens, part).alias("start")).where("start is not null")
+
+
+@query(
+    """SELECT conv_id, turn, role || repeat('_', greatest(CAST(12 - length(role) AS INTEGER), 0)) AS padded, CAST(length(role) - 1 AS BIGINT) AS last, CAST(instr(role, 's') AS INTEGER) - 1 AS span_start, CAST(length(role) - instr(reverse(role), 's') AS INTEGER) AS span_stop
+    FROM conversations WHERE instr(role, 's') > 0"""
+)
+def pad_and_spans(spark, sf):
+    chars = F.split("role", "")
+    mask = F.concat(F.transform(chars, lambda _: F.lit(1)), F.array(F.lit(0)))
+    span = vectors.token_span(F.transform(chars, F.ascii), 115)
+    pad = F.array_join(vectors.padded(chars, F.lit(12), F.lit("_")), "")
+    return table(spark, sf, "conversations").select("conv_id", "turn", pad.alias("padded"), vectors.last_nonzero(mask).alias("last"), span["start"].alias("span_start"), span["stop"].alias("span_stop")).where("span_start is not null")
+
+
+# --- metrics and gates -----------------------------------------------------------------------------------------------
+
+_METRIC_COLUMNS = "num_samples, num_positive, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(average_precision, 6) AS average_precision, metric_status, round(tpr_at_fpr, 6) AS tpr_at_fpr, round(fpr_at_tpr, 6) AS fpr_at_tpr"
+
+
+@query(f"WITH {EVT}, {curve_sql('evt', 'subset')} SELECT subset, {_METRIC_COLUMNS} FROM areas")
+def metrics_by_subset(spark, sf):
+    return rounded(metrics.ranking_metrics(evt(spark, sf), ("subset",)).drop("failure_reason"))
+
+
+@query(f"WITH {EVT}, e AS (SELECT 0 AS one, y, score FROM evt), {curve_sql('e', 'one')} SELECT {_METRIC_COLUMNS} FROM areas")
+def ranking_metrics(spark, sf):
+    return rounded(metrics.ranking_metrics(evt(spark, sf)).drop("failure_reason"))
+
+
+@query(
+    f"""WITH {EVT}, c AS (SELECT subset, count(*) FILTER (score >= 50 AND y = 1) AS tp, count(*) FILTER (score >= 50 AND y = 0) AS fp, count(*) FILTER (score < 50 AND y = 1) AS fn, count(*) FILTER (score < 50 AND y = 0) AS tn FROM evt GROUP BY subset),
+    r AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS p, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS r, coalesce(tn / nullif(CAST(fp + tn AS DOUBLE), 0), 0) AS s FROM c)
+    SELECT subset, tp + fp + fn + tn AS num_samples, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy, CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN round((r + s) / 2, 6) END AS balanced_accuracy, round(p, 6) AS precision, round(r, 6) AS recall,
+    round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(coalesce(fp / nullif(CAST(fp + tn AS DOUBLE), 0), 0), 6) AS false_positive_rate FROM r"""
+)
+def threshold_metrics(spark, sf):
+    return rounded(metrics.threshold_metrics(evt(spark, sf), ("subset",), threshold=50))
+
+
+def _scored(spark, sf):
+    """Labelled documents with a score, split by group; the whole grid of scopes."""
+    d = docs(spark, sf).where("label is not null").select("doc_id", "bucket", "subset", F.col("label").alias("y"), F.col("n_chars").cast("double").alias("score"))
+    return splits.grouped_split(d, "bucket")
+
+
+_SCORED = f"{DOCS}, lab AS (SELECT doc_id, bucket, subset, label AS y, CAST(n_chars AS DOUBLE) AS score FROM docs WHERE label IS NOT NULL), {split_sql('lab', 'bucket')}, scored AS (SELECT lab.*, split FROM lab JOIN named ON bucket = key_text)"
+_SCOPES = "scopes AS (SELECT split AS eval_split, 'pooled' AS eval_scope, y, score FROM scored UNION ALL SELECT split, subset, y, score FROM scored WHERE split = 'test')"
+
+
+@query(
+    f"""WITH {_SCORED}, {_SCOPES}, {curve_sql('scopes', 'eval_split, eval_scope')}, grid AS (SELECT name AS eval_split, 'pooled' AS eval_scope FROM ends UNION ALL SELECT 'test', subset FROM (SELECT DISTINCT subset FROM lab) UNION ALL SELECT 'test', 'nowhere')
+    SELECT eval_split, eval_scope, coalesce(num_samples, 0) AS num_samples, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, coalesce(metric_status, 'undefined') AS metric_status,
+        CASE WHEN metric_status IS NULL THEN 'no samples in evaluation scope' WHEN metric_status = 'undefined' THEN 'one class present in evaluation scope' END AS failure_reason FROM grid LEFT JOIN areas USING (eval_split, eval_scope)"""
+)
+def metric_scope_grid(spark, sf):
+    s = _scored(spark, sf)
+    keys = ("eval_split", "eval_scope")
+    pooled = spark.createDataFrame([(n, "pooled") for n in splits.NAMES] + [("test", "nowhere")], "eval_split string, eval_scope string")
+    grid = pooled.unionByName(s.select(F.lit("test").alias("eval_split"), F.col("subset").alias("eval_scope")).distinct())
+    out = metrics.metric_grid(grid, metrics.ranking_metrics(metrics.scope_rows(s), keys), keys)
+    return rounded(out.select(*keys, "num_samples", "roc_auc", "pr_auc", "metric_status", "failure_reason"))
+
+
+REPLICATES = 40
+
+
+def _bootstrap_sql() -> str:
+    step, p, total = [], 0.36787944117144233, 0.36787944117144233
+    for k in range(1, 9):
+        step.append(f"CAST(u >= CAST({total!r} AS DOUBLE) AS INTEGER)")
+        p /= k
+        total += p
+    drawn = f"""{DOCS}, lab AS (SELECT doc_id, subset, label AS y, CAST(n_chars AS DOUBLE) AS score FROM docs WHERE label IS NOT NULL),
+        h AS (SELECT subset, y, score, rep, CAST(('0x' || md5('20260506:' || rep || ':' || doc_id)[1:8]) AS BIGINT) / 4294967296.0 AS u FROM lab, range({REPLICATES}) r(rep)),
+        w AS (SELECT subset, rep, y, score, {' + '.join(step)} AS w FROM h), many AS (SELECT subset, rep, y, score FROM w, range(9) r(k) WHERE k < w)"""
+    return f"""WITH {drawn}, {curve_sql('many', 'subset, rep')} SELECT subset, count(*) AS num_bootstrap, round(avg(roc_auc), 6) AS roc_auc_mean, round(quantile_cont(roc_auc, 0.025), 6) AS roc_auc_ci_low, round(quantile_cont(roc_auc, 0.975), 6) AS roc_auc_ci_high,
+        round(avg(pr_auc), 6) AS pr_auc_mean, round(quantile_cont(pr_auc, 0.025), 6) AS pr_auc_ci_low, round(quantile_cont(pr_auc, 0.975), 6) AS pr_auc_ci_high FROM areas WHERE metric_status = 'ok' GROUP BY subset"""
+
+
+@query(_bootstrap_sql())
+def bootstrap_ci(spark, sf):
+    d = docs(spark, sf).where("label is not null").select("doc_id", "subset", F.col("label").alias("y"), F.col("n_chars").cast("double").alias("score"))
+    return rounded(metrics.bootstrap_intervals(d, ("subset",), key="doc_id", replicates=REPLICATES))
+
+
+def _variant_metrics(spark, sf):
+    """A metric table for the gates: the knn score against the bank of each untrained variant, by two readouts."""
+    rows = vectors.representations(vec(spark, sf), "vec_id", "layers").select("vec_id", "variant", F.element_at("vector", 1).alias("a"), F.element_at("vector", -1).alias("b"))
+    rows = rows.join(vec(spark, sf).select("vec_id", "y"), "vec_id")
+    each = rows.select("variant", "y", F.explode(F.array(F.struct(F.lit("classifier").alias("readout"), six("a").alias("score")), F.struct(F.lit("knn").alias("readout"), six("b").alias("score")))).alias("s")).select("variant", "y", "s.*")
+    m = metrics.ranking_metrics(each, ("variant", "readout")).select("variant", "readout", "pr_auc", "roc_auc")
+    return m.select(F.lit("test").alias("eval_split"), F.lit("pooled").alias("eval_scope"), "*")
+
+
+def _gate_sql(tail: str) -> str:
+    reps = _representation_sql()
+    return f"""WITH reps AS ({reps}), ends_of AS (SELECT vec_id, variant, arg_min(x, i) AS a, arg_max(x, i) AS b FROM reps GROUP BY ALL), lab AS (SELECT e.*, CAST(label >= 5 AS INTEGER) AS y FROM ends_of e JOIN embeddings USING (vec_id)),
+    each AS (SELECT variant, 'classifier' AS readout, y, a AS score FROM lab UNION ALL SELECT variant, 'knn', y, b FROM lab), {curve_sql('each', 'variant, readout')}, m AS (SELECT variant, readout, pr_auc, roc_auc FROM areas) {tail}"""
+
+
+def _pair_sql(pairs, drop: float) -> str:
+    values = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    return f""", d AS (SELECT p.a, p.b, x.readout, x.pr_auc - z.pr_auc AS pr, x.roc_auc - z.roc_auc AS roc FROM (VALUES {values}) p(a, b) JOIN m x ON x.variant = p.a JOIN m z ON z.variant = p.b AND z.readout = x.readout),
+    t AS (SELECT count(*) AS total_comparisons, count(*) FILTER (pr >= 0.01 AND roc >= -{drop}) AS successes, count(DISTINCT readout) FILTER (pr >= 0.01 AND roc >= -{drop}) AS readouts, count(*) FILTER (pr < 0 AND roc < 0) AS worse FROM d)
+    SELECT CASE WHEN readouts > 1 THEN 'pass' WHEN readouts = 1 THEN 'mixed' WHEN total_comparisons > 0 AND worse = total_comparisons THEN 'fail' ELSE 'mixed' END AS status, successes, total_comparisons FROM t"""
+
+
+@query(_gate_sql("SELECT variant, readout, round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc FROM m"))
+def variant_metrics(spark, sf):
+    return rounded(_variant_metrics(spark, sf).drop("eval_split", "eval_scope"))
+
+
+@query(_gate_sql(_pair_sql(gates.SPHERE, 0.02)))
+def sphere_gate(spark, sf):
+    return gates.pair_gate(_variant_metrics(spark, sf), gates.SPHERE, max_roc_drop=0.02)
+
+
+@query(_gate_sql(_pair_sql(gates.TRAJECTORY, 0.05)))
+def trajectory_gate(spark, sf):
+    return gates.pair_gate(_variant_metrics(spark, sf), gates.TRAJECTORY, max_roc_drop=0.05)
+
+
+@query(_gate_sql("SELECT CASE WHEN max(pr_auc) FILTER (variant LIKE 'Norm-%') >= 0.9 * max(pr_auc) FILTER (variant NOT LIKE 'Norm-%') THEN 'strong' ELSE 'weak' END AS status, round(max(pr_auc) FILTER (variant LIKE 'Norm-%'), 6) AS best_norm_pr_auc, round(max(pr_auc) FILTER (variant NOT LIKE 'Norm-%'), 6) AS best_non_norm_pr_auc FROM m"))
+def norm_gate(spark, sf):
+    return rounded(gates.norm_gate(_variant_metrics(spark, sf)))
+
+
+# --- models, scorers, streams: no SQL, or none needed ------------------------------------------------------------------
+
+
+@query()
+def model_gates(spark, sf):
+    return gates.model_gates(_variant_metrics(spark, sf))
+
+
+@query()
+def logistic_scores(spark, sf):
+    return rounded(scoring.logistic_scores(vec(spark, sf).withColumn("t", F.col("vec_id") % 2 == 0), key="vec_id", vector="v", label="y", train="t"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(role) % 2 = 0 THEN 1 ELSE 0 END AS answer FROM conversations")
+def scorer_answers(spark, sf):
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("question"))
+    return scoring.answered(asked, scoring.stub_scorer).select("conv_id", "turn", T.yes_no_answer("answer_text").alias("answer"))
+
+
+@query("SELECT CASE WHEN quality IS NULL OR quality NOT IN (0, 1) THEN 'invalid_label' WHEN toxic IS NULL THEN 'parsed_none' WHEN toxic = quality THEN 'correct' WHEN quality = 0 THEN 'hard_hallucination' ELSE 'false_negative_error' END AS class, count(*) AS n FROM labels GROUP BY ALL")
+def population_stream(spark, sf):
+    """Counts kept by a stream over the files there are."""
+    return answers.latest_counts(spark, f"{sf}/labels.parquet", label="quality", parsed="toxic")
