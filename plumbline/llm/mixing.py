@@ -138,18 +138,19 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * _share()).alias("taken"))
 
 
-def _share() -> Column:
+def _share(prefix: str = "") -> Column:
     """Copies of the ``k``-th of ``rows`` equal rows."""
-    return (F.floor(F.col("total") / F.col("rows")) + (F.col("k") <= F.pmod("total", "rows")).cast("long")).cast("long")
+    total, rows, k = (F.col(prefix + c) for c in ("total", "rows", "k"))
+    return (F.floor(total / rows) + (k <= F.pmod(total, rows)).cast("long")).cast("long")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it, columns unchanged."""
     c = copies(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    single = c.select(_key("id", "source", "size").alias("__key"), F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "rows", "total")
+    single = c.select(_key("id", "source", "size").alias("__key"), F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("rows").alias("__rows"), F.col("total").alias("__total"))
     sized = docs.withColumn("__n", word_count(text_col))
     sized = sized.withColumn("__key", _key(id_col, F.col(source_col).cast("string"), "__n"))
     here = sized.join(single, "__key").where(F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
     same = W.partitionBy("__key").orderBy(F.xxhash64(*[F.col(x) for x in docs.columns]))  # as the join has dealt the rows
-    here = here.withColumn("k", F.row_number().over(same)).withColumn("__copies", _share()).where("__copies > 0")
-    return here.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    here = here.withColumn("__k", F.row_number().over(same)).withColumn("__copies", _share("__")).where("__copies > 0")
+    return here.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
