@@ -10,10 +10,11 @@ The join is exact. Sets are those of distinct ``width``-word shingles (64-bit ha
    suffix filter), and those that still have a partner are *active*. Only the sets of these are kept.
 4. Round one: in each prefix shingle's bucket, every class meets the bucket's first one. These pairs, as many as
    entries at most, are verified and linked; connected components follow.
-5. Round two: in buckets that still hold different components, all pairs across components go through the length,
-   positional and suffix filters inside the task that holds the bucket. The suffix filter compares counts of shingles by
-   hash class: they differ by no more than the sets do. What passes, a pair each, is verified once on the sets
-   themselves; then the components are final.
+5. Further rounds, in buckets that still hold different components: first every class outside a bucket's largest
+   component meets its nearest class inside, twice; then all pairs across components that are left go through the
+   length, positional and suffix filters inside the task that holds the bucket. The suffix filter compares counts of
+   shingles by hash class: they differ by no more than the sets do. What passes, a pair each, is verified once on the
+   sets themselves; after the last round the components are final.
 
 So a group of thousands of near copies costs a filter of its unlinked pairs in place, but never rows for all pairs.
 
@@ -394,8 +395,8 @@ def with_counts(entries: DataFrame, sets: DataFrame) -> DataFrame:
     return entries.join(counted, "cls").select("range", "token", "cls", "n", "pos", "comp", "counts")
 
 
-def cross_pairs(entries: DataFrame, t: int) -> DataFrame:
-    """Pairs of different components that pass all filters. A saturated count only lets more through."""
+def cross_pairs(entries: DataFrame, t: int, nearest: bool) -> DataFrame:
+    """Pairs of different components that pass all filters; or, with ``nearest``, of each class outside its bucket's largest component the pair with the nearest inside. A saturated count only lets more through."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("token", "ascending"), ("n", "ascending"), ("cls", "ascending")])
@@ -403,19 +404,28 @@ def cross_pairs(entries: DataFrame, t: int) -> DataFrame:
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), dtype=np.uint8).reshape(len(token), CLASSES)
         cuts = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
         found: list[np.ndarray] = []
+
+        def passing(i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            j = j[(comp[j] != comp[i]) & fits(n[i], n[j], t) & positional(n[i], pos[i], n[j], pos[j], t)]
+            apart = np.concatenate([differences(counts[i], counts[j[k : k + 4096]]) for k in range(0, len(j), 4096)] or [j])
+            ok = apart <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], t)
+            return j[ok], apart[ok]
+
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for i in range(a, b - 1):
-                j = np.arange(i + 1, np.searchsorted(n[a:b], 100 * n[i] // t, side="right") + a)
-                j = j[(comp[j] != comp[i]) & positional(n[i], pos[i], n[j], pos[j], t)]
-                if not len(j):
-                    continue
-                allowed = n[i] + n[j] - 2 * least_overlap(n[i], n[j], t)
-                for k in range(0, len(j), 4096):
-                    part = j[k : k + 4096]
-                    part = part[differences(counts[i], counts[part]) <= allowed[k : k + 4096]]
-                    if len(part):
-                        found.append(np.column_stack([np.minimum(cls[i], cls[part]), np.maximum(cls[i], cls[part])]))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            here = np.arange(a, b)
+            if nearest:
+                labels, size = np.unique(comp[a:b], return_counts=True)
+                inside = comp[a:b] == labels[size.argmax()]
+                for i in here[~inside]:
+                    j, apart = passing(i, here[inside])
+                    if len(j):
+                        found.append(np.array([[cls[i], cls[j[apart.argmin()]]]]))
+                continue
+            for i in here[:-1]:
+                j, _ = passing(i, np.arange(i + 1, np.searchsorted(n[a:b], 100 * n[i] // t, side="right") + a))
+                if len(j):
+                    found.append(np.column_stack([np.full(len(j), cls[i]), cls[j]]))
+        out = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
         return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
     return entries.groupBy("range").applyInArrow(run, "a long, b long").distinct()
@@ -441,19 +451,22 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     two = stored(buckets_of_two(prefix_entries(texts, width, t, ranges, sketch), t), "jaccard-candidates")
     active = stored(active_classes(two, classes.select("cls", "sig"), t), "jaccard-active")
     n_active = active.count()
-    linked = None
     if n_active:
         bitmap = spark.sparkContext.broadcast(membership(active, n_active))
         sets = stored(kept_sets(texts, width, sketch, bitmap), "jaccard-sets")
         entries = stored(set_entries(sets, t, ranges), "jaccard-entries")
         links = stored(verified(first_pairs(entries, t), sets, t), "jaccard-links")
-        comps = components(links)
-        two = buckets_of_two(entries, t).join(comps.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        two = stored(two, "jaccard-buckets")
-        several = two.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-        contested = with_counts(two.join(several, "token", "left_semi"), sets)
-        more = stored(verified(cross_pairs(contested, t), sets, t), "jaccard-links")
-        linked = components(links.union(more)) if more.limit(1).count() else comps
+        linked = components(links)
+        buckets = stored(buckets_of_two(entries, t), "jaccard-buckets")
+        for nearest in (True, True, False):
+            held = linked.select(F.col("node").alias("cls"), F.col("label").alias("comp"))
+            two = buckets.join(held, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            several = two.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+            contested = with_counts(two.join(several, "token", "left_semi"), sets)
+            more = stored(verified(cross_pairs(contested, t, nearest), sets, t), "jaccard-links")
+            if more.limit(1).count():
+                links = links.union(more)
+                linked = components(links)
         named = classes.join(linked.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     else:
         named = classes.withColumn("label", F.col("cls"))
