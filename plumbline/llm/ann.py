@@ -6,8 +6,9 @@ their centre, nearest first; leaves are visited in the order in which they leave
 calibrated on the sample: visits are widened until the mean recall against brute force reaches ``TARGET``; a walk also
 goes on until its leaves hold more rows than are asked for.
 
-Rows and visits meet by (leaf, salt): a leaf with more than ``BLOCK_ROWS`` rows is cut into salted blocks, so one vector
-that a third of all rows share is spread out. A block gives each of its queries its nearest rows only.
+Rows and visits meet by block: leaves are packed into blocks of about ``BLOCK_ROWS`` rows, and a leaf with more is cut
+into salted blocks of its own, so one vector that a third of all rows share is spread out. A block gives each of its
+queries the nearest rows of the leaves that the query visits, and no others.
 
 Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those whose length is not the most
 frequent one, nor rows without an id. A query's candidates are all rows with another id; ties go to the smaller id.
@@ -31,7 +32,7 @@ from .common import stored
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 1 << 22
 BRANCHES, LEAF_ROWS = 8, 48
 TARGET, CALIBRATION_QUERIES = 0.97, 256
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 2_048
 
 
 class Tree:
@@ -162,6 +163,18 @@ def nearest(index_ids: np.ndarray, index: np.ndarray, query_ids: np.ndarray, que
     return tuple(np.concatenate([x[j] for x in out]) for j in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def packed(counts: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The first block of each leaf: small leaves share one up to ``BLOCK_ROWS`` rows, a larger leaf has as many of its own as salts."""
+    out, block, held = np.zeros(len(counts), dtype=np.int64), 0, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if held and held + n > BLOCK_ROWS:
+            block, held = block + 1, 0
+        out[leaf], held = block, held + n
+        if salts[leaf] > 1:
+            block, held = block + int(salts[leaf]), 0
+    return out
+
+
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -191,26 +204,38 @@ def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_
     for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # as many rows as leaves
         counts[r["leaf"]] = r["n"]
     salts = np.maximum(1, -(-counts // BLOCK_ROWS))
-    salt_of = F.array(*[F.lit(int(s)) for s in salts])
-    blocks = index.withColumn("block", F.col("leaf").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.element_at(salt_of, F.col("leaf") + 1)))
+    firsts = packed(counts, salts)
+    of_leaf = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("leaf") + 1)
+    blocks = index.withColumn("block", (of_leaf(firsts) + F.pmod(F.xxhash64("id"), of_leaf(salts))).cast("long"))
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("array<struct<block: bigint, leaves: array<int>>>")
     def visited(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = shared.value
         for x in batches:
-            each = [t.visits(q, visits, counts, k + 1) for q in matrix(x, dim)] if len(x) else []
-            yield pa.array([[(leaf << 32) + s for leaf in v for s in range(int(salts[leaf]))] for v in each], type=pa.list_(pa.int64()))
+            out = []
+            for q in matrix(x, dim) if len(x) else ():
+                by: dict[int, list[int]] = {}
+                for leaf in t.visits(q, visits, counts, k + 1):
+                    for s in range(int(salts[leaf])):
+                        by.setdefault(int(firsts[leaf]) + s, []).append(leaf)
+                out.append([{"block": b, "leaves": v} for b, v in by.items()])
+            yield pa.array(out, type=pa.list_(pa.struct([("block", pa.int64()), ("leaves", pa.list_(pa.int32()))])))
 
     queries = found.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    probes = queries.withColumn("block", F.explode(visited("v")))
+    probes = queries.withColumn("p", F.explode(visited("v"))).select("p.block", "p.leaves", "id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _FOUND.empty_table()
-        part = [(t.column("id").to_numpy(), matrix(t.column("v").combine_chunks(), dim)) for t in (left, right)]
-        q, r, d = nearest(*part[0], *part[1], k)
-        return pa.table([pa.array(q), pa.array(r), pa.array(d)], schema=_FOUND)
-
-    near = blocks.select("block", "id", "v").groupBy("block").cogroup(probes.select("block", "id", "v").groupBy("block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+        (ids, x), (query_ids, q) = ((t.column("id").to_numpy(), matrix(t.column("v").combine_chunks(), dim)) for t in (left, right))
+        order = np.argsort(left.column("leaf").to_numpy(), kind="stable")
+        leaf, ids, x = left.column("leaf").to_numpy()[order], ids[order], x[order]
+        parts = []
+        for j, leaves in enumerate(right.column("leaves").to_pylist()):
+            here = np.isin(leaf, leaves)
+            parts.append(nearest(ids[here], x[here], query_ids[j : j + 1], q[j : j + 1], k))
+        return pa.table([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], schema=_FOUND)
+
+    near = blocks.select("block", "leaf", "id", "v").groupBy("block").cogroup(probes.groupBy("block")).applyInArrow(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
