@@ -20,7 +20,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +40,15 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Words(dict):
-    """Run of characters without white space -> ids, filled by encoding what is missing."""
+    """Run of characters without white space -> ids as 32-bit numbers in bytes, filled by encoding what is missing."""
 
     def __init__(self, encode):
         self.encode = encode
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = self.encode(word)
+        found = self[word] = np.array(self.encode(word), dtype=np.int32).tobytes()
         return found
 
 
@@ -69,6 +71,7 @@ class Bpe:
         self.strings = [""] * (1 + max(chain(self.vocab.values(), self.added.values())))
         for s, i in chain(self.vocab.items(), self.added.items()):
             self.strings[i] = s
+        self.table = pa.array(self.strings, type=pa.string())
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pieces = regex.compile(split.replace("\\s", "\\p{White_Space}"))
         self.space = regex.compile(r"\p{White_Space}+")
@@ -112,23 +115,20 @@ class Bpe:
         shape = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in run)
         return tuple(chain.from_iterable(self.word_ids(run[slice(*m.span())]) for m in self.pieces.finditer(shape)))
 
-    def plain_ids(self, text: str) -> Iterator[int]:
+    def plain_ids(self, text: str) -> bytes:
         """No piece goes across white space, and normalising does not either, so runs are taken one by one."""
         runs = self.space.split(text) if self.odd.search(text) else text.split()
-        return chain.from_iterable(map(self.words.__getitem__, filter(None, runs)))
+        return b"".join(map(self.words.__getitem__, filter(None, runs)))
 
-    def encode(self, text: str | None) -> list[int]:
+    def ids_in_bytes(self, text: str | None) -> bytes:
         if not text:
-            return []
+            return b""
         if self.cut is None or not any(x in text for x in self.added):
-            return list(self.plain_ids(text))
-        out: list[int] = []
-        for part in self.cut.split(text):
-            if part in self.added:
-                out.append(self.added[part])
-            elif part:
-                out.extend(self.plain_ids(part))
-        return out
+            return self.plain_ids(text)
+        return b"".join(np.int32(self.added[x]).tobytes() if x in self.added else self.plain_ids(x) for x in self.cut.split(text))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.ids_in_bytes(text), dtype=np.int32).tolist()
 
     def decode(self, ids) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -145,18 +145,19 @@ def load(path: str) -> Bpe:
 
 
 def encode_array(texts: pa.Array, bpe: Bpe) -> tuple[pa.Array, pa.Array]:
-    """Ids and decoded texts of a batch of texts. Ids are made flat, some texts at a time."""
-    flat, ends, decoded, total = [], [0], [], 0
+    """Ids and decoded texts of a batch of texts, some texts at a time; decoding looks the ids up and joins their strings."""
+    flat, ends, decoded, total = [], [np.zeros(1, dtype=np.int64)], [], 0
     it = iter(texts)
-    while part := [x.as_py() for x in islice(it, 256)]:
-        rows = [bpe.encode(t) for t in part]
-        flat.append(pa.array(chain.from_iterable(rows), type=pa.int32()))
-        decoded.append(pa.array([bpe.decode(r) for r in rows], type=pa.string()))
-        for r in rows:
-            total += len(r)
-            ends.append(total)
+    while part := [bpe.ids_in_bytes(x.as_py()) for x in islice(it, 256)]:
+        ids = pa.array(np.frombuffer(b"".join(part), dtype=np.int32))
+        end = np.cumsum([len(x) >> 2 for x in part])
+        at = pa.array(np.concatenate(([0], end)), type=pa.int32())
+        decoded.append(pc.binary_join(pa.ListArray.from_arrays(at, bpe.table.take(ids)), " "))
+        flat.append(ids)
+        ends.append(end + total)
+        total += len(ids)
     values = pa.concat_arrays(flat) if flat else pa.array([], type=pa.int32())
-    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values), pa.concat_arrays(decoded) if decoded else pa.array([], type=pa.string())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), type=pa.int32()), values), pa.concat_arrays(decoded) if decoded else pa.array([], type=pa.string())
 
 
 def encode(df: DataFrame, text_col: str = "text", *, path: str = "word_bpe_49k.json", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
