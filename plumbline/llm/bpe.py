@@ -2,7 +2,7 @@
 
 A word becomes a doubly linked list of symbols. Candidate merges wait in a priority queue ordered by merge rank, then
 position; a popped entry whose symbols have changed meanwhile is stale and is skipped. Decoding joins the vocabulary's
-strings. Words repeat a lot, so each worker keeps the ids of words it has met (cleared when the table is full).
+strings. Words repeat a lot, so each worker keeps the ids of words it has met lately.
 
 Text is prepared as the vocabulary's own file says: added tokens are cut out of the raw text first, then NFC, white
 space to single spaces, lower case by character, and pieces by the split pattern.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker remembers at most; the table is emptied when full, which changes speed only.
+#: Words whose ids a worker remembers in each of its two tables; what is forgotten changes speed only.
 REMEMBERED = 400_000
 
 # The byte-level alphabet gives printable bytes themselves and the others code points from 256 on.
@@ -40,15 +41,22 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Words(dict):
-    """Run of characters without white space -> ids as 32-bit numbers in bytes, filled by encoding what is missing."""
+    """Run of characters without white space -> ids as 32-bit numbers in bytes, filled by encoding what is missing.
+
+    When full, the table becomes the older one, from which what is met again comes back; the older one before it goes.
+    """
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = self.copy()
             self.clear()
-        found = self[word] = np.array(self.encode(word), dtype=np.int32).tobytes()
+        found = self.older.pop(word, None)
+        if found is None:
+            found = array("i", self.encode(word)).tobytes()
+        self[word] = found
         return found
 
 
