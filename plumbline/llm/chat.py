@@ -6,10 +6,11 @@ If the longer output does not go on from the shorter one (apart from a suffix th
 rewrites history, and the conversation is marked so. Inside its span a turn's text is found by rendering the same turn
 with two texts that differ in every character: what both share before and after is the template's, not the text's.
 
-Up to ``WINDOW`` turns each prefix is rendered whole. Beyond, the new turn is rendered after its last ``CONTEXT`` turns
-only, if that gave the very same spans for all turns so far; else whole prefixes go on. So a conversation is a stream:
-rows are dealt by conversation, sorted, and formatted batch by batch; a task holds a few turns, however long a
-conversation is.
+Each prefix is rendered whole, to the last turn: a template may begin to rewrite at any length. That holds a conversation
+in its task and costs the square of its length. Only a template that its author declares ``local`` is spared this: beyond
+``WINDOW`` turns the new turn is rendered after its last ``CONTEXT`` turns only, if that gave the very same spans for all
+turns so far; else whole prefixes go on. Then a conversation is a stream: rows are dealt by conversation, sorted, and
+formatted batch by batch; a task holds a few turns, however long a conversation is.
 
 Null texts and roles count as empty. Rows without a conversation id form one conversation. Rows of a conversation are
 taken by turn (nulls first), then role and text, so ties and repeated rows have a defined order and all stay. Other
@@ -44,6 +45,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def local(template: Callable[[list[Turn]], str]) -> Callable[[list[Turn]], str]:
+    """Declares that what a turn adds depends on it and the ``CONTEXT`` turns before it only, at any length, and that nothing before it changes."""
+    template.local = True
+    return template
+
+
+@local
 def plain_template(turns: list[Turn]) -> str:
     """``### role: text</turn>`` and a newline for each turn, control strings inside escaped by a backslash."""
     return "".join(f"### {escape(role).replace(':', chr(92) + ':')}: {escape(text)}</turn>\n" for role, text in turns)
@@ -74,12 +82,15 @@ class Renderer:
     """Takes a conversation's turns one by one and gives each one's span."""
 
     template: Callable[[list[Turn]], str]
-    turns: list[Turn] = field(default_factory=list)  # all, or the last CONTEXT when local
+    turns: list[Turn] = field(default_factory=list)  # all, or the last CONTEXT when windowed
     n: int = 0
     at: int = 0
-    local: bool = True
+    local: bool = field(init=False)
     windowed: bool = False
 
+    def __post_init__(self) -> None:
+        self.local = getattr(self.template, "local", False)
+
     def added(self, before: list[Turn], turn: Turn) -> tuple[str, bool, int]:
         """What the turn adds to the output, whether the output before was rewritten, and how long the moving suffix is."""
         shorter, longer = self.template(before), self.template([*before, turn])

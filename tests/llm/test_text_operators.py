@@ -240,6 +240,41 @@ def test_templates_that_rewrite_history_are_found():
     assert chat.rewrites_history(last_only, turns)
 
 
+LATE = {
+    "keeps the last 100": lambda t: chat.plain_template(t[-100:]),
+    "drops old turns past a budget": lambda t: chat.plain_template(t if len(t) <= 100 else t[:1] + t[-50:]),
+    "changes turns more than 4 back": lambda t: chat.plain_template(t if len(t) <= 100 else [*[(r, x.upper()) for r, x in t[:-5]], *t[-5:]]),
+}
+
+
+@pytest.mark.parametrize("template", LATE.values(), ids=LATE.keys())
+def test_chat_finds_a_template_that_starts_to_rewrite_at_turn_100(spark, template):
+    turns = [("user" if k % 2 == 0 else "assistant", f"said {k}") for k in range(130)]
+    assert not chat.rewrites_history(template, turns[:100])
+    assert chat.rewrites_history(template, turns)
+    df = spark.createDataFrame([(1, k, r, x) for k, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    rows = sorted(chat.format_turns(df, template=template).collect(), key=lambda r: r["position"])
+    assert [r["rewrites"] for r in rows] == [k >= 100 for k in range(130)]
+    assert [r["loss"] for r in rows] == [k < 100 and k % 2 == 1 for k in range(130)]
+    assert chat.read_back(chat.format_turns(df, template=template)).first()["rewrites"]
+
+
+def test_chat_takes_the_short_cut_only_where_the_template_is_declared_local():
+    most = {}
+
+    def seen(name):
+        def template(turns):
+            most[name] = max(most.get(name, 0), len(turns))
+            return chat.plain_template(turns)
+
+        return template
+
+    turns = [("user", f"said {k}") for k in range(200)]
+    spans = {name: [r.add(t) for t in turns] for name, r in (("unknown", chat.Renderer(seen("unknown"))), ("declared", chat.Renderer(chat.local(seen("declared")))))}
+    assert most == {"unknown": 200, "declared": chat.WINDOW}
+    assert spans["unknown"] == spans["declared"]
+
+
 def test_warc_pushdown_headers_and_edges(spark, tmp_path):
     big = "x" * 500
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (2, "http://b/2", big), (3, None, None), (4, "http://a b/4", ""), (5, "http://c", "short"), (6, "http://c", "short"), (None, "http://d", big), (7, "http://e", "é" * 200_000)]
