@@ -82,21 +82,29 @@ def threshold_metrics(df: DataFrame, by: tuple[str, ...], *, label: str = "y", s
     )
 
 
+def poisson_steps() -> list[float]:
+    """The distribution function of Poisson(1) at 0, 1, ... as far as a hash of 32 bits can reach."""
+    steps, p, total = [], 0.36787944117144233, 0.36787944117144233
+    while total <= 1 - 2**-32:
+        steps.append(total)
+        p /= len(steps)
+        total += p
+    return steps
+
+
 def resample_weight(seed: int, replicate: Column, key: Column) -> Column:
     """A Poisson(1) count by hash: how often a replicate draws a row."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    out, p, total = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):  # fixed values: the distribution function at 0..8
-        out = out + (u >= total).cast("int")
-        p /= k
-        total += p
+    out = F.lit(0)
+    for step in poisson_steps():
+        out = out + (u >= step).cast("int")
     return out
 
 
 def bootstrap_intervals(df: DataFrame, by: tuple[str, ...], *, key: str, label: str = "y", score: str = "score", replicates: int = 1000, confidence: float = 0.95, seed: int = 20260506) -> DataFrame:
     """Percentile intervals of roc_auc and pr_auc; replicates with one class are left out.
 
-    Rows with the same score and label are added up per replicate before any ordering.
+    Draws are Poisson weights, row by row, so a replicate's size varies around that of the table. Rows with the same score and label are added up per replicate before any ordering.
     """
     reps = df.select(*by, key, label, score).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = reps.withColumn("__w", resample_weight(seed, F.col("replicate"), F.col(key))).where("__w > 0")

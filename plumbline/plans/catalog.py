@@ -543,26 +543,36 @@ def metric_scope_grid(spark, sf):
     return rounded(out.select(*keys, "num_samples", "roc_auc", "pr_auc", "metric_status", "failure_reason"))
 
 
-REPLICATES = 40
+REPLICATES, WHOLE_REPLICATES = 40, 1000
 
 
-def _bootstrap_sql() -> str:
+def _bootstrap_sql(replicates: int = REPLICATES, most: int = 8) -> str:
     step, p, total = [], 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):
+    for k in range(1, most + 1):
         step.append(f"CAST(u >= CAST({total!r} AS DOUBLE) AS INTEGER)")
         p /= k
         total += p
     drawn = f"""{DOCS}, lab AS (SELECT doc_id, subset, label AS y, CAST(n_chars AS DOUBLE) AS score FROM docs WHERE label IS NOT NULL),
-        h AS (SELECT subset, y, score, rep, CAST(('0x' || md5('20260506:' || rep || ':' || doc_id)[1:8]) AS BIGINT) / 4294967296.0 AS u FROM lab, range({REPLICATES}) r(rep)),
-        w AS (SELECT subset, rep, y, score, {' + '.join(step)} AS w FROM h), many AS (SELECT subset, rep, y, score FROM w, range(9) r(k) WHERE k < w)"""
+        h AS (SELECT subset, y, score, rep, CAST(('0x' || md5('20260506:' || rep || ':' || doc_id)[1:8]) AS BIGINT) / 4294967296.0 AS u FROM lab, range({replicates}) r(rep)),
+        w AS (SELECT subset, rep, y, score, {' + '.join(step)} AS w FROM h), many AS (SELECT subset, rep, y, score FROM w, range({most + 1}) r(k) WHERE k < w)"""
     return f"""WITH {drawn}, {curve_sql('many', 'subset, rep')} SELECT subset, count(*) AS num_bootstrap, round(avg(roc_auc), 6) AS roc_auc_mean, round(quantile_cont(roc_auc, 0.025), 6) AS roc_auc_ci_low, round(quantile_cont(roc_auc, 0.975), 6) AS roc_auc_ci_high,
         round(avg(pr_auc), 6) AS pr_auc_mean, round(quantile_cont(pr_auc, 0.025), 6) AS pr_auc_ci_low, round(quantile_cont(pr_auc, 0.975), 6) AS pr_auc_ci_high FROM areas WHERE metric_status = 'ok' GROUP BY subset"""
 
 
+def _bootstrap(spark, sf, replicates):
+    d = docs(spark, sf).where("label is not null").select("doc_id", "subset", F.col("label").alias("y"), F.col("n_chars").cast("double").alias("score"))
+    return rounded(metrics.bootstrap_intervals(d, ("subset",), key="doc_id", replicates=replicates))
+
+
 @query(_bootstrap_sql())
 def bootstrap_ci(spark, sf):
-    d = docs(spark, sf).where("label is not null").select("doc_id", "subset", F.col("label").alias("y"), F.col("n_chars").cast("double").alias("score"))
-    return rounded(metrics.bootstrap_intervals(d, ("subset",), key="doc_id", replicates=REPLICATES))
+    return _bootstrap(spark, sf, REPLICATES)
+
+
+@query(_bootstrap_sql(WHOLE_REPLICATES, 12))
+def bootstrap_ci_whole(spark, sf):
+    """With the reference's number of replicates."""
+    return _bootstrap(spark, sf, WHOLE_REPLICATES)
 
 
 def _variant_metrics(spark, sf):

@@ -1,13 +1,16 @@
 """Small fixtures with worked results for the operators of the library."""
 
+import hashlib
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import gates, metrics, quality, reconcile, runtime, scoring, splits, vectors
+from plumbline.plans import catalog
 from plumbline.sources import readers, sinks
 
 
@@ -342,6 +345,60 @@ def test_bootstrap_brackets_the_point_estimate(spark):
     assert ci["num_bootstrap"] == 30 and ci["roc_auc_ci_low"] <= point["roc_auc"] <= ci["roc_auc_ci_high"]
 
 
+def drawn(seed, replicate, key):
+    """How often, by adding up the distribution without an end."""
+    u = int(hashlib.md5(f"{seed}:{replicate}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+    n, p, total = 0, math.exp(-1), math.exp(-1)
+    while u >= total and p > 0:
+        n += 1
+        p /= n
+        total += p
+    return n
+
+
+def test_a_row_may_be_drawn_more_than_eight_times(spark):
+    keys = [*range(500), 358037, 1891717]
+    got = frame(spark, [(k,) for k in keys], "id long").select(metrics.resample_weight(20260506, F.lit(0), F.col("id")).alias("w")).collect()
+    assert [r["w"] for r in got] == [drawn(20260506, 0, k) for k in keys]
+    assert [r["w"] for r in got[-2:]] == [9, 9]
+    steps = metrics.poisson_steps()
+    tail = [sum(math.exp(-1) / math.factorial(n) for n in range(k + 1, 40)) for k in range(len(steps) + 1)]
+    assert min(tail[:-1]) >= 2**-32 > tail[-1]  # the next step is beyond the hash
+
+
+def test_whole_bootstrap_equals_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").where("quality is not null").select("lang", "doc_id", "quality", "n_chars").collect()
+    want = {}
+    for lang in {r["lang"] for r in rows}:
+        mine, areas = [r for r in rows if r["lang"] == lang], []
+        for rep in range(1000):
+            w = [drawn(20260506, rep, r["doc_id"]) for r in mine]
+            at = {}
+            for r, k in zip(mine, w, strict=True):
+                at.setdefault(r["n_chars"], [0, 0])[1 - r["quality"]] += k
+            pos, neg = (sum(v[i] for v in at.values()) for i in (0, 1))
+            if not pos or not neg:
+                continue
+            tp = fp = roc = pr = 0
+            recall, precision = 0.0, 1.0
+            for score in sorted(at, reverse=True):
+                p, n = at[score]
+                if p + n == 0:
+                    continue
+                roc += n * (tp + p / 2)
+                tp, fp = tp + p, fp + n
+                pr += (tp / pos - recall) * (tp / (tp + fp) + precision) / 2
+                recall, precision = tp / pos, tp / (tp + fp)
+            areas.append((roc / pos / neg, pr))
+        if areas:
+            want[lang] = [len(areas), *[f(c) for c in zip(*areas, strict=True) for f in (np.mean, lambda c: np.percentile(c, 2.5), lambda c: np.percentile(c, 97.5))]]
+    got = {r["subset"]: [r[c] for c in ("num_bootstrap", "roc_auc_mean", "roc_auc_ci_low", "roc_auc_ci_high", "pr_auc_mean", "pr_auc_ci_low", "pr_auc_ci_high")] for r in catalog.bootstrap_ci_whole(spark, sf).collect()}
+    assert set(got) == set(want) and max(v[0] for v in got.values()) == 1000
+    for lang, values in want.items():
+        assert got[lang] == pytest.approx(values, abs=1e-6)
+
+
 def test_logistic_separates(spark):
     rows = [(k, [float(k % 2) + 0.1 * (k % 3), 1.0], k % 2, k < 30) for k in range(40)]
     got = scoring.logistic_scores(frame(spark, rows, "id long, v array<double>, y int, t boolean"), key="id", vector="v", label="y", train="t").collect()
