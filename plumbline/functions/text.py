@@ -11,6 +11,7 @@ OBJECT_QUESTION = r"(?iUd)^\s*is there\s+(?:a|an)\s+(.+?)\s+in the image\?\s*$"
 YES_WORDS, NO_WORDS = ("yes", "y", "1", "true", "present"), ("no", "n", "0", "false", "absent")
 STRICT_YES, STRICT_NO = ("yes", "1", "true", "present"), ("no", "0", "false", "absent")
 BYTE_UNITS = {"": 1, "b": 1, "kb": 1000, "mb": 1000**2, "gb": 1000**3, "tb": 1000**4, "kib": 1024, "mib": 1024**2, "gib": 1024**3, "tib": 1024**4}
+WHOLE_YES_NO = r"(?iu)(?<![\p{L}\p{N}_])(yes|no)(?![\p{L}\p{N}_])"  # word characters as Python has them: no marks
 QUESTION_SUFFIX = "Respond with only one word: yes or no."
 
 
@@ -65,8 +66,8 @@ def strict_label(text: Column) -> Column:
 def yes_no_answer(text: Column | str) -> Column:
     """1 or 0 by the first whole word yes or no in a free answer, else null."""
     text = F.col(text) if isinstance(text, str) else text
-    word = F.lower(F.regexp_extract(text, r"(?iU)\b(yes|no)\b", 1))
-    return F.when(word == "yes", 1).when(word == "no", 0)
+    word = F.lower(F.regexp_extract(text, WHOLE_YES_NO, 1))
+    return F.when(word == "yes", 1).when(word != "", 0)
 
 
 def response_answer(text: Column | str) -> Column:

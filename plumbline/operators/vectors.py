@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,11 +133,21 @@ def standard_scaled(df: DataFrame, key: str, vector: str, train: Column) -> Data
     return z.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda e: e["z"]).alias(vector))
 
 
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, the value worked out once: inside a lambda it would be again for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def subsequence_start(tokens: Column, part: Column) -> Column:
     """Index from 0 of the first occurrence of a contiguous part; null if there is none or it is empty."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - F.size(part) + 1, F.lit(1)))
-    hits = F.filter(starts, lambda i: F.slice(tokens, i, F.size(part)) == part)
-    return F.when((F.size(part) > 0) & (F.size(part) <= F.size(tokens)), F.try_element_at(hits, F.lit(1)) - 1)
+
+    def find(both: Column) -> Column:
+        tokens, part = both["tokens"], both["part"]
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - F.size(part) + 1, F.lit(1)))
+        hits = F.filter(starts, lambda i: F.slice(tokens, i, F.size(part)) == part)
+        return F.when((F.size(part) > 0) & (F.size(part) <= F.size(tokens)), F.try_element_at(hits, F.lit(1)) - 1)
+
+    return held(F.struct(tokens.alias("tokens"), part.alias("part")), find)
 
 
 def last_nonzero(mask: Column) -> Column:
@@ -146,8 +158,9 @@ def last_nonzero(mask: Column) -> Column:
 
 def token_span(ids: Column, token: int) -> Column:
     """First and last index from 0 of a token, null without it."""
-    hits = F.filter(F.sequence(F.lit(1), F.size(ids)), lambda i: F.element_at(ids, i) == token)
-    return F.when((F.size(ids) > 0) & (F.size(hits) > 0), F.struct((F.array_min(hits) - 1).alias("start"), (F.array_max(hits) - 1).alias("stop")))
+    found = lambda ids: F.filter(F.sequence(F.lit(1), F.size(ids)), lambda i: F.element_at(ids, i) == token)
+    span = lambda hits: F.when(F.size(hits) > 0, F.struct((F.array_min(hits) - 1).alias("start"), (F.array_max(hits) - 1).alias("stop")))
+    return held(ids, lambda ids: F.when(F.size(ids) > 0, held(found(ids), span)))
 
 
 def padded(values: Column, size: Column, pad: Column) -> Column:

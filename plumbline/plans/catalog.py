@@ -367,6 +367,24 @@ def format_question(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.formatted_question(T.formatted_question(q)).alias("question"))
 
 
+@query(
+    """SELECT conv_id, turn, CASE WHEN w IS NULL OR w = '' THEN NULL WHEN lower(w) = 'yes' THEN 1 ELSE 0 END AS answer
+    FROM (SELECT conv_id, turn, regexp_extract(replace(replace(text, '<think>', ' '), '</think>', ' '), '(?i)(?:^|[^\\pL\\pN_])(yes|no)(?:[^\\pL\\pN_]|$)', 1) AS w FROM conversations)"""
+)
+def parse_yes_no_answer_whole(spark, sf):
+    """Of the whole texts, as those below that end in ``whole``."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.response_answer("text").alias("answer"))
+
+
+@query(
+    """WITH q AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text || CASE turn % 2 WHEN 0 THEN '?' ELSE '' END, ''), '^[\\pZ\\t-\\r\\x1c-\\x1f\\x{85}]+', ''), '[\\pZ\\t-\\r\\x1c-\\x1f\\x{85}]+$', '') AS q FROM conversations)
+    SELECT conv_id, turn, CASE WHEN contains(lower(q), 'respond with only one word: yes or no.') THEN q ELSE CASE WHEN regexp_matches(q, '[?.!]$') THEN q ELSE q || '.' END || ' Respond with only one word: yes or no.' END AS question FROM q"""
+)
+def format_question_whole(spark, sf):
+    q = F.concat("text", F.when(F.col("turn") % 2 == 0, "?").otherwise(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.formatted_question(T.formatted_question(q)).alias("question"))
+
+
 @query("SELECT p_partkey, CAST(floor(CAST(p_size AS BIGINT) * CASE p_partkey % 3 WHEN 0 THEN 1000000 WHEN 1 THEN 1073741824 ELSE 1 END) AS BIGINT) AS bytes FROM part")
 def byte_size(spark, sf):
     third = F.col("p_partkey") % 3
@@ -494,6 +512,30 @@ def pad_and_spans(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", pad.alias("padded"), vectors.last_nonzero(mask).alias("last"), span["start"].alias("span_start"), span["stop"].alias("span_stop")).where("span_start is not null")
 
 
+@query(
+    """SELECT conv_id, turn, CAST(instr(text, CASE WHEN turn % 2 = 0 THEN 'er' ELSE 's' END) AS INTEGER) - 1 AS start
+    FROM conversations WHERE instr(text, CASE WHEN turn % 2 = 0 THEN 'er' ELSE 's' END) > 0"""
+)
+def subsequence_find_whole(spark, sf):
+    tokens = F.transform(F.split("text", ""), F.ascii)
+    part = F.when(F.col("turn") % 2 == 0, F.array(F.lit(101), F.lit(114))).otherwise(F.array(F.lit(115)))
+    return table(spark, sf, "conversations").select("conv_id", "turn", vectors.subsequence_start(tokens, part).alias("start")).where("start is not null")
+
+
+@query(
+    """SELECT conv_id, turn, text || repeat('_', greatest(CAST(1024 - length(text) AS INTEGER), 0)) AS padded, CAST(length(text) - 1 AS BIGINT) AS last, CAST(instr(text, 's') AS INTEGER) - 1 AS span_start, CAST(length(regexp_replace(text, '[^s]*$', '')) - 1 AS INTEGER) AS span_stop
+    FROM conversations WHERE instr(text, 's') > 0"""
+)
+def pad_and_spans_whole(spark, sf):
+    """Texts longer than the padding stay whole."""
+    chars = F.split("text", "")
+    mask = F.concat(F.transform(chars, lambda _: F.lit(1)), F.array(F.lit(0)))
+    span = vectors.token_span(F.transform(chars, F.ascii), 115)
+    pad = F.array_join(vectors.padded(chars, F.lit(1024), F.lit("_")), "")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", pad.alias("padded"), vectors.last_nonzero(mask).alias("last"), span.alias("span")).where("span is not null")
+    return rows.select("conv_id", "turn", "padded", "last", F.col("span.start").alias("span_start"), F.col("span.stop").alias("span_stop"))
+
+
 # --- metrics and gates -----------------------------------------------------------------------------------------------
 
 _METRIC_COLUMNS = "num_samples, num_positive, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(average_precision, 6) AS average_precision, metric_status, round(tpr_at_fpr, 6) AS tpr_at_fpr, round(fpr_at_tpr, 6) AS fpr_at_tpr"
@@ -636,6 +678,12 @@ def scorer_answers(spark, sf):
     return scoring.answered(asked, scoring.stub_scorer).select("conv_id", "turn", T.yes_no_answer("answer_text").alias("answer"))
 
 
+@query("SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN 1 ELSE 0 END AS answer FROM conversations")
+def scorer_answers_whole(spark, sf):
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+    return scoring.answered(asked, scoring.stub_scorer).select("conv_id", "turn", T.yes_no_answer("answer_text").alias("answer"))
+
+
 @query("SELECT CASE WHEN quality IS NULL OR quality NOT IN (0, 1) THEN 'invalid_label' WHEN toxic IS NULL THEN 'parsed_none' WHEN toxic = quality THEN 'correct' WHEN quality = 0 THEN 'hard_hallucination' ELSE 'false_negative_error' END AS class, count(*) AS n FROM labels GROUP BY ALL")
 def population_stream(spark, sf):
     """Counts kept by a stream over the files there are."""

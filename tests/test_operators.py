@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -345,6 +346,37 @@ def test_bootstrap_brackets_the_point_estimate(spark):
     assert ci["num_bootstrap"] == 30 and ci["roc_auc_ci_low"] <= point["roc_auc"] <= ci["roc_auc_ci_high"]
 
 
+def said(text):
+    found = re.search(r"\b(yes|no)\b", (text or "").replace("<think>", " ").replace("</think>", " "), re.IGNORECASE)
+    return found and int(found[1].lower() == "yes")
+
+
+def asked(text, turn):
+    q = (text if text is None else text + "?" * (turn % 2 == 0)) or ""
+    q, suffix = q.strip(), "Respond with only one word: yes or no."
+    return q if suffix.lower() in q.lower() else f"{q if q.endswith(('?', '.', '!')) else q + '.'} {suffix}"
+
+
+def test_text_queries_work_on_whole_texts(spark, tmp_path):
+    texts = [None, "", " \n\t", "yes", "No.", "nothing", "yesno", "éyes no", "yes\u0301, no", "ye\u017f", "x_yes", "²no yes", "<think>no</think>YES", "\x1c\u2028\xa0 Ja\u3000", "seß 🙂s er", "s\u0301er 🙂 s\u0301", "Is it? respond with only one word: YES or no. Now"]
+    texts += ["🙂" * 30_000 + " yes er s " + "é" * 30_000, "word\n" * 2000 + "No"]
+    rows = [(1, k, "user", t) for k, t in enumerate(texts)] + [(2, k + 1, "user", t) for k, t in enumerate(texts)]
+    frame(spark, rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {name: set() for name in ("parse_yes_no_answer", "scorer_answers", "format_question", "subsequence_find", "pad_and_spans")}
+    for conv, turn, _, t in rows:
+        want["parse_yes_no_answer"].add((conv, turn, said(t)))
+        want["scorer_answers"].add((conv, turn, int(len(t or "") % 2 == 0)))
+        want["format_question"].add((conv, turn, asked(t, turn)))
+        part = "er" if turn % 2 == 0 else "s"
+        if part in (t or ""):
+            want["subsequence_find"].add((conv, turn, t.index(part)))
+        if "s" in (t or ""):
+            want["pad_and_spans"].add((conv, turn, t.ljust(1024, "_"), len(t) - 1, t.index("s"), t.rindex("s")))
+    for name, expected in want.items():
+        got = [tuple(r) for r in catalog.QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect()]
+        assert len(got) == len(expected) and set(got) == expected, name
+
+
 def drawn(seed, replicate, key):
     """How often, by adding up the distribution without an end."""
     u = int(hashlib.md5(f"{seed}:{replicate}:{key}".encode()).hexdigest()[:8], 16) / 2**32
