@@ -138,8 +138,11 @@ class Members:
                 raw = memoryview(self.buffer)[self.at + head : self.at + known - 8]
                 inflate = zlib.decompressobj(-15)
                 start = inflate.decompress(raw, 4096)
-                while b"\r\n\r\n" not in start and inflate.unconsumed_tail:
-                    start += inflate.decompress(inflate.unconsumed_tail, 4096)
+                while start.count(b"\r\n\r\n") < 2 and not inflate.eof:  # up to the end of the HTTP header behind the record's own
+                    more = inflate.decompress(inflate.unconsumed_tail, len(start) or 4096)
+                    if not more:
+                        break
+                    start += more
                 crc = struct.unpack_from("<I", self.buffer, self.at + known - 8)[0]
                 step = known
             else:  # its length is unknown: inflate it all

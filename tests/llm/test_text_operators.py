@@ -275,6 +275,23 @@ def test_chat_takes_the_short_cut_only_where_the_template_is_declared_local():
     assert spans["unknown"] == spans["declared"]
 
 
+def test_warc_sizes_of_records_with_long_urls(spark, tmp_path):
+    big = "x" * 500
+    noise = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(300))
+    lengths = [*range(3400, 4140, 20), *range(7500, 8240, 20), 16_000]
+    rows = [(1, "http://a/1", big)]
+    for k, n in enumerate(lengths):
+        for text in (noise, "y" * len(noise)):  # that shrink little and much
+            rows += [(len(rows) + 1, f"http://a/{text[:n]}", big), (len(rows) + 2, f"http://a/{text[:n]}", f"own {k} {text[0]}")]
+    path = str(tmp_path / "w")
+    warc.write_warc(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")), path)
+    want = {k: len(t) for k, _, t in rows}
+    for columns in (None, "page_id,record_type,payload_bytes"):
+        got = warc.read_warc(spark, path, columns=columns).select("page_id", "record_type", "payload_bytes").collect()
+        assert sum(r["record_type"] == "revisit" for r in got) == 2 * len(lengths)
+        assert {r["page_id"]: r["payload_bytes"] for r in got} == want
+
+
 def test_warc_pushdown_headers_and_edges(spark, tmp_path):
     big = "x" * 500
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (2, "http://b/2", big), (3, None, None), (4, "http://a b/4", ""), (5, "http://c", "short"), (6, "http://c", "short"), (None, "http://d", big), (7, "http://e", "é" * 200_000)]
