@@ -12,6 +12,8 @@ How it runs:
 2. ``count``: each chunk sends its distinct n-grams with their counts, as sorted arrays cut by key range, to that
    range's group, which adds them up over all chunks and sends each chunk the totals of its own n-grams. The number of
    ranges grows with the input, so a group's memory does not. A frequent n-gram is one entry per chunk: no hot keys.
+   Keys are hashes of ``key_bits`` bits, ``SPARE`` more than it takes to number the corpus's tokens (64 at most): any
+   n-gram shares its key with another one with a chance of ``2**-SPARE`` at most, at every size of the corpus.
 3. ``score``: a chunk meets its totals again, and every token is scored there. Nothing that grows with the corpus goes
    through the driver: it gets sums, and a histogram of held-out tokens over a fixed grid of estimates.
 
@@ -34,7 +36,8 @@ from .common import END, combine, stored, text_slices, word_hashes
 
 CHUNK = 1 << 20  # tokens
 RANGE = 1 << 21  # n-grams that a group adds up, about
-ORDER = 2
+ORDER = 3
+SPARE = 24
 BUCKETS = 24
 GRID = 4  # steps of the histogram to a power of two
 _BEGIN = np.uint64(0x6A09E667F3BCC909)
@@ -99,10 +102,14 @@ def pack(docs: DataFrame, id_col: str, text_col: str, fold: Column, size: int =
     return rows.mapInArrow(run, _CHUNK_DDL)
 
 
+def key_bits(tokens: int) -> int:
+    return min(64, max(1, tokens).bit_length() + SPARE)
+
+
 class Chunk:
     """A chunk's tokens and its distinct n-grams of each order."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, bits: int):
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         vocab = np.frombuffer(row["vocab"], dtype=np.uint64)
         words = vocab[from_planes(row["tokens"], np.uint32)]
@@ -116,28 +123,28 @@ class Chunk:
                 before[self.starts] = begin
                 gram = combine(before, words)
                 begin = combine(np.array([begin]), np.array([_BEGIN]))[0]
-            k, p = np.unique(gram, return_inverse=True)
+            k, p = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
             self.keys.append(k)
             self.places.append(p)
 
 
-def cut_points(keys: np.ndarray, ranges: int) -> np.ndarray:
+def cut_points(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     """Where each key range starts among sorted keys, and the end."""
-    edges = [min((r << 64) // ranges, (1 << 64) - 1) for r in range(1, ranges)]
+    edges = [min((r << bits) // ranges, (1 << bits) - 1) for r in range(1, ranges)]
     return np.concatenate(([0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]))
 
 
-def count(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
+def count(chunks: DataFrame, order: int, ranges: int, bits: int) -> DataFrame:
     """Per chunk, order and key range: total and held-out counts of the chunk's n-grams, in the order of their keys."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row, order)
+                c = Chunk(row, order, bits)
                 out = []
                 for n, (keys, places) in enumerate(zip(c.keys, c.places, strict=True), 1):
                     counts = np.bincount(places, minlength=len(keys)).astype(np.uint32)
-                    cuts = cut_points(keys, ranges)
+                    cuts = cut_points(keys, ranges, bits)
                     for r in np.flatnonzero(np.diff(cuts)).tolist():
                         a, b = cuts[r], cuts[r + 1]
                         out.append({"n": n, "range": r, "chunk": row["chunk"], "fold": row["fold"], "keys": planes(np.diff(keys[a:b], prepend=np.uint64(0))), "counts": planes(counts[a:b])})
@@ -214,15 +221,16 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     sums = {r["fold"]: r for r in chunks.groupBy("fold").agg(F.sum(n).alias("tokens"), F.sum(F.size("ids")).alias("docs")).collect()}  # three rows
     of = lambda f, what: int(sums[f][what]) if f in sums else 0
     tokens, n_docs = of(TRAINED, "tokens") + of(DELETED, "tokens"), of(TRAINED, "docs") + of(DELETED, "docs")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(tokens + of(SCORED, "tokens")) // RANGE))
-    totals = stored(count(chunks, order, ranges), "lm-totals")
+    every = tokens + of(SCORED, "tokens")
+    ranges, bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every // RANGE)), key_bits(every)
+    totals = stored(count(chunks, order, ranges, bits), "lm-totals")
     vocabulary = int(totals.where("n = 1").agg(F.sum("known")).first()[0] or 0)
     uniform = 1.0 / (vocabulary + 1)
     left_tokens, left_docs = of(TRAINED, "tokens"), of(TRAINED, "docs")
 
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        c = Chunk(row, order)
+        c = Chunk(row, order, bits)
         rest = [t - h for t, h in zip(_totals(right, order, "totals"), _totals(right, order, "held"), strict=True)]
         p, seen = estimates(c, rest, left_tokens, left_docs)
         grid = [np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-300)) * GRID), _NONE).astype(np.int64) for x in p]
@@ -235,7 +243,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
 
     def result(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        c = Chunk(row, order)
+        c = Chunk(row, order, bits)
         found = _totals(right, order, "totals")
         p, seen = estimates(c, found, tokens, n_docs)
         w = weights[bucket_of(seen)]
