@@ -34,7 +34,6 @@ Turn = tuple[str, str]
 _PROBES = ("\ue000", "\ue001")
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>)")
-_ROLE_END = re.compile(r"\\:|: ")
 
 
 def escape(text: str) -> str:
@@ -73,6 +72,11 @@ class Span:
     rewrites: bool
 
 
+def shared_prefix(a: str, b: str) -> int:
+    """Length of what both start with; outputs that go on from each other are compared as a whole."""
+    return len(a) if b.startswith(a) else len(commonprefix([a, b]))
+
+
 def _common_suffix(a: str, b: str) -> int:
     return len(commonprefix([a[::-1], b[::-1]]))
 
@@ -85,24 +89,25 @@ class Renderer:
     turns: list[Turn] = field(default_factory=list)  # all, or the last CONTEXT when windowed
     n: int = 0
     at: int = 0
+    output: str | None = None  # of all turns so far, so that each prefix is rendered once; unknown when windowed
     local: bool = field(init=False)
     windowed: bool = False
 
     def __post_init__(self) -> None:
         self.local = getattr(self.template, "local", False)
 
-    def added(self, before: list[Turn], turn: Turn) -> tuple[str, bool, int]:
-        """What the turn adds to the output, whether the output before was rewritten, and how long the moving suffix is."""
-        shorter, longer = self.template(before), self.template([*before, turn])
-        same = len(commonprefix([shorter, longer]))
+    def added(self, shorter: str, before: list[Turn], turn: Turn) -> tuple[str, bool, str]:
+        """What the turn adds to ``shorter``, the output of the turns before, whether that was rewritten, and the new output."""
+        longer = self.template([*before, turn])
+        same = shared_prefix(shorter, longer)
         tail = len(shorter) - same
         if tail == 0:
-            return longer[same:], False, 0
+            return longer[same:], False, longer
         moved = longer.endswith(shorter[same:]) and len(longer) >= same + tail
-        return longer[same : len(longer) - tail if moved else len(longer)], not moved, tail if moved else 0
+        return longer[same : len(longer) - tail if moved else len(longer)], not moved, longer
 
-    def text_place(self, before: list[Turn], turn: Turn, piece: str) -> tuple[int, int] | None:
-        a, b = (self.added(before, (turn[0], x))[0] for x in _PROBES)
+    def text_place(self, shorter: str, before: list[Turn], turn: Turn, piece: str) -> tuple[int, int] | None:
+        a, b = (self.added(shorter, before, (turn[0], x))[0] for x in _PROBES)
         head, foot = len(commonprefix([a, b])), _common_suffix(a, b)
         if len(piece) < head + foot or piece[:head] != a[:head] or piece[len(piece) - foot :] != a[len(a) - foot :]:
             return None
@@ -110,17 +115,19 @@ class Renderer:
 
     def add(self, turn: Turn) -> Span:
         before = self.turns[-CONTEXT:] if self.windowed else self.turns
-        piece, rewrites, _ = self.added(before, turn)
-        place = self.text_place(before, turn, piece)
+        shorter = self.template(before) if self.output is None else self.output
+        piece, rewrites, longer = self.added(shorter, before, turn)
+        place = self.text_place(shorter, before, turn, piece)
         if not self.windowed and self.n >= CONTEXT and self.local:
             near = self.turns[-CONTEXT:]
-            self.local = not rewrites and self.added(near, turn)[0] == piece
+            self.local = not rewrites and self.added(self.template(near), near, turn)[0] == piece
         span = Span(self.at, piece, *(place or (0, 0)), rewrites or place is None)
         self.turns.append(turn)
         self.n += 1
         self.at += len(piece)
         if self.n >= WINDOW and self.local:
             self.windowed = True
+        self.output = None if self.windowed else longer
         if self.windowed:
             del self.turns[:-CONTEXT]
         return span
