@@ -5,13 +5,15 @@ triple word shapes (which kinds of characters a word has, its length class, whet
 feature's value is its share among the text's features of the same kind, so a score is the sparse dot product
 ``bias + sum over kinds of the mean weight of that kind's n-grams``, and long texts need no table of counts.
 
-Fitting takes a sample of at most ``max_rows`` labelled rows (a documented bound; those with the smallest hashes of
-their ids), in one task, and gives a weight vector of fixed size, which is what scoring broadcasts. Scoring covers every
-row and whole texts.
+Fitting takes a sample of at most ``max_rows`` labelled rows (a documented bound, kept also where ids repeat), in one
+task, and gives a weight vector of fixed size, which is what scoring broadcasts. Rows are taken, and seen by the fit, in
+the order of their ids' hashes, then ids, then hashes of their texts, so that weights do not depend on partitioning.
+Scoring covers every row and whole texts.
 
 Null texts count as empty: their score is that of the bias alone. Labels other than 0 and 1 are left out; of several
-labels of one document the larger counts. Without any label, weights are zero and every score is 0.5. Repeated rows
-stay repeated, other columns pass through, and an empty table gives an empty result.
+labels of one document the larger counts. Without any label, weights are zero and every score is 0.5. Very long texts
+are scored whole, one at a time. Repeated rows stay repeated, a column that has the name of the score is replaced, other
+columns pass through, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,21 +121,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Weights from the texts of ``docs`` that ``labels`` (already free of held-out rows) marks."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     sample = marked.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)  # at most max_rows ids: small enough to broadcast
-    chosen = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(sample), id_col).select(F.xxhash64(id_col).alias("__h"), "__y", "__text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    chosen = docs.select(id_col, text.alias("__text")).join(F.broadcast(sample), id_col)
+    chosen = chosen.select(F.xxhash64(id_col).alias("__h"), F.col(id_col).alias("__id"), F.xxhash64("__text").alias("__t"), "__y", "__text")
+    chosen = chosen.orderBy("__h", "__id", "__t", "__text").limit(max_rows).select("__y", "__text")  # an id may have many rows
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, y, at = [], [], []
+        rows, y = [], []
         for b in batches:
-            texts = b.column(2).to_pylist()
-            at += b.column(0).to_pylist()
-            y += b.column(1).to_pylist()
+            texts = b.column(1).to_pylist()
+            y += b.column(0).to_pylist()
             for i, j in text_slices(texts):
                 rows += rows_of([t.encode() for t in texts[i:j]])
-        order = np.lexsort((y, at)) if rows else []
-        w = ftrl([rows[k] for k in order], np.array([y[k] for k in order], dtype=float)) if rows else np.zeros((1 << BITS) + 1)
+        w = ftrl(rows, np.array(y, dtype=float)) if rows else np.zeros((1 << BITS) + 1)
         yield pa.RecordBatch.from_pydict({"weights": [w.astype(np.float32).tobytes()]}, schema=pa.schema([("weights", pa.binary())]))
 
-    held = chosen.repartition(1).mapInArrow(train, "weights binary").first()
+    held = chosen.coalesce(1).mapInArrow(train, "weights binary").first()  # the limit leaves one ordered partition
     return np.frombuffer(held[0], dtype=np.float32).astype(np.float64) if held else np.zeros((1 << BITS) + 1)
 
 

@@ -109,6 +109,57 @@ def test_quality_score_is_a_sparse_dot_product(spark, sf):
     assert np.allclose(got, want, atol=1e-9)
 
 
+def plain_ftrl(rows, labels):
+    """One weight at a time, as the papers write it."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for (columns, values), y in zip(rows, labels, strict=True):
+            w = {i: weight(i) for i in columns.tolist()}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in zip(columns.tolist(), values.tolist(), strict=True))))
+            for i, x in zip(columns.tolist(), values.tolist(), strict=True):
+                g = (p - y) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_fit_is_plain_ftrl_over_the_rows_in_order(spark, sf):
+    docs = [(i, t) for i, t, _ in documents(spark, sf)][:60]
+    docs += docs[:3] + [(docs[0][0], "another text"), (5000, None)]
+    labels = [(i, k % 2) for k, (i, _) in enumerate(docs[:60])] + [(5000, 1), (docs[1][0], 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    of = {}
+    for i, y in labels:
+        of[i] = max(y, of.get(i, 0))
+    hashed = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).collect()
+    order = sorted(hashed, key=lambda r: (r["h"], r["doc_id"], r["t"]))
+    for most in (1000, 20):
+        take = order[:most]
+        want = plain_ftrl(quality.rows_of([r["text"].encode() for r in take]), [of[r["doc_id"]] for r in take])
+        for parts in (1, 5):
+            got = quality.fit(d.repartition(parts), lab, max_rows=most)
+            assert np.count_nonzero(got) == sum(w != 0 for w in want.values())
+            assert all(math.isclose(got[i], w, rel_tol=1e-4, abs_tol=1e-7) for i, w in want.items())
+
+
+def test_quality_bounds_rows_where_one_id_has_many(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(2, "two")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    kept, quality.ftrl = quality.ftrl, lambda rows, y: seen.append(len(rows)) or np.full((1 << quality.BITS) + 1, float(len(rows)))
+    try:
+        assert quality.fit(docs, labels, max_rows=2)[0] == 2.0
+    finally:
+        quality.ftrl = kept
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "y"), (3, "good words here " * 20_000, "z")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")
