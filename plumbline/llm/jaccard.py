@@ -5,18 +5,26 @@ The join is exact. Sets are those of distinct ``width``-word shingles (64-bit ha
 1. Equal sets are one class from the start (128-bit fingerprints), so copies are never paired.
 2. Shingles have one global order, rare first: by their document frequency in a fixed-size table of counts, then hash.
    Two sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1`` of each (the prefix).
-3. Prefix shingles are grouped by key range. A class stays a candidate if one of its buckets has another class of
-   fitting length and place; candidates meet again with small signatures (counts of shingles by hash class, for the
-   suffix filter), and those that still have a partner are *active*. Only the sets of these are kept.
-4. Round one: in each prefix shingle's bucket, every class meets the bucket's first one. These pairs, as many as
-   entries at most, are verified and linked; connected components follow.
+3. Prefix shingles are dealt by key range, those of very frequent shingles by class instead. A class stays a candidate if
+   one of its buckets has another class of fitting length and place, or is very frequent; candidates meet again, in the
+   order of shingle and size, with small signatures (counts of shingles by hash class), and those that still have a
+   partner near them are *active*. Both only choose: whatever is passed costs time. Only the sets of these are kept.
+4. Round one: in each prefix shingle's bucket, every class meets the bucket's first one, by a join. These pairs, as many
+   as entries at most, go through the length, positional and suffix filters; what passes is verified and linked, and
+   connected components follow.
 5. Further rounds, in buckets that still hold different components: first every class outside a bucket's largest
-   component meets its nearest class inside, twice; then all pairs across components that are left go through the
-   length, positional and suffix filters inside the task that holds the bucket. The suffix filter compares counts of
-   shingles by hash class: they differ by no more than the sets do. What passes, a pair each, is verified once on the
-   sets themselves; after the last round the components are final.
+   component meets its nearest class inside, twice; then all pairs across components that are left go through the three
+   filters. A bucket of more than ``BLOCK`` classes is cut into blocks, and each pair of blocks is a group of its own,
+   so no task holds a whole large bucket.
+
+The suffix filter bounds what the shingles behind the shared one can have in common: of both suffixes the shingles are
+counted by hash class, and these counts differ by no more than the suffixes do. Pairs of each round are kept and left
+out of the later ones, so a pair is verified once, on the sets themselves. After the last round the components are final.
 
 So a group of thousands of near copies costs a filter of its unlinked pairs in place, but never rows for all pairs.
+``links`` is for those who want every linked pair of different sets: there each class is a component of its own.
+
+Classes are known by 64 bits of their fingerprints; the few whose 64 bits clash (checked, about ``n * n / 2**65``) take others.
 
 A text without words has an empty set and no links; one with fewer than ``width`` words has its whole sequence as its one
 shingle. Null texts count as empty. Rows without an id can link, but never name a component. Repeated rows stay
@@ -39,8 +47,11 @@ from .lm import from_planes, planes
 
 WIDTH, THRESHOLD = 5, 80  # words, per cent
 SKETCH, SLICES = 1 << 20, 64
-CLASSES, SIGNED = 1024, 128  # hash classes of the suffix filter: on sets, and in a row's signature
+SIGNED = 128  # hash classes of a row's signature
+CLASSES, FEW_CLASSES = 1024, 64  # hash classes of the suffix filter: across components, and in round one
 SHIFTS = 256  # entries further apart in a bucket count as partners when candidates are chosen
+FREQUENT = 1 << 15  # a shingle of so many rows, and of four times the mean slot's, is dealt by class
+BLOCK = 1024  # classes of a bucket that meet in one group
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -157,13 +168,14 @@ _ENTRY_DDL = "range int, token binary, cls binary, n binary, pos binary"
 _NUMBERS = (("token", np.uint64), ("cls", np.int64), ("n", np.uint32), ("pos", np.uint32))
 
 
-def dealt(token: np.ndarray, ranges: int, **columns: np.ndarray) -> pa.RecordBatch:
-    """Entries packed by the range of their token."""
+def dealt(token: np.ndarray, ranges: int, frequent: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Entries packed by the range of their token; those of frequent ones, by class, in ranges beyond."""
     r = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    r = np.where(frequent, ranges + (columns["cls"].view(np.uint64) % np.uint64(ranges)).astype(np.int64), r)
     order = np.argsort(r, kind="stable")
-    cuts = np.searchsorted(r[order], np.arange(ranges + 1))
+    cuts = np.searchsorted(r[order], np.arange(2 * ranges + 1))
     columns = {"token": token} | columns
-    rows = [{"range": k} | {c: planes(columns[c][order[cuts[k] : cuts[k + 1]]].astype(kind)) for c, kind in _NUMBERS} for k in range(ranges) if cuts[k + 1] > cuts[k]]
+    rows = [{"range": k} | {c: planes(columns[c][order[cuts[k] : cuts[k + 1]]].astype(kind)) for c, kind in _NUMBERS} for k in np.flatnonzero(np.diff(cuts)).tolist()]
     return pa.RecordBatch.from_pylist(rows, schema=_ENTRY)
 
 
@@ -182,8 +194,13 @@ def ordered(gram: np.ndarray, counts: np.ndarray, sketch: np.ndarray) -> np.ndar
     return gram[np.lexsort((gram, sketch[slot(gram)], doc))]
 
 
-def class_id(f: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return combine(f.view(np.uint64), g.view(np.uint64)).view(np.int64)
+def class_id(f: np.ndarray, g: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """64 bits of both fingerprints; other ones where these clash (``clashing``: sorted)."""
+    out = combine(f.view(np.uint64), g.view(np.uint64)).view(np.int64)
+    if len(clashing) and len(out):
+        clash = clashing[np.minimum(np.searchsorted(clashing, out), len(clashing) - 1)] == out
+        out = np.where(clash, combine(g.view(np.uint64), f.view(np.uint64)).view(np.int64), out)
+    return out
 
 
 class Seen:
@@ -203,19 +220,21 @@ class Seen:
         return out
 
 
-def prefix_entries(docs: DataFrame, width: int, t: int, ranges: int, sketch) -> DataFrame:
+def prefix_entries(docs: DataFrame, width: int, t: int, ranges: int, sketch, clashing: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
+        seen, counted = Seen(), sketch.value
+        frequent = max(FREQUENT, 4 * int(counted.mean()))
         for batch in batches:
             for _, _, texts in batches_of(batch, 1):
                 gram, counts = shingle_sets(texts, width)
-                cls = class_id(*fingerprints(gram, counts))
+                cls = class_id(*fingerprints(gram, counts), clashing)
                 use = seen.fresh(cls) & (counts > 0)
-                gram = ordered(gram, counts, sketch.value)
+                gram = ordered(gram, counts, counted)
                 p = np.where(use, prefix_length(counts, t), 0)
                 starts = np.cumsum(counts) - counts
                 pos = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-                yield dealt(gram[np.repeat(starts, p) + pos], ranges, cls=np.repeat(cls, p), n=np.repeat(counts, p), pos=pos)
+                token = gram[np.repeat(starts, p) + pos]
+                yield dealt(token, ranges, counted[slot(token)] > frequent, cls=np.repeat(cls, p), n=np.repeat(counts, p), pos=pos)
 
     return docs.mapInArrow(run, _ENTRY_DDL)
 
@@ -227,8 +246,8 @@ def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return apart.sum(axis=1, dtype=np.int64)
 
 
-def partnered(e: dict[str, np.ndarray], t: int, counts: np.ndarray | None = None) -> np.ndarray:
-    """Whether an entry's bucket has another class that the length and positional filters, and with ``counts`` the suffix filter, let through.
+def partnered(e: dict[str, np.ndarray], t: int, shifts: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """Whether an entry's bucket has another class that the length and positional filters, and with ``counts`` the counts of whole sets by hash class, let through.
 
     Entries are sorted by token and size, so a bucket's fitting partners of an entry follow it without a gap.
     """
@@ -239,7 +258,7 @@ def partnered(e: dict[str, np.ndarray], t: int, counts: np.ndarray | None = None
         k += 1
         i = i[i + k < len(token)]
         i = i[(token[i] == token[i + k]) & fits(n[i], n[i + k], t)]
-        if k > SHIFTS:
+        if k > shifts:
             found[i] = found[i + k] = True
             break
         a = i[~(found[i] & found[i + k])]
@@ -254,16 +273,39 @@ def partnered(e: dict[str, np.ndarray], t: int, counts: np.ndarray | None = None
     return found
 
 
-def active_classes(two: DataFrame, signed: DataFrame, t: int) -> DataFrame:
-    """From entries of ``buckets_of_two`` and the signatures (``cls``, ``sig``) of classes."""
+_CANDIDATE = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+
+
+def candidates(entries: DataFrame, t: int, ranges: int) -> DataFrame:
+    """Entries, as rows, whose bucket has another class of fitting size and place, and all of frequent shingles."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("token", "ascending"), ("n", "ascending"), ("cls", "ascending")])
-        e = {c: group.column(c).to_numpy() for c in ("token", "cls", "n", "pos")}
-        counts = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(len(group), -1)
-        return pa.table({"cls": pa.array(np.unique(e["cls"][partnered(e, t, counts)]))})
+        e = undealt(group)
+        ok = partnered(e, t, SHIFTS) if group.column("range")[0].as_py() < ranges else np.ones(len(e["token"]), dtype=bool)
+        return pa.table([pa.array(e["token"][ok].view(np.int64)), *(pa.array(e[c][ok]) for c in ("cls", "n", "pos"))], schema=_CANDIDATE)
+
+    return entries.groupBy("range").applyInArrow(run, "token long, cls long, n long, pos long")
+
+
+def active_classes(two: DataFrame, signed: DataFrame, t: int) -> DataFrame:
+    """Classes that have a partner, from ``candidates`` and the signatures (``cls``, ``sig``) of classes.
+
+    Entries are dealt in the order of shingle, size and class, so that a large bucket goes on from task to task. What lies
+    within ``SHIFTS`` entries of a batch's end, in a bucket that may go on there, counts as partnered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e = {c: batch.column(c).to_numpy() for c in ("token", "cls", "n", "pos")}
+            counts = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            found, at = partnered(e, t, SHIFTS, counts), np.arange(batch.num_rows)
+            found |= (e["token"] == e["token"][0]) & (at < SHIFTS) | (e["token"] == e["token"][-1]) & (at >= len(at) - SHIFTS)
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(np.unique(e["cls"][found]))})
 
-    return two.join(signed, "cls").select("range", "token", "cls", "n", "pos", "sig").groupBy("range").applyInArrow(run, "cls long").distinct()
+    rows = two.join(signed, "cls").select("token", "cls", "n", "pos", "sig")
+    return rows.repartitionByRange("token", "n", "cls").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "cls long").distinct()
 
 
 def membership(cls: DataFrame, n: int) -> np.ndarray:
@@ -292,7 +334,7 @@ def passes(slices: np.ndarray, cls: np.ndarray) -> np.ndarray:
 _CLASS_SET = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
-def kept_sets(docs: DataFrame, width: int, sketch, active) -> DataFrame:
+def kept_sets(docs: DataFrame, width: int, sketch, active, clashing: np.ndarray) -> DataFrame:
     """Sets of the active classes, one row each, in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +342,7 @@ def kept_sets(docs: DataFrame, width: int, sketch, active) -> DataFrame:
         for batch in batches:
             for _, _, texts in batches_of(batch, 1):
                 gram, counts = shingle_sets(texts, width)
-                cls = class_id(*fingerprints(gram, counts))
+                cls = class_id(*fingerprints(gram, counts), clashing)
                 use = (counts > 0) & passes(active.value, cls)
                 use[use] = seen.fresh(cls[use])
                 if use.any():
@@ -313,19 +355,44 @@ def kept_sets(docs: DataFrame, width: int, sketch, active) -> DataFrame:
     return docs.mapInArrow(run, "cls long, n long, tokens binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
-def set_entries(sets: DataFrame, t: int, ranges: int) -> DataFrame:
+def suffix_counts(tokens: np.ndarray, pos: np.ndarray, classes: int) -> Iterator[np.ndarray]:
+    """Of a set in the global order: for ascending places, some at a time, the counts by hash class of what stands behind them, saturated."""
+    at = (mix(tokens ^ _B) & np.uint64(classes - 1)).astype(np.int64)
+    left, done = np.bincount(at, minlength=classes), 0
+    for k in range(0, len(pos), 512):
+        part = pos[k : k + 512]
+        last = int(part[-1]) + 1
+        gone = np.zeros((len(part), classes), dtype=np.int64)
+        np.add.at(gone, (np.searchsorted(part, np.arange(done, last)), at[done:last]), 1)
+        np.cumsum(gone, axis=0, out=gone)
+        yield np.minimum(left - gone, 255).astype(np.uint8)
+        left, done = left - gone[-1], last
+
+
+def set_of(column: pa.Array, k: int) -> np.ndarray:
+    return np.frombuffer(column[k].as_buffer(), dtype=np.uint64)
+
+
+def binaries(rows: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in rows], type=pa.binary())
+
+
+_SIGNED_ENTRY = pa.schema([*_CANDIDATE, ("sig", pa.binary())])
+
+
+def set_entries(sets: DataFrame, t: int) -> DataFrame:
+    """Prefix shingles of the kept sets, a row each, with a small signature of what stands behind."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for r in batch.to_pylist():
-                p = int(prefix_length(np.int64(r["n"]), t))
-                parts.append((np.frombuffer(r["tokens"], dtype=np.uint64, count=p), r["cls"], r["n"], p))
-            if parts:
-                p = np.array([x[3] for x in parts])
-                pos = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-                yield dealt(np.concatenate([x[0] for x in parts]), ranges, cls=np.repeat(np.array([x[1] for x in parts], dtype=np.int64), p), n=np.repeat([x[2] for x in parts], p), pos=pos)
+            for k, (cls, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                tokens = set_of(batch.column(2), k)
+                pos = np.arange(int(prefix_length(np.int64(n), t)))
+                for part, sig in zip(np.split(pos, range(512, len(pos), 512)), suffix_counts(tokens, pos, FEW_CLASSES), strict=True):
+                    same = lambda x, part=part: pa.array(np.full(len(part), x, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), same(cls), same(n), pa.array(part), binaries(sig)], schema=_SIGNED_ENTRY)
 
-    return sets.select("cls", "n", "tokens").mapInArrow(run, _ENTRY_DDL)
+    return sets.select("cls", "n", "tokens").mapInArrow(run, "token long, cls long, n long, pos long, sig binary")
 
 
 def positional(na, pa_, nb, pb, t: int):
@@ -333,146 +400,190 @@ def positional(na, pa_, nb, pb, t: int):
     return 1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= least_overlap(na, nb, t)
 
 
+def allowed(na, pa_, nb, pb, t: int):
+    """By how much the suffixes may differ then."""
+    return (na - pa_ - 1) + (nb - pb - 1) - 2 * (least_overlap(na, nb, t) - 1)
+
+
 def first_pairs(entries: DataFrame, t: int) -> DataFrame:
-    """Each class of a bucket with the bucket's first one, by class, where sizes and places fit."""
+    """Each class of a bucket with the bucket's first one, by class, where length, positional and suffix filter let the pair through."""
+    first = entries.groupBy("token").agg(F.min(F.struct("cls", "n", "pos", "sig")).alias("p"), F.count("*").alias("m")).where("m > 1").drop("m")
 
-    def run(group: pa.Table) -> pa.Table:
-        e = undealt(group)
-        start = np.concatenate(([0], np.flatnonzero(e["token"][1:] != e["token"][:-1]) + 1))
-        size = np.diff(np.concatenate((start, [len(e["token"])])))
-        bucket = np.repeat(np.arange(len(start)), size)
-        by_class = np.lexsort((e["cls"], bucket))
-        pivot = by_class[start][bucket]
-        ok = (e["cls"] != e["cls"][pivot]) & fits(e["n"], e["n"][pivot], t) & positional(e["n"], e["pos"], e["n"][pivot], e["pos"][pivot], t)
-        found = np.unique(np.column_stack([e["cls"][pivot][ok], e["cls"][ok]]), axis=0)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+    @F.arrow_udf("boolean")
+    def through(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for n, pos, sig, m, at, other in batches:
+            n, pos, m, at = (x.to_numpy() for x in (n, pos, m, at))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(len(n), FEW_CLASSES) for c in (sig, other))
+            yield pa.array(fits(n, m, t) & positional(n, pos, m, at, t) & (differences(x, y) <= allowed(n, pos, m, at, t)))
 
-    return entries.groupBy("range").applyInArrow(run, "a long, b long").distinct()
+    met = entries.join(first, "token").where("cls != p.cls").where(through("n", "pos", "sig", "p.n", "p.pos", "p.sig"))
+    return met.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
+    """The pairs whose sets reach the threshold, with the size of their intersection."""
 
-    @F.arrow_udf("boolean")
-    def reaches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf("long")
+    def overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
             out = []
             for a, b in zip(x, y, strict=True):
                 a, b = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64)
-                out.append(len(np.intersect1d(a, b, assume_unique=True)) >= least_overlap(len(a), len(b), t))
-            yield pa.array(out, type=pa.bool_())
-
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").where(reaches("ta", "tb")).select("a", "b")
-
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(common if common >= least_overlap(len(a), len(b), t) else None)
+            yield pa.array(out, type=pa.int64())
 
-_CONTESTED = pa.schema([("range", pa.int32()), ("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    met = pairs.join(left, "a").join(right, "b")
+    return met.select("a", "b", "na", "nb", overlap("ta", "tb").alias("overlap")).where("overlap is not null")
 
 
-def buckets_of_two(entries: DataFrame, t: int) -> DataFrame:
-    """Entries, as rows, whose bucket has another class of fitting size and place."""
+_CONTESTED = pa.schema([("token", pa.int64()), ("m", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64()), ("inside", pa.bool_()), ("n", pa.int64()), ("pos", pa.int64()), ("counts", pa.binary())])
 
-    def run(group: pa.Table) -> pa.Table:
-        e = undealt(group)
-        ok = partnered(e, t)
-        r = group.column("range")[0].as_py()
-        return pa.table([pa.array([r] * int(ok.sum()), type=pa.int32()), pa.array(e["token"][ok].view(np.int64)), pa.array(e["cls"][ok]), pa.array(e["n"][ok]), pa.array(e["pos"][ok])], schema=_CONTESTED)
-
-    return entries.groupBy("range").applyInArrow(run, "range int, token long, cls long, n long, pos long")
-
-
-def with_counts(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds, per entry, the class's counts of shingles by hash class."""
-
-    @F.arrow_udf("binary")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for tokens in batches:
-            sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in tokens]
-            yield pa.array([signatures(x, np.array([len(x)]), CLASSES).tobytes() for x in sets], type=pa.binary())
 
-    counted = sets.join(entries.select("cls").distinct(), "cls", "left_semi").select("cls", run("tokens").alias("counts"))
-    return entries.join(counted, "cls").select("range", "token", "cls", "n", "pos", "comp", "counts")
+def contested(entries: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Entries of buckets that hold several components (``comps``: cls, comp; others are their own): with the bucket's size
+    ``m``, whether the class is inside the bucket's largest component, and counts of what stands behind."""
+    e = entries.select("token", "cls", "n", "pos").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    of = e.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token")
+    several = of.agg(F.sum("k").alias("m"), F.count("*").alias("c"), F.max_by("comp", F.struct("k", "comp")).alias("largest")).where("c > 1").select("token", "m", "largest")
+    e = e.join(several, "token").withColumn("inside", F.col("comp") == F.col("largest"))
+    by = e.groupBy("cls", "comp", "n").agg(F.collect_list(F.struct("token", "m", "inside", "pos")).alias("at"))  # a set's own prefix
 
-
-def cross_pairs(entries: DataFrame, t: int, nearest: bool) -> DataFrame:
-    """Pairs of different components that pass all filters; or, with ``nearest``, of each class outside its bucket's largest component the pair with the nearest inside. A saturated count only lets more through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, r in enumerate(batch.drop_columns(["tokens"]).to_pylist()):
+                at = sorted(r.pop("at"), key=lambda x: x["pos"])
+                of = {c: [x[c] for x in at] for c in ("token", "m", "inside", "pos")}
+                done = 0
+                for counts in suffix_counts(set_of(batch.column("tokens"), k), np.array(of["pos"]), CLASSES):
+                    here = {c: v[done : done + len(counts)] for c, v in of.items()} | {c: [v] * len(counts) for c, v in r.items()}
+                    done += len(counts)
+                    yield pa.RecordBatch.from_pydict(here | {"counts": binaries(counts)}, schema=_CONTESTED)
+
+    with_sets = by.join(sets.select("cls", "tokens"), "cls").select("cls", "comp", "n", "at", "tokens")
+    return with_sets.mapInArrow(run, "token long, m long, cls long, comp long, inside boolean, n long, pos long, counts binary")
+
+
+def cross_pairs(rows: DataFrame, t: int, nearest: bool, ranges: int) -> DataFrame:
+    """From ``contested``: pairs of different components that pass all filters; or, with ``nearest``, of each class outside
+    its bucket's largest component the pair with the nearest inside. A saturated count only lets more through."""
+    blocks, zero = F.ceil(F.col("m") / BLOCK), F.lit(0).cast("long")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("cls"), blocks))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    several = F.transform(F.sequence(zero, blocks - 1), lambda k: pair(F.least(k, "blk"), F.greatest(k, "blk")))
+    rows = rows.withColumn("p", F.explode(F.when(blocks > 1, several).otherwise(F.array(pair(zero, zero)))))
+    group = F.when(blocks > 1, F.xxhash64("token", "p.i", "p.j")).otherwise(F.pmod("token", F.lit(ranges)))
+    rows = rows.select(group.alias("g"), "token", "p.i", "p.j", "blk", "cls", "comp", "inside", "n", "pos", "counts")
+    empty = (pa.schema([(c, pa.int64()) for c in ("token", "cls", "other", "apart")]) if nearest else pa.schema([("a", pa.int64()), ("b", pa.int64())])).empty_table()
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("token", "ascending"), ("n", "ascending"), ("cls", "ascending")])
-        token, cls, n, pos, comp = (group.column(c).to_numpy() for c in ("token", "cls", "n", "pos", "comp"))
+        group = group.sort_by([(c, "ascending") for c in ("token", "i", "j", "n", "cls")])
+        token, i_, j_, blk, cls, comp, inside, n, pos = (group.column(c).to_numpy() for c in ("token", "i", "j", "blk", "cls", "comp", "inside", "n", "pos"))
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), dtype=np.uint8).reshape(len(token), CLASSES)
-        cuts = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
+        fresh = (token[1:] != token[:-1]) | (i_[1:] != i_[:-1]) | (j_[1:] != j_[:-1])
+        cuts = np.concatenate(([0], np.flatnonzero(fresh) + 1, [len(token)]))
         found: list[np.ndarray] = []
 
-        def passing(i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            j = j[(comp[j] != comp[i]) & fits(n[i], n[j], t) & positional(n[i], pos[i], n[j], pos[j], t)]
-            apart = np.concatenate([differences(counts[i], counts[j[k : k + 4096]]) for k in range(0, len(j), 4096)] or [j])
-            ok = apart <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], t)
-            return j[ok], apart[ok]
+        def passing(x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            y = y[(comp[y] != comp[x]) & fits(n[x], n[y], t) & positional(n[x], pos[x], n[y], pos[y], t)]
+            if i_[x] != j_[x]:  # between two blocks
+                y = y[blk[y] != blk[x]]
+            apart = np.concatenate([differences(counts[x], counts[y[k : k + 4096]]) for k in range(0, len(y), 4096)] or [y])
+            ok = apart <= allowed(n[x], pos[x], n[y], pos[y], t)
+            return y[ok], apart[ok]
 
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             here = np.arange(a, b)
             if nearest:
-                labels, size = np.unique(comp[a:b], return_counts=True)
-                inside = comp[a:b] == labels[size.argmax()]
-                for i in here[~inside]:
-                    j, apart = passing(i, here[inside])
-                    if len(j):
-                        found.append(np.array([[cls[i], cls[j[apart.argmin()]]]]))
+                within = here[inside[a:b]]
+                for x in here[~inside[a:b]]:
+                    y, apart = passing(x, within)
+                    if len(y):
+                        found.append(np.array([[token[x], cls[x], cls[y[apart.argmin()]], apart.min()]]))
                 continue
-            for i in here[:-1]:
-                j, _ = passing(i, np.arange(i + 1, np.searchsorted(n[a:b], 100 * n[i] // t, side="right") + a))
-                if len(j):
-                    found.append(np.column_stack([np.full(len(j), cls[i]), cls[j]]))
-        out = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
-
-    return entries.groupBy("range").applyInArrow(run, "a long, b long").distinct()
+            for x in here[:-1]:
+                y, _ = passing(x, np.arange(x + 1, np.searchsorted(n[a:b], 100 * n[x] // t, side="right") + a))
+                if len(y):
+                    found.append(np.column_stack([np.full(len(y), cls[x]), cls[y]]))
+        if not found:
+            return empty
+        out = np.concatenate(found) if nearest else np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.table([pa.array(out[:, k]) for k in range(out.shape[1])], schema=empty.schema)
+
+    if not nearest:
+        return rows.groupBy("g").applyInArrow(run, "a long, b long").distinct()
+    near = rows.groupBy("g").applyInArrow(run, "token long, cls long, other long, apart long")
+    best = near.groupBy("token", "cls").agg(F.min(F.struct("apart", "other")).alias("x"))
+    return best.select(F.least("cls", "x.other").alias("a"), F.greatest("cls", "x.other").alias("b")).distinct()
+
+
+class Prepared:
+    """What the rounds start from: rows and classes of ``docs``; and, if any class has a candidate partner, sets and entries of the active classes."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, t: int):
+        spark = docs.sparkSession
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        rows = stored(fingerprint_rows(texts, width), "jaccard-rows")
+        sketch = spark.sparkContext.broadcast(summed_sketch(rows))  # of fixed size
+        self.rows = rows.where("sketch is null").select("id", "n", "f", "g", "sig")
+        total = self.rows.agg(F.sum("n")).first()[0] or 0
+        self.ranges = ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 23)))
+        found = self.rows.where("n > 0").groupBy("f", "g").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"))
+        named = lambda clashing: F.arrow_udf(lambda f, g: pa.array(class_id(f.to_numpy(), g.to_numpy(), clashing)), "long")("f", "g")
+        none = np.zeros(0, dtype=np.int64)
+        repeated = found.select(named(none).alias("cls")).groupBy("cls").agg(F.count("*").alias("k")).where("k > 1")
+        clashing = np.array(sorted(r["cls"] for r in repeated.collect()), dtype=np.int64)  # about n * n / 2**65
+        self.classes = found.select(named(clashing).alias("cls"), "f", "g", "first_id", "sig")
+        two = stored(candidates(prefix_entries(texts, width, t, ranges, sketch, clashing), t, ranges), "jaccard-candidates")
+        active = stored(active_classes(two, self.classes.select("cls", "sig"), t), "jaccard-active")
+        n_active = active.count()
+        self.any = n_active > 0
+        if self.any:
+            bitmap = spark.sparkContext.broadcast(membership(active, n_active))
+            self.sets = stored(kept_sets(texts, width, sketch, bitmap, clashing), "jaccard-sets")
+            self.entries = stored(set_entries(self.sets, t), "jaccard-entries")
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """A row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links reach)."""
-    spark, t = docs.sparkSession, threshold
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(fingerprint_rows(texts, width), "jaccard-rows")
-    sketch = spark.sparkContext.broadcast(summed_sketch(rows))  # of fixed size
-    rows = rows.where("sketch is null").select("id", "n", "f", "g", "sig")
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    ranges = max(shuffles, -(-total // (1 << 23)))
-
-    @F.arrow_udf("long")
-    def cls(f: pa.Array, g: pa.Array) -> pa.Array:
-        return pa.array(class_id(f.to_numpy(), g.to_numpy()))
-
-    classes = rows.where("n > 0").groupBy("f", "g").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"))
-    classes = classes.select(cls("f", "g").alias("cls"), "f", "g", "first_id", "sig")
-    two = stored(buckets_of_two(prefix_entries(texts, width, t, ranges, sketch), t), "jaccard-candidates")
-    active = stored(active_classes(two, classes.select("cls", "sig"), t), "jaccard-active")
-    n_active = active.count()
-    if n_active:
-        bitmap = spark.sparkContext.broadcast(membership(active, n_active))
-        sets = stored(kept_sets(texts, width, sketch, bitmap), "jaccard-sets")
-        entries = stored(set_entries(sets, t, ranges), "jaccard-entries")
-        links = stored(verified(first_pairs(entries, t), sets, t), "jaccard-links")
+    """A row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links reach), and ``set_key``, the same for equal sets."""
+    t = threshold
+    p = Prepared(docs, id_col, text_col, width, t)
+    if p.any:
+        tried = stored(first_pairs(p.entries, t), "jaccard-tried")
+        links = stored(verified(tried, p.sets, t).select("a", "b"), "jaccard-links")
         linked = components(links)
-        buckets = stored(buckets_of_two(entries, t), "jaccard-buckets")
         for nearest in (True, True, False):
-            held = linked.select(F.col("node").alias("cls"), F.col("label").alias("comp"))
-            two = buckets.join(held, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            several = two.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-            contested = with_counts(two.join(several, "token", "left_semi"), sets)
-            more = stored(verified(cross_pairs(contested, t, nearest), sets, t), "jaccard-links")
+            comps = linked.select(F.col("node").alias("cls"), F.col("label").alias("comp"))
+            more = cross_pairs(contested(p.entries, comps, p.sets), t, nearest, p.ranges)
+            more = stored(more.join(tried, ["a", "b"], "left_anti"), "jaccard-tried")  # a pair is verified once
+            tried = tried.union(more)
+            more = stored(verified(more, p.sets, t).select("a", "b"), "jaccard-links")
             if more.limit(1).count():
                 links = links.union(more)
                 linked = components(links)
-        named = classes.join(linked.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        named = p.classes.join(linked.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     else:
-        named = classes.withColumn("label", F.col("cls"))
+        named = p.classes.withColumn("label", F.col("cls"))
     named = stored(named.select("f", "g", "label", "first_id"), "jaccard-named")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_class = named.join(least, "label").select(F.col("f").alias("__f"), F.col("g").alias("__g"), "component_id")
-    out = rows.join(of_class, (F.col("f") == F.col("__f")) & (F.col("g") == F.col("__g")), "left")
+    out = p.rows.join(of_class, (F.col("f") == F.col("__f")) & (F.col("g") == F.col("__g")), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    key = F.when(F.col("n") > 0, F.concat_ws("-", *[F.lower(F.hex(c)) for c in ("f", "g")]))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), key.alias("set_key"))
+
+
+def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """Every linked pair of different sets, once: ``a``, ``b`` (keys as ``set_key`` of ``groups``, a < b), ``a_id``, ``b_id`` (smallest ids of rows with these sets), ``jaccard``."""
+    p = Prepared(docs, id_col, text_col, width, threshold)
+    if not p.any:
+        return docs.sparkSession.createDataFrame([], "a string, b string, a_id long, b_id long, jaccard double")
+    alone = p.sets.select("cls", F.col("cls").alias("comp"))
+    pairs = stored(cross_pairs(contested(p.entries, alone, p.sets), threshold, False, p.ranges), "jaccard-tried")
+    found = stored(verified(pairs, p.sets, threshold), "jaccard-links").withColumn("jaccard", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
+    key = F.concat_ws("-", *[F.lower(F.hex(c)) for c in ("f", "g")])
+    side = lambda s: p.classes.select(F.col("cls").alias(s), F.struct(key.alias("k"), F.col("first_id").alias("id")).alias(f"s{s}"))
+    both = found.join(side("a"), "a").join(side("b"), "b").select(F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y"), "jaccard")
+    return both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"), "jaccard")

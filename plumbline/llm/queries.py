@@ -60,7 +60,8 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, threshold=90)
+    out = jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, threshold=90)
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +121,32 @@ SQL: dict[str, str] = {
             CAST(sum(4 + length(header) + 2 + length(escaped) + 8) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op6_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), g AS (
+            SELECT doc_id, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM w WHERE len(w) >= 3
+        ), s AS (
+            SELECT DISTINCT doc_id, a || ' ' || b || ' ' || c AS s FROM g WHERE c IS NOT NULL
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) IN (1, 2)
+        ), n AS (
+            SELECT doc_id, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS k FROM s GROUP BY doc_id
+        ), rep AS (
+            SELECT k, min(doc_id) AS r, min(n) AS n FROM n GROUP BY k
+        ), t AS (
+            SELECT r, n, s FROM rep JOIN s ON doc_id = r
+        ), p AS (
+            SELECT x.r AS a, y.r AS b FROM t x JOIN t y ON x.s = y.s AND x.r < y.r GROUP BY x.r, y.r, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+        ), both_ways AS (
+            SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+        ), reach AS (
+            SELECT r AS a, r AS b FROM rep UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+        ), comp AS (
+            SELECT a, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (k) LEFT JOIN comp ON comp.a = r
+    """,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

@@ -305,13 +305,82 @@ def test_jaccard_groups_against_all_pairs(spark, sf, width, t):
     assert got == brute_groups(docs, width, t)
 
 
-def test_jaccard_filters_beyond_the_shift_limit(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SHIFTS", 2)
-    rng = np.random.default_rng(9)
-    base = [f"z{k}" for k in range(60)]
-    docs = list(enumerate(near_copies(rng, base, 60, 0.02)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(spark.createDataFrame(docs, "doc_id long, text string"), width=3, threshold=80).collect()}
-    assert got == brute_groups(docs, 3, 80)
+def near_threshold(rng, groups=4, size=14, words_each=400):
+    """Groups of texts whose pairs lie on both sides of the threshold, and a passage that all share."""
+    common = [f"shared{k}" for k in range(12)]
+    docs = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(words_each)]
+        docs += [(100 * g + j, " ".join(common) + " " + x) for j, x in enumerate(near_copies(rng, base, size, 0.004 * (1 + j_rate(g))))]
+    return docs
+
+
+def j_rate(g):
+    return g % 3
+
+
+@pytest.mark.parametrize(("block", "frequent", "shifts"), [(1024, 1 << 15, 256), (3, 4, 2), (1, 1, 1)])
+def test_jaccard_splits_large_buckets_and_verifies_each_pair_once(spark, monkeypatch, block, frequent, shifts):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "SHIFTS", shifts)
+    seen = []
+    plain = jaccard.verified
+
+    def counted(pairs, sets, t):
+        seen.extend((r["a"], r["b"]) for r in pairs.select("a", "b").collect())
+        return plain(pairs, sets, t)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = near_threshold(np.random.default_rng(11))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(df, width=3, threshold=90).collect()}
+    assert got == brute_groups(docs, 3, 90)
+    assert seen and len(seen) == len(set(seen)) and all(a < b for a, b in seen)
+
+
+@pytest.mark.parametrize(("width", "t", "block"), [(3, 90, 4), (5, 80, 1024)])
+def test_jaccard_links_are_all_pairs_of_different_sets(spark, monkeypatch, width, t, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    docs = near_threshold(np.random.default_rng(width), words_each=120)
+    docs += [(9000 + j, docs[3][1]) for j in range(3)] + [(9100, None), (9101, "a b"), (9102, "A  b")]
+    sets = {}
+    for i, text in docs:
+        ws = words(text)
+        s = frozenset([tuple(ws)] if 0 < len(ws) < width else [tuple(ws[k : k + width]) for k in range(len(ws) - width + 1)])
+        if s:
+            sets[s] = min(i, sets.get(s, i))
+    want = {}
+    for (x, i), (y, j) in itertools.combinations(sets.items(), 2):
+        common = len(x & y)
+        if 100 * common >= t * (len(x) + len(y) - common):
+            want[min(i, j), max(i, j)] = common / (len(x) + len(y) - common)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = jaccard.links(df, width=width, threshold=t).collect()
+    assert {(min(r["a_id"], r["b_id"]), max(r["a_id"], r["b_id"])): r["jaccard"] for r in rows} == pytest.approx(want)
+    assert len(rows) == len(want) > 50
+    keys = {r["set_key"] for r in jaccard.groups(df, width=width, threshold=t).collect()}
+    assert {k for r in rows for k in (r["a"], r["b"])} <= keys and len(keys) == len(sets) + 1
+    assert jaccard.links(df.limit(0)).count() == 0
+
+
+def test_jaccard_suffix_counts_bound_what_suffixes_share():
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
+    pos = np.array([0, 1, 7, 600, 1300, 1499])
+    got = np.concatenate(list(jaccard.suffix_counts(tokens, pos, 64)))
+    for p, row in zip(pos, got, strict=True):
+        assert row.sum() == len(tokens) - p - 1
+        assert np.array_equal(row, next(jaccard.suffix_counts(tokens[p:], np.array([0]), 64))[0])
+    few = np.concatenate(list(jaccard.suffix_counts(tokens, np.arange(1500), 64)))
+    assert np.array_equal(few[pos], got)
+
+
+def test_jaccard_class_ids_that_clash_take_others():
+    f, g = np.arange(5), np.arange(5, 10)
+    plain = jaccard.class_id(f, g, np.zeros(0, dtype=np.int64))
+    changed = jaccard.class_id(f, g, np.sort(plain[[1, 3]]))
+    assert [a != b for a, b in zip(plain, changed, strict=True)] == [False, True, False, True, False]
 
 
 def test_jaccard_edges(spark):

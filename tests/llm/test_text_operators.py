@@ -200,7 +200,7 @@ def duck(sf, sql, tables):
     return rel.columns, rel.fetchall()
 
 
-@pytest.mark.parametrize(("name", "table"), [("op2_chat", "conversations"), ("op8_warc", "pages")])
+@pytest.mark.parametrize(("name", "table"), [("op2_chat", "conversations"), ("op6_jaccard", "documents"), ("op8_warc", "pages")])
 def test_queries_equal_their_sql(spark, sf, name, table):
     columns, rows = duck(sf, queries.SQL[name], [table])
     df = queries.QUERIES[name](spark, sf)
