@@ -41,11 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to a table of its own in the shared folder and reads that: lineage ends there, and lost executors cost nothing that was written."""
+    """Writes ``df`` to a table of its own in the shared folder and reads that: lineage ends there, and lost executors cost nothing that was written. The shuffle files behind it go once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
