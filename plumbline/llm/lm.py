@@ -60,7 +60,7 @@ def planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def from_planes(data: bytes, dtype) -> np.ndarray:
+def from_planes(data: bytes | pa.Buffer, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
@@ -125,7 +125,7 @@ class Chunk:
                 begin = combine(np.array([begin]), np.array([_BEGIN]))[0]
             k, p = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
             self.keys.append(k)
-            self.places.append(p)
+            self.places.append(p.astype(np.int32))
 
 
 def cut_points(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
@@ -151,19 +151,28 @@ def count(chunks: DataFrame, order: int, ranges: int, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=_SENT)
 
     def add(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        keys = [np.cumsum(from_planes(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-        counts = [from_planes(r["counts"], np.uint32) for r in rows]
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        folds = np.repeat([r["fold"] for r in rows], [len(k) for k in keys])
-        every = np.concatenate(counts).astype(np.float64)
-        total = np.bincount(place, weights=every * (folds != SCORED)).astype(np.uint64)
-        held = np.bincount(place, weights=every * (folds == DELETED), minlength=len(total)).astype(np.uint64)
+        rows = group.select(["n", "range", "chunk", "fold"]).to_pylist()
+        keys = np.concatenate([np.cumsum(from_planes(x.as_buffer(), np.uint64), dtype=np.uint64) for x in group.column("keys")])
+        sizes = [len(x.as_buffer()) >> 2 for x in group.column("counts")]
+        counts = np.concatenate([from_planes(x.as_buffer(), np.uint32) for x in group.column("counts")])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+        del keys
+        starts = np.flatnonzero(fresh)
+        place = np.empty(len(order), dtype=np.int32)  # of each entry among the distinct keys
+        place[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        folds = np.repeat(np.array([r["fold"] for r in rows], dtype=np.int8), sizes)[order]
+        counts = counts[order].astype(np.int64)
+        del order
+        total = np.add.reduceat(counts * (folds != SCORED), starts).astype(np.uint64)
+        held = np.add.reduceat(counts * (folds == DELETED), starts).astype(np.uint64)
+        del counts, folds
         known, out, at = int((total > 0).sum()), [], 0
-        for r, k in zip(rows, keys, strict=True):
-            p = place[at : at + len(k)]
-            at += len(k)
-            out.append({"n": r["n"], "range": r["range"], "chunk": r["chunk"], "fold": r["fold"], "totals": planes(total[p]), "held": planes(held[p]) if r["fold"] == DELETED else b"", "known": known})
+        for r, size in zip(rows, sizes, strict=True):
+            p = place[at : at + size]
+            at += size
+            out.append(r | {"totals": planes(total[p]), "held": planes(held[p]) if r["fold"] == DELETED else b"", "known": known})
             known = 0  # once a group
         return pa.Table.from_pylist(out, schema=_TOTAL)
 
@@ -171,48 +180,67 @@ def count(chunks: DataFrame, order: int, ranges: int, bits: int) -> DataFrame:
 
 
 def _totals(right: pa.Table, order: int, column: str) -> list[np.ndarray]:
-    rows = sorted(right.select(["n", "range", column]).to_pylist(), key=lambda r: (r["n"], r["range"]))
-    return [np.concatenate([from_planes(r[column], np.uint64) for r in rows if r["n"] == n] or [np.zeros(0, np.uint64)]).astype(np.int64) for n in range(1, order + 1)]
+    """Per order, the counts of the chunk's keys."""
+    n, r, values = right.column("n").to_numpy(), right.column("range").to_numpy(), right.column(column)
+    at = np.lexsort((r, n))
+    parts = lambda k: [from_planes(values[i].as_buffer(), np.uint64).view(np.int64) for i in at[n[at] == k].tolist()]
+    return [np.concatenate(parts(k) or [np.zeros(0, np.int64)]) for k in range(1, order + 1)]
 
 
-def estimates(c: Chunk, totals: list[np.ndarray], n_tokens: int, n_docs: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Maximum-likelihood estimates of each token by order, and how often its longest context was seen."""
-    seen = np.full(len(c.places[0]), n_tokens, dtype=np.int64)
-    out = []
+def seen_contexts(c: Chunk, totals: list[np.ndarray], n: int, n_tokens: int, n_docs: int) -> np.ndarray:
+    """How often each token's context of ``n - 1`` words was seen."""
+    if n == 1:
+        return np.full(len(c.places[0]), n_tokens, dtype=np.int64)
+    before = totals[n - 2][c.places[n - 2]]
+    seen = np.concatenate((before[:1], before[:-1]))
+    seen[c.starts] = n_docs
+    return seen
+
+
+def estimates(c: Chunk, totals: list[np.ndarray], n_tokens: int, n_docs: int) -> Iterator[np.ndarray]:
+    """Maximum-likelihood estimates of each token, order by order."""
     for n, (t, p) in enumerate(zip(totals, c.places, strict=True), 1):
-        if n > 1:
-            before = totals[n - 2][c.places[n - 2]]
-            seen = np.concatenate((before[:1], before[:-1]))
-            seen[c.starts] = n_docs
-        out.append(t[p] / np.maximum(seen, 1) * (seen > 0))
-    return out, seen
+        seen = seen_contexts(c, totals, n, n_tokens, n_docs)
+        yield t[p] / np.maximum(seen, 1) * (seen > 0)
 
 
 def bucket_of(seen: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(seen.astype(np.float64))[1], BUCKETS - 1)
 
 
-def learn(cells: np.ndarray, order: int, uniform: float, steps: int = 60) -> np.ndarray:
-    """Mixture weights by bucket (uniform first) from rows of bucket, the grid places of each order's estimate (or a mark below for none), and tokens."""
+_NONE, _PLACES = -8191, 1 << 13  # the mark of no estimate, and how many places of the grid there are at most
+
+
+def cells_of(bucket: np.ndarray, p: Iterator[np.ndarray]) -> np.ndarray:
+    """A number for each token: its bucket and the grid places of its estimates."""
+    out = bucket.astype(np.int64)
+    for x in p:
+        place = np.maximum(np.round(np.log2(np.where(x > 0, x, 1)) * GRID), _NONE + 1)
+        out = out * _PLACES - np.where(x > 0, place, _NONE).astype(np.int64)
+    return out
+
+
+def learn(cells: np.ndarray, tokens: np.ndarray, order: int, uniform: float, steps: int = 60) -> np.ndarray:
+    """Mixture weights by bucket (uniform first) from ``cells_of`` and how many tokens each cell has."""
     weights = np.full((BUCKETS, order + 1), 1.0 / (order + 1))
     if not len(cells):
         return weights
-    b, tokens = cells[:, 0].astype(int), cells[:, -1].astype(float)
-    p = np.where(cells[:, 1:-1] <= _NONE, 0.0, np.exp2(cells[:, 1:-1] / GRID))
-    p = np.column_stack([np.full(len(p), uniform), p])
+    p = np.empty((len(cells), order + 1))
+    b = cells.copy()
+    for k in range(order, 0, -1):
+        place = -(b % _PLACES)
+        p[:, k] = np.where(place == _NONE, 0.0, np.exp2(place / GRID))
+        b //= _PLACES
+    p[:, 0] = uniform
     for _ in range(steps):
         part = weights[b] * p
         part *= (tokens / part.sum(axis=1))[:, None]
-        got = np.zeros_like(weights)
-        np.add.at(got, b, part)
+        got = np.column_stack([np.bincount(b, weights=part[:, k], minlength=BUCKETS) for k in range(order + 1)])
         got += 1e-3  # no weight vanishes
         weights = got / got.sum(axis=1, keepdims=True)
     return weights
 
 
-_NONE = -10_000
-
-
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold: Column, order: int = ORDER) -> DataFrame:
     """Per row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``. ``fold``: 0, 1 or 2 for each row, as ``SCORED``, ``TRAINED`` and ``DELETED`` say."""
     spark = docs.sparkSession
@@ -232,24 +260,23 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         (row,) = left.to_pylist()
         c = Chunk(row, order, bits)
         rest = [t - h for t, h in zip(_totals(right, order, "totals"), _totals(right, order, "held"), strict=True)]
-        p, seen = estimates(c, rest, left_tokens, left_docs)
-        grid = [np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-300)) * GRID), _NONE).astype(np.int64) for x in p]
-        found, n = np.unique(np.column_stack([bucket_of(seen), *grid]), axis=0, return_counts=True)
-        return pa.table({"cell": pa.array(found.tolist(), type=pa.list_(pa.int64())), "n": pa.array(n, type=pa.int64())})
+        bucket = bucket_of(seen_contexts(c, rest, order, left_tokens, left_docs))
+        found, n = np.unique(cells_of(bucket, estimates(c, rest, left_tokens, left_docs)), return_counts=True)
+        return pa.table({"cell": pa.array(found), "n": pa.array(n, type=pa.int64())})
 
     deleted = chunks.where(F.col("fold") == DELETED).groupBy("chunk").cogroup(totals.where(F.col("fold") == DELETED).groupBy("chunk"))
-    histogram = deleted.applyInArrow(cells, "cell array<bigint>, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a fixed grid
-    weights = learn(np.array([[*r["cell"], r["n"]] for r in histogram]), order, uniform)
+    histogram = stored(deleted.applyInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "lm-cells").toArrow()  # a fixed grid
+    weights = learn(*(histogram.column(k).to_numpy() for k in ("cell", "n")), order, uniform)
 
     def result(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
         c = Chunk(row, order, bits)
         found = _totals(right, order, "totals")
-        p, seen = estimates(c, found, tokens, n_docs)
-        w = weights[bucket_of(seen)]
-        mixed = w[:, 0] * uniform
-        for k, x in enumerate(p, 1):
-            mixed += w[:, k] * x
+        bucket = bucket_of(seen_contexts(c, found, order, tokens, n_docs))
+        mixed = weights[:, 0][bucket] * uniform
+        for k, x in enumerate(estimates(c, found, tokens, n_docs), 1):
+            x *= weights[:, k][bucket]
+            mixed += x
         own = found[0][c.places[0]]
         per_doc = lambda x: np.add.reduceat(x, c.starts)
         base = np.log10((own + 1) / (tokens + vocabulary + 1))
