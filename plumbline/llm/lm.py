@@ -39,7 +39,7 @@ RANGE = 1 << 21  # n-grams that a group adds up, about
 ORDER = 3
 SPARE = 24
 BUCKETS = 24
-GRID = 4  # steps of the histogram to a power of two
+GRID = 2  # steps of the histogram to a power of two
 _BEGIN = np.uint64(0x6A09E667F3BCC909)
 
 _CHUNK = pa.schema([("chunk", pa.int64()), ("fold", pa.int32()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("vocab", pa.binary()), ("tokens", pa.binary())])
@@ -107,9 +107,9 @@ def key_bits(tokens: int) -> int:
 
 
 class Chunk:
-    """A chunk's tokens and its distinct n-grams of each order."""
+    """A chunk's tokens, the places of their n-grams of each order among the distinct ones, and, if wanted, the keys of these."""
 
-    def __init__(self, row: dict, order: int, bits: int):
+    def __init__(self, row: dict, order: int, bits: int, keyed: bool = False):
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         vocab = np.frombuffer(row["vocab"], dtype=np.uint64)
         words = vocab[from_planes(row["tokens"], np.uint32)]
@@ -124,7 +124,8 @@ class Chunk:
                 gram = combine(before, words)
                 begin = combine(np.array([begin]), np.array([_BEGIN]))[0]
             k, p = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
-            self.keys.append(k)
+            if keyed:
+                self.keys.append(k)
             self.places.append(p.astype(np.int32))
 
 
@@ -139,8 +140,9 @@ def count(chunks: DataFrame, order: int, ranges: int, bits: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row, order, bits)
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                c = Chunk(row, order, bits, keyed=True)
                 out = []
                 for n, (keys, places) in enumerate(zip(c.keys, c.places, strict=True), 1):
                     counts = np.bincount(places, minlength=len(keys)).astype(np.uint32)
