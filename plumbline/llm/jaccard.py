@@ -51,7 +51,7 @@ SIGNED = 128  # hash classes of a row's signature
 CLASSES, FEW_CLASSES = 1024, 64  # hash classes of the suffix filter: across components, and in round one
 SHIFTS = 256  # entries further apart in a bucket count as partners when candidates are chosen
 FREQUENT = 1 << 15  # a shingle of so many rows, and of four times the mean slot's, is dealt by class
-BLOCK = 1024  # classes of a bucket that meet in one group
+BLOCK = 512  # classes of a bucket that meet in one group
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -104,7 +104,7 @@ def batches_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, l
         yield a, b, [(t or "").encode() for t in texts[a:b]]
 
 
-_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("sketch", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("sketch", pa.binary())])
 
 
 def signatures(gram: np.ndarray, counts: np.ndarray, classes: int = SIGNED) -> np.ndarray:
@@ -115,7 +115,7 @@ def signatures(gram: np.ndarray, counts: np.ndarray, classes: int = SIGNED) -> n
 
 
 def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
-    """Each row's id, set size, fingerprints and signature; and, with ``sketch``, each task's counts of shingles by slot, in slices."""
+    """Each row's id and key, set size, fingerprints and signature; and, with ``sketch``, each task's counts of shingles by slot, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, dtype=np.int64)
@@ -126,11 +126,11 @@ def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
                 sketch += np.bincount(slot(gram), minlength=SKETCH)
                 m = b - a
                 sig = pa.array([x.tobytes() for x in signatures(gram, counts)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(counts.astype(np.int64)), pa.array(f), pa.array(g), sig, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), batch.column(2).slice(a, m), pa.array(counts.astype(np.int64)), pa.array(f), pa.array(g), sig, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=_SETS)
         for k, part in enumerate(np.split(sketch.astype(np.uint32), SLICES)):
             yield pa.RecordBatch.from_pylist([{"slice": k, "sketch": planes(part)}], schema=_SETS)
 
-    return docs.mapInArrow(run, "id long, n long, f long, g long, sig binary, slice int, sketch binary")
+    return docs.mapInArrow(run, "id long, key long, n long, f long, g long, sig binary, slice int, sketch binary")
 
 
 def summed_sketch(rows: DataFrame) -> np.ndarray:
@@ -522,12 +522,13 @@ def cross_pairs(rows: DataFrame, t: int, nearest: bool, ranges: int) -> DataFram
 class Prepared:
     """What the rounds start from: rows and classes of ``docs``; and, if any class has a candidate partner, sets and entries of the active classes."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, t: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, t: int, key_col: str | None = None):
         spark = docs.sparkSession
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        rows = stored(fingerprint_rows(texts, width), "jaccard-rows")
+        keyed = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(key_col).cast("long") if key_col else F.lit(None).cast("long"))
+        rows = stored(fingerprint_rows(keyed, width), "jaccard-rows")
         sketch = spark.sparkContext.broadcast(summed_sketch(rows))  # of fixed size
-        self.rows = rows.where("sketch is null").select("id", "n", "f", "g", "sig")
+        self.rows = rows.where("sketch is null").select("id", "key", "n", "f", "g", "sig")
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         self.ranges = ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 23)))
         found = self.rows.where("n > 0").groupBy("f", "g").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"))
@@ -546,10 +547,10 @@ class Prepared:
             self.entries = stored(set_entries(self.sets, t), "jaccard-entries")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """A row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links reach), and ``set_key``, the same for equal sets."""
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """A row per row of ``docs``: ``doc_id``, ``key`` (of ``key_col``, or null), ``n_shingles``, ``component_id`` (smallest id that links reach), ``component`` (a number for it that needs no ids; null without words) and ``set_key``, the same for equal sets."""
     t = threshold
-    p = Prepared(docs, id_col, text_col, width, t)
+    p = Prepared(docs, id_col, text_col, width, t, key_col)
     if p.any:
         tried = stored(first_pairs(p.entries, t), "jaccard-tried")
         links = stored(verified(tried, p.sets, t).select("a", "b"), "jaccard-links")
@@ -568,11 +569,11 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         named = p.classes.withColumn("label", F.col("cls"))
     named = stored(named.select("f", "g", "label", "first_id"), "jaccard-named")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(least, "label").select(F.col("f").alias("__f"), F.col("g").alias("__g"), "component_id")
+    of_class = named.join(least, "label").select(F.col("f").alias("__f"), F.col("g").alias("__g"), "component_id", F.col("label").alias("component"))
     out = p.rows.join(of_class, (F.col("f") == F.col("__f")) & (F.col("g") == F.col("__g")), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     key = F.when(F.col("n") > 0, F.concat_ws("-", *[F.lower(F.hex(c)) for c in ("f", "g")]))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), key.alias("set_key"))
+    return out.select(F.col("id").alias("doc_id"), "key", F.col("n").alias("n_shingles"), own.alias("component_id"), "component", key.alias("set_key"))
 
 
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:

@@ -15,7 +15,9 @@ the target by at most half its largest document. All draws are hashes of a seed
 
 Rows that repeat id, source and size are one unit with their number as multiplicity, so copies never pile up in one
 block; its copies are dealt evenly to its rows. Null sources are one source, the last in order; null texts have size 0,
-and rows of size 0 take 0 words and 0 or more copies as ``floor(r)`` says. An empty table gives an empty result.
+and rows of size 0 take 0 words and 0 or more copies as ``floor(r)`` says. Very long texts are counted whole and are units
+like others. Other columns, whatever their names, pass through ``mix``. An empty table gives an empty result. Sources
+are few (one row each meets in a window that orders them all).
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BLOCK = 64
+STEP = 65_536
 CAP = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20_240_501
@@ -134,7 +137,8 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """A row per document row: its id, ``size``, ``source_size``, ``target`` and ``taken`` words."""
     c = copies(docs, **options)
-    each = c.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    low = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(STEP).cast("long")))  # in steps, so that no array grows with the rows
+    each = c.withColumn("low", low).withColumn("k", F.explode(F.sequence(F.col("low") + 1, F.least(F.col("low") + STEP, F.col("rows")))))
     return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * _share()).alias("taken"))
 
 
