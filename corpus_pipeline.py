@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Every stage decides by rows, not by ids: null ids and repeated ids with different texts are rows like others. Null texts
+count as empty, very long texts are taken whole, other columns pass through whatever their names, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,35 +21,33 @@ LEAST_QUALITY = 0.3
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
+    """Drops the documents that the quality classifier rejects. Equal texts have equal scores: all of them go, or none; empty texts have the bias's score."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
     scored = quality.score(docs, quality.fit(docs, labels), score_col="__score")
     return scored.where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that the n-gram Jaccard join links: the one with the smallest id.
+    """Keeps one row of each group that the n-gram Jaccard join links: the one with the smallest id (null ids last).
 
-    Rows that have that id too (repeated rows) go as well; rows without an id, and rows without words, are kept.
+    Of several rows with that id, the one whose set of shingles has the smaller key stays, then the one that was stored
+    first. Rows without words are linked with nothing and all stay.
     """
-    found = jaccard.groups(docs)
-    gone = stored(found.where("n_shingles > 0 and doc_id is not null and doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = stored(repeated, "repeated-ids")
-    if not repeated.limit(1).count():
-        return kept
-    twice = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
+    found = jaccard.groups(rows, key_col="__row").where("component is not null").select("component", "key", F.struct(F.col("doc_id").isNull(), "doc_id", "set_key", "key").alias("place"))
+    found = stored(found, "near-copies-found")
+    first = found.groupBy("component").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(first.select("component", F.col("least.key").alias("__kept")), "component").where("key != __kept").select(F.col("key").alias("__row"))
+    return rows.join(stored(gone, "near-copies-gone"), "__row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it. Of equal rows each may be taken another number of times."""
     return mixing.mix(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and a check that they decode: what training reads."""
+    """Ids of each text, and the digest of what they decode to: what training reads. An empty text has no ids."""
     out = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
