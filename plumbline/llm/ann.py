@@ -1,25 +1,30 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on a bounded sample of the rows (``SAMPLE_ROWS``, and ``SAMPLE_VALUES`` numbers in all); every row is
-then indexed: it goes down the tree to its leaf. A query walks the tree with a priority queue of nodes by distance from
-their centre, nearest first; leaves are visited in the order in which they leave the queue. How many are visited is
-calibrated on the sample: visits are widened until the mean recall against brute force reaches ``TARGET``; a walk also
-goes on until its leaves hold more rows than are asked for.
+The tree is fitted on a sample of the rows that grows with the table (one in ``SAMPLE_SHARE``, ``SAMPLE_ROWS`` at least,
+``SAMPLE_VALUES`` numbers at most: beyond that, leaves grow); every row is then indexed: it goes down the tree to its leaf.
+A query walks the tree with a priority queue of nodes by distance from their centre, nearest first; leaves are visited in
+the order in which they leave the queue. How many are visited is calibrated on a sample of the queries themselves:
+visits are widened until the mean recall of their neighbours in the sample reaches ``TARGET``. That is done by bins of
+how far a query lies from its leaf's centre, compared with the leaf's own rows, so outliers get the visits that they need;
+a walk also goes on until its leaves hold more rows of other ids than are asked for.
 
 Rows and visits meet by block: leaves are packed into blocks of about ``BLOCK_ROWS`` rows, and a leaf with more is cut
-into salted blocks of its own, so one vector that a third of all rows share is spread out. A block gives each of its
+into salted blocks of its own, so one vector that a third of all rows share is spread out. A block that many queries
+visit is copied, once for each ``BLOCK_QUERIES`` of them; blocks that none visits are left out. A block gives each of its
 queries the nearest rows of the leaves that the query visits, and no others.
 
 Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those whose length is not the most
 frequent one, nor rows without an id. A query's candidates are all rows with another id; ties go to the smaller id.
-Repeated rows are candidates each; a repeated query id is searched once, with the smallest of its vectors. Extra
-columns are left out, and an empty table gives an empty result.
+Repeated rows are candidates each; a repeated query id is searched once, with the smallest of its vectors. Numbers of
+any size are taken: distances are scaled where squares would overflow or vanish. Extra columns are left out, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +34,19 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 1 << 22
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_VALUES = 20_000, 50, 1 << 24
 BRANCHES, LEAF_ROWS = 8, 48
-TARGET, CALIBRATION_QUERIES = 0.97, 256
-BLOCK_ROWS = 2_048
+TARGET, CALIBRATION_QUERIES, BINS = 0.97, 256, 8
+BLOCK_ROWS, BLOCK_QUERIES = 2_048, 4_096
 
 
 class Tree:
-    """Nodes as arrays: centres, first child and number of children (0 at a leaf), and the leaf's number."""
+    """Nodes as arrays: centres, first child and number of children (0 at a leaf), and the leaf's number. Vectors are scaled by a power of two on the way in."""
 
     def __init__(self, sample: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, seed: int = 7):
         rng = np.random.default_rng(seed)
+        self.scale = 2.0 ** -max(-1000, min(1000, int(np.frexp(np.abs(sample).max())[1])))
+        sample = self.scaled(sample)
         centres, first, n_children = [sample.mean(axis=0)], [0], [0]
         open_nodes = [(0, np.arange(len(sample)))]
         for node, rows in open_nodes:  # grows while it is walked, level by level
@@ -58,9 +65,25 @@ class Tree:
         self.first, self.n_children = np.array(first), np.array(n_children)
         self.leaf_of = np.where(self.n_children == 0, np.cumsum(self.n_children == 0) - 1, -1)
         self.leaves = int((self.n_children == 0).sum())
+        at = self.nodes_of(sample)
+        far = np.bincount(at, weights=((sample - self.centres[at]) ** 2).sum(axis=1), minlength=len(centres))
+        self.spread = np.sqrt(far / np.maximum(np.bincount(at, minlength=len(centres)), 1))
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x * self.scale, -1e100, 1e100)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row: the nearest child at each node on the way."""
+        """The leaf of each row."""
+        return self.leaf_of[self.nodes_of(self.scaled(x))]
+
+    def remoteness(self, x: np.ndarray) -> np.ndarray:
+        """How far each row lies from its leaf's centre, as compared with the sample's rows there."""
+        x = self.scaled(x)
+        at = self.nodes_of(x)
+        return np.sqrt(((x - self.centres[at]) ** 2).sum(axis=1)) / (self.spread[at] + 1e-12)
+
+    def nodes_of(self, x: np.ndarray) -> np.ndarray:
+        """The nearest child at each node on the way."""
         node = np.zeros(len(x), dtype=np.int64)
         moving = np.flatnonzero(self.n_children[node] > 0)
         while len(moving):
@@ -70,11 +93,11 @@ class Tree:
                 c = self.centres[self.first[k] : self.first[k] + self.n_children[k]]
                 node[rows] = self.first[k] + squares(x[rows], c).argmin(axis=1)
             moving = moving[self.n_children[node[moving]] > 0]
-        return self.leaf_of[node]
+        return node
 
     def walk(self, q: np.ndarray) -> Iterator[int]:
         """Leaves, best bin first."""
-        queue = [(0.0, 0)]
+        q, queue = self.scaled(q), [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
             if n := int(self.n_children[node]):
@@ -121,21 +144,49 @@ def split(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return out if len(out) > 1 else None
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, target: float = TARGET, queries: int = CALIBRATION_QUERIES) -> int:
-    """The fewest leaf visits with which the mean recall of the sample's own neighbours reaches ``target``."""
-    n = min(queries, len(sample))
-    pick = np.linspace(0, len(sample) - 1, n).astype(int)
-    leaf = tree.assign(sample)
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """From the differences themselves; scaled where their squares would leave the range of doubles."""
+    apart = np.abs(x - q)
+    most = apart.max(axis=1, initial=0)
+    d = np.sqrt((apart * apart).sum(axis=1)) if (most < 1e150).all() else np.full(len(x), np.inf)
+    odd = np.flatnonzero((most >= 1e150) | (most < 1e-150) & (most > 0)) if len(x) else []
+    if len(odd):
+        few = np.flatnonzero((most < 1e150) & (most >= 1e-150) | (most == 0))
+        d[few] = np.sqrt((apart[few] ** 2).sum(axis=1))
+        d[odd] = most[odd] * np.sqrt(((apart[odd] / most[odd, None]) ** 2).sum(axis=1))
+    return d
+
+
+@dataclass
+class Calibration:
+    """Least visits by remoteness: ``visits[i]`` below ``edges[i]``, the last beyond all."""
+
+    edges: np.ndarray
+    visits: np.ndarray
+
+    def least(self, remoteness: np.ndarray) -> np.ndarray:
+        return self.visits[np.searchsorted(self.edges, remoteness, side="right")]
+
+
+def calibrate(tree: Tree, ids: np.ndarray, sample: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, target: float = TARGET, bins: int = BINS) -> Calibration:
+    """For each bin of queries, the fewest leaf visits with which the mean recall of their neighbours in the sample reaches ``target``."""
+    leaf, far = tree.assign(sample), tree.remoteness(queries)
     found_at = []
-    for i in pick:
-        d = ((sample - sample[i]) ** 2).sum(axis=1)
-        d[i] = np.inf
-        near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+    for i, q in zip(query_ids, queries, strict=True):
+        d = distances(sample, q)
+        d[ids == i] = np.inf
+        near = np.argsort(d, kind="stable")[:k]
         rank = np.empty(tree.leaves, dtype=np.int64)
-        rank[list(tree.walk(sample[i]))] = np.arange(tree.leaves)
-        found_at.append(rank[leaf[near]] + 1)
-    flat = np.sort(np.concatenate(found_at)) if found_at else np.ones(1, dtype=np.int64)
-    return int(flat[min(len(flat) - 1, int(np.ceil(target * len(flat))))]) if len(flat) else 1
+        rank[list(tree.walk(q))] = np.arange(tree.leaves)
+        found_at.append(rank[leaf[near[ids[near] != i]]] + 1)
+    visits, edges = [], []
+    parts = np.array_split(np.argsort(far, kind="stable"), min(bins, len(far)))
+    for j, part in enumerate(parts):
+        flat = np.sort(np.concatenate([found_at[x] for x in part]))
+        visits.append(int(flat[min(len(flat) - 1, int(np.ceil(target * len(flat))))]) if len(flat) else 1)
+        if j:
+            edges.append(far[part[0]])
+    return Calibration(np.array(edges), np.maximum.accumulate(np.array(visits)))  # the more remote, the more visits
 
 
 def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -150,17 +201,13 @@ def matrix(a: pa.Array, dim: int) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(a), dim)
 
 
-def nearest(index_ids: np.ndarray, index: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its ``k`` nearest rows with another id: query id, row id, distance from the differences themselves."""
-    out = []
-    for q_id, q in zip(query_ids, queries, strict=True):
-        d = np.sqrt(((index - q) ** 2).sum(axis=1))
-        d[index_ids == q_id] = np.inf
-        few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-        few = few[np.lexsort((index_ids[few], d[few]))][:k]
-        few = few[np.isfinite(d[few])]
-        out.append((np.full(len(few), q_id), index_ids[few], d[few]))
-    return tuple(np.concatenate([x[j] for x in out]) for j in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+def nearest(index_ids: np.ndarray, index: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows with another id the ``k`` nearest: ids and distances."""
+    other = index_ids != query_id
+    ids, d = index_ids[other], distances(index[other], query)
+    few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+    few = few[np.lexsort((ids[few], d[few]))][:k]
+    return ids[few], d[few]
 
 
 def packed(counts: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -186,12 +233,20 @@ def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not lengths:
         return none
-    dim = lengths[0]["dim"]
+    dim, n_rows = lengths[0]["dim"], lengths[0]["n"]
     found = found.where(F.size("v") == dim)
-    chosen = found.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(max(1, min(sample_rows, SAMPLE_VALUES // dim))).select("v")
-    sample = matrix(chosen.toArrow().column(0).combine_chunks(), dim)  # bounded by the two parameters
+    queries = found.where(is_query).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
+
+    def sample_of(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+        t = df.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id", "v").limit(most).select("id", "v").toArrow().combine_chunks()
+        return t.column("id").to_numpy(), matrix(t.column("v").combine_chunks() if len(t) else pa.array([], pa.list_(pa.float64())), dim)
+
+    asked_ids, asked = sample_of(queries, CALIBRATION_QUERIES)
+    if not len(asked):
+        return none
+    ids, sample = sample_of(found, max(1, min(max(sample_rows, n_rows // SAMPLE_SHARE), SAMPLE_VALUES // dim)))  # bounded
     tree = Tree(sample)
-    visits = calibrate(tree, sample, k, target)
+    plan = calibrate(tree, ids, sample, asked_ids, asked, k, target)
     shared = spark.sparkContext.broadcast(tree)
 
     @F.arrow_udf("int")
@@ -205,37 +260,43 @@ def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_
         counts[r["leaf"]] = r["n"]
     salts = np.maximum(1, -(-counts // BLOCK_ROWS))
     firsts = packed(counts, salts)
-    of_leaf = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("leaf") + 1)
-    blocks = index.withColumn("block", (of_leaf(firsts) + F.pmod(F.xxhash64("id"), of_leaf(salts))).cast("long"))
+
+    @F.arrow_udf("long")
+    def block(leaf: pa.Array, h: pa.Array) -> pa.Array:
+        at = leaf.to_numpy()
+        return pa.array(firsts[at] + (h.to_numpy().view(np.uint64) % salts[at].astype(np.uint64)).astype(np.int64))
 
     @F.arrow_udf("array<struct<block: bigint, leaves: array<int>>>")
-    def visited(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def visited(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         t = shared.value
-        for x in batches:
-            out = []
-            for q in matrix(x, dim) if len(x) else ():
+        for x, own in batches:
+            out, m = [], matrix(x, dim) if len(x) else np.zeros((0, dim))
+            least = plan.least(t.remoteness(m)) if len(m) else ()
+            for q, n, rows in zip(m, least, own.to_pylist(), strict=True):
                 by: dict[int, list[int]] = {}
-                for leaf in t.visits(q, visits, counts, k + 1):
+                for leaf in t.visits(q, int(n), counts, k + rows):
                     for s in range(int(salts[leaf])):
                         by.setdefault(int(firsts[leaf]) + s, []).append(leaf)
                 out.append([{"block": b, "leaves": v} for b, v in by.items()])
             yield pa.array(out, type=pa.list_(pa.struct([("block", pa.int64()), ("leaves", pa.list_(pa.int32()))])))
 
-    queries = found.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    probes = queries.withColumn("p", F.explode(visited("v"))).select("p.block", "p.leaves", "id", "v")
+    probes = stored(queries.withColumn("p", F.explode(visited("v", "own"))).select("p.block", "p.leaves", "id", "v"), "ann-probes")
+    parts = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("parts"))
+    asking = probes.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+    there = index.withColumn("block", block("leaf", F.xxhash64("id"))).join(parts, "block")
+    there = there.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("block", "part", "leaf", "id", "v")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _FOUND.empty_table()
         (ids, x), (query_ids, q) = ((t.column("id").to_numpy(), matrix(t.column("v").combine_chunks(), dim)) for t in (left, right))
-        order = np.argsort(left.column("leaf").to_numpy(), kind="stable")
-        leaf, ids, x = left.column("leaf").to_numpy()[order], ids[order], x[order]
-        parts = []
-        for j, leaves in enumerate(right.column("leaves").to_pylist()):
+        leaf, out = left.column("leaf").to_numpy(), []
+        for query_id, v, leaves in zip(query_ids.tolist(), q, right.column("leaves").to_pylist(), strict=True):
             here = np.isin(leaf, leaves)
-            parts.append(nearest(ids[here], x[here], query_ids[j : j + 1], q[j : j + 1], k))
-        return pa.table([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], schema=_FOUND)
+            near, d = nearest(ids[here], x[here], query_id, v, k)
+            out.append((np.full(len(near), query_id), near, d))
+        return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], schema=_FOUND)
 
-    near = blocks.select("block", "leaf", "id", "v").groupBy("block").cogroup(probes.groupBy("block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    near = there.groupBy("block", "part").cogroup(asking.groupBy("block", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

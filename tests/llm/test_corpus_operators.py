@@ -60,6 +60,58 @@ def test_ann_recall_against_brute_force(spark, sf):
     assert hits / (10 * len(asked)) >= 0.9
 
 
+def recall(spark, rows, is_query, k=10):
+    want = exact_neighbours(rows, k)
+    got = collections.defaultdict(set)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), is_query, k=k).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    each = {q: len(got[q] & {i for i, _ in want[q]}) / k for q in got}
+    return float(np.mean(list(each.values()))), each
+
+
+def test_ann_recall_at_a_larger_scale(spark):
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    mean, _ = recall(spark, rows, F.col("id") % 100 == 0)
+    assert mean >= 0.95, mean
+
+
+def test_ann_recall_of_queries_unlike_the_rows(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(120, 24)) * 10
+    rows = [(i, (centres[i % 120] + rng.normal(size=24) * 0.3).tolist()) for i in range(6000)]
+    rows += [(10_000 + i, (rng.normal(size=24) * 60).tolist()) for i in range(120)]
+    outliers, _ = recall(spark, rows, F.col("id") >= 10_000)
+    assert outliers >= 0.9, outliers
+    mean, each = recall(spark, rows, (F.col("id") >= 10_000) & (F.col("id") % 3 == 0) | (F.col("id") % 20 == 0))
+    far = [x for q, x in each.items() if q >= 10_000]
+    assert mean >= 0.95 and np.mean(far) >= 0.9, (mean, np.mean(far))
+
+
+def test_ann_takes_numbers_of_any_size_and_ids_with_many_rows(spark):
+    rng = np.random.default_rng(6)
+    for size in (1e200, 1e-200, 1e305):
+        rows = [(i, (rng.normal(size=3) * size).tolist()) for i in range(30)]
+        got = collections.defaultdict(list)
+        for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"] / size))
+        want = exact_neighbours([(i, [x / size for x in v]) for i, v in rows], 10)
+        for q in (0, 10, 20):
+            assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+            assert np.allclose([d for _, d in got[q]], [d for _, d in want[q]], rtol=1e-9)
+    far = [(7, [100.0 + k * 1e-3, 100.0, 0.0]) for k in range(60)]
+    rows = far + [(100 + i, rng.normal(size=3).tolist()) for i in range(400)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 7).collect()
+    assert len(got) == 10 and all(r["vec_id"] >= 100 for r in got)
+
+
+def test_ann_copies_blocks_that_many_queries_visit(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(800)]
+    mean, each = recall(spark, rows, F.col("id") % 5 == 0)
+    assert len(each) == 160 and mean >= 0.95
+
+
 def test_ann_takes_odd_vectors_ties_copies_and_small_tables(spark):
     nan, inf = float("nan"), float("inf")
     good = [(i, [float(i % 4), 1.0, 0.0]) for i in range(12)]
