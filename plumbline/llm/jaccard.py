@@ -48,10 +48,10 @@ from .lm import from_planes, planes
 WIDTH, THRESHOLD = 5, 80  # words, per cent
 SKETCH, SLICES = 1 << 20, 64
 SIGNED = 128  # hash classes of a row's signature
-CLASSES, FEW_CLASSES = 1024, 64  # hash classes of the suffix filter: across components, and in round one
+CLASSES, FEW_CLASSES = 512, 64  # hash classes of the suffix filter: across components, and in round one
 SHIFTS = 256  # entries further apart in a bucket count as partners when candidates are chosen
 FREQUENT = 1 << 15  # a shingle of so many rows, and of four times the mean slot's, is dealt by class
-BLOCK = 512  # classes of a bucket that meet in one group
+BLOCK = 2048  # classes of a bucket that meet in one group
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -104,7 +104,7 @@ def batches_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, l
         yield a, b, [(t or "").encode() for t in texts[a:b]]
 
 
-_SETS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("sketch", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("sketch", pa.binary())])
 
 
 def signatures(gram: np.ndarray, counts: np.ndarray, classes: int = SIGNED) -> np.ndarray:
@@ -130,7 +130,7 @@ def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
         for k, part in enumerate(np.split(sketch.astype(np.uint32), SLICES)):
             yield pa.RecordBatch.from_pylist([{"slice": k, "sketch": planes(part)}], schema=_SETS)
 
-    return docs.mapInArrow(run, "id long, key long, n long, f long, g long, sig binary, slice int, sketch binary")
+    return docs.mapInArrow(run, "id long, key string, n long, f long, g long, sig binary, slice int, sketch binary")
 
 
 def summed_sketch(rows: DataFrame) -> np.ndarray:
@@ -525,7 +525,7 @@ class Prepared:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, t: int, key_col: str | None = None):
         spark = docs.sparkSession
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        keyed = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(key_col).cast("long") if key_col else F.lit(None).cast("long"))
+        keyed = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(key_col).cast("string") if key_col else F.lit(None).cast("string"))
         rows = stored(fingerprint_rows(keyed, width), "jaccard-rows")
         sketch = spark.sparkContext.broadcast(summed_sketch(rows))  # of fixed size
         self.rows = rows.where("sketch is null").select("id", "key", "n", "f", "g", "sig")
