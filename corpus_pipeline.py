@@ -10,6 +10,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +32,26 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group that the n-gram Jaccard join links: the one with the smallest id (null ids last).
 
     Of several rows with that id, the one whose set of shingles has the smaller key stays, then the one that was stored
-    first. Rows without words are linked with nothing and all stay.
+    first. Rows without words are linked with nothing and all stay. Rows are known by their place in the stored files.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
+    rows = placed(docs)
+    if rows is None:
+        rows = placed(stored(docs, "near-copies-rows"))
     found = jaccard.groups(rows, key_col="__row").where("component is not null").select("component", "key", F.struct(F.col("doc_id").isNull(), "doc_id", "set_key", "key").alias("place"))
     found = stored(found, "near-copies-found")
     first = found.groupBy("component").agg(F.min("place").alias("least"), F.count("*").alias("n")).where("n > 1")
-    gone = found.join(first.select("component", F.col("least.key").alias("__kept")), "component").where("key != __kept").select(F.col("key").alias("__row"))
-    return rows.join(stored(gone, "near-copies-gone"), "__row", "left_anti").select(*docs.columns)
+    first = stored(first.select("component", F.col("least.key").alias("__kept")), "near-copies-first")
+    gone = stored(found.join(first, "component").where("key != __kept").select(F.col("key").alias("__row")), "near-copies-gone")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+
+
+def placed(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``__row``, each row's place in the files that it is read from; none if it isn't read from files."""
+    try:
+        file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        return docs.select(*docs.columns, F.concat_ws(":", F.hex(F.xxhash64(file)), row.cast("string")).alias("__row"))
+    except AnalysisException:
+        return None
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
