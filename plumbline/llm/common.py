@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that end a word: space and the ASCII controls from tab to carriage return.
@@ -41,25 +43,45 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The shuffle files behind a table go once it is written; and tasks hand Python so many rows at once, as one row can be large.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+BATCH_ROWS = 1024
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to a table of its own in the shared folder and reads that: lineage ends there, and lost executors cost nothing that was written. The shuffle files behind it go once it is written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+@contextlib.contextmanager
+def _conf(spark: SparkSession, **values: str):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _write(df: DataFrame, write: Callable[[DataFrameWriter], None], batch_rows: int) -> None:
+    with _conf(df.sparkSession, **_WRITING, **{"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}):
+        write(df.write.option("compression", "zstd"))
+
+
+def stored(df: DataFrame, label: str, *, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Writes ``df`` to a table of its own in the shared folder and reads that: lineage ends there, and lost executors cost nothing that was written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _write(df, lambda w: w.parquet(path), batch_rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, column: str) -> tuple[str, DataFrame]:
+    """As ``stored``, in buckets of a column, so that joins on it need no shuffle of the table; and its name in the catalog, to be dropped there."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _write(df, lambda w: w.bucketBy(n, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name), BATCH_ROWS)
+    return name, spark.table(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, mix, stored, text_slices, word_hashes
+from .common import bucketed, combine, mix, stored, text_slices, word_hashes
 from .components import components
 from .lm import from_planes, planes
 
@@ -433,6 +433,8 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                 out.append(common if common >= least_overlap(len(a), len(b), t) else None)
             yield pa.array(out, type=pa.int64())
 
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = sets.join(needed, "cls", "left_semi")  # by bucket: what no pair names isn't shuffled
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     met = pairs.join(left, "a").join(right, "b")
@@ -538,14 +540,19 @@ class Prepared:
         clashing = np.array(sorted(r["cls"] for r in repeated.collect()), dtype=np.int64)  # about n * n / 2**65
         self.classes = found.select(named(clashing).alias("cls"), "f", "g", "first_id", "sig")
         two = stored(candidates(prefix_entries(texts, width, t, ranges, sketch, clashing), t, ranges), "jaccard-candidates")
-        active = stored(active_classes(two, self.classes.select("cls", "sig"), t), "jaccard-active")
+        active = stored(active_classes(two, self.classes.select("cls", "sig"), t), "jaccard-active", batch_rows=10_000)
         n_active = active.count()
         self.any = n_active > 0
         if self.any:
             bitmap = spark.sparkContext.broadcast(membership(active, n_active))
-            self.sets = stored(kept_sets(texts, width, sketch, bitmap, clashing), "jaccard-sets")
+            self.sets_name, self.sets = bucketed(kept_sets(texts, width, sketch, bitmap, clashing), "jaccard-sets", "cls")
             self.entries = stored(set_entries(self.sets, t), "jaccard-entries")
 
+    def forget_sets(self) -> None:
+        """Once no lazy result reads them any more."""
+        if self.any:
+            self.sets.sparkSession.sql(f"DROP TABLE IF EXISTS {self.sets_name}")
+
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """A row per row of ``docs``: ``doc_id``, ``key`` (of ``key_col``, or null), ``n_shingles``, ``component_id`` (smallest id that links reach), ``component`` (a number for it that needs no ids; null without words) and ``set_key``, the same for equal sets."""
@@ -568,6 +575,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     else:
         named = p.classes.withColumn("label", F.col("cls"))
     named = stored(named.select("f", "g", "label", "first_id"), "jaccard-named")
+    p.forget_sets()
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_class = named.join(least, "label").select(F.col("f").alias("__f"), F.col("g").alias("__g"), "component_id", F.col("label").alias("component"))
     out = p.rows.join(of_class, (F.col("f") == F.col("__f")) & (F.col("g") == F.col("__g")), "left")
@@ -584,6 +592,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     alone = p.sets.select("cls", F.col("cls").alias("comp"))
     pairs = stored(cross_pairs(contested(p.entries, alone, p.sets), threshold, False, p.ranges), "jaccard-tried")
     found = stored(verified(pairs, p.sets, threshold), "jaccard-links").withColumn("jaccard", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
+    p.forget_sets()
     key = F.concat_ws("-", *[F.lower(F.hex(c)) for c in ("f", "g")])
     side = lambda s: p.classes.select(F.col("cls").alias(s), F.struct(key.alias("k"), F.col("first_id").alias("id")).alias(f"s{s}"))
     both = found.join(side("a"), "a").join(side("b"), "b").select(F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y"), "jaccard")
