@@ -51,7 +51,7 @@ SIGNED = 128  # hash classes of a row's signature
 CLASSES, FEW_CLASSES = 512, 64  # hash classes of the suffix filter: across components, and in round one
 SHIFTS = 256  # entries further apart in a bucket count as partners when candidates are chosen
 FREQUENT = 1 << 15  # a shingle of so many rows, and of four times the mean slot's, is dealt by class
-BLOCK = 2048  # classes of a bucket that meet in one group
+BLOCK = 8192  # classes of a bucket that meet in one group
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
