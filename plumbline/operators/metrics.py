@@ -106,8 +106,8 @@ def bootstrap_intervals(df: DataFrame, by: tuple[str, ...], *, key: str, label:
 
     Draws are Poisson weights, row by row, so a replicate's size varies around that of the table. Rows with the same score and label are added up per replicate before any ordering.
     """
-    reps = df.select(*by, key, label, score).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = reps.withColumn("__w", resample_weight(seed, F.col("replicate"), F.col(key))).where("__w > 0")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: resample_weight(seed, r, F.col(key)))
+    drawn = df.select(*by, label, score, F.posexplode(draws).alias("replicate", "__w")).where("__w > 0")
     each = ranking_metrics(drawn, (*by, "replicate"), label=label, score=score, weight="__w").where("metric_status = 'ok'")
     low, high = (1 - confidence) / 2, (1 + confidence) / 2
     out = []

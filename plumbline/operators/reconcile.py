@@ -115,7 +115,3 @@ def missing(required: DataFrame, present: DataFrame, keys: tuple[str, ...]) -> D
 def counts_of_expected(entries: DataFrame, expected: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Entries per expected key; others are left out."""
     return entries.join(expected, list(keys), "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))
-
-
-def first_seen_order(c: Column) -> Column:
-    return F.min(c)

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.text import text_or_null
 from .quality import require_none
 
-# Names, shares and seed of the four splits.
+# Names, shares and seed of the four splits, and what a report says was done about conflicts.
 NAMES = ("encoder_train", "bank", "cal", "test")
 RATIOS = (0.5, 0.2, 0.1, 0.2)
 SEED = 20260506
 CONFLICT_ACTION = "ignored Stage 0 per-subset assignments and built a new POPE-family split"
 
+#: Groups whose order may be shuffled on the driver.
+EXACT_KEYS = 5_000_000
+
 
 def check_ratios(ratios: tuple[float, ...]) -> None:
     if len(ratios) != len(NAMES) or any(not math.isfinite(r) or r < 0 for r in ratios) or abs(sum(ratios) - 1) > 1e-6:
@@ -47,14 +50,16 @@ def grouped_split(df: DataFrame, group: str, *, ratios: tuple[float, ...] = RATI
 
     Groups are ranked by the md5 of seed and key, in Spark: hash buckets are counted first, then ranked inside, so no
     task sees all groups. ``exact`` shuffles sorted keys on the driver with Python's generator instead, which gives the
-    very permutation of a Mersenne twister; it is for key lists that fit there.
+    very permutation of a Mersenne twister; it raises beyond ``EXACT_KEYS`` groups.
     """
     check_ratios(ratios)
     key = text_or_null(group)
     require_none(df.where(key.isNull()), f"missing or blank group key {group!r}")
     keys = df.select(key.alias("__key")).distinct()
     if exact:
-        order = sorted(r[0] for r in keys.collect())
+        order = sorted(r[0] for r in keys.limit(EXACT_KEYS + 1).collect())
+        if len(order) > EXACT_KEYS:
+            raise ValueError(f"exact takes at most {EXACT_KEYS} groups: the driver holds them")
         random.Random(seed).shuffle(order)
         ranked = df.sparkSession.createDataFrame(list(enumerate(order, 1)) or [(0, "")], "__rank long, __key string")
         n = len(order)

@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 
 
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, the value worked out once: inside a lambda it would be again for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.reduce(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
 def unit(v: Column) -> Column:
-    n = F.greatest(norm(v), F.lit(EPS))
-    return F.transform(v, lambda x: x / n)
+    return held(F.struct(v.alias("v"), F.greatest(norm(v), F.lit(EPS)).alias("n")), lambda s: F.transform(s["v"], lambda x: x / s["n"]))
 
 
 def log_norm(v: Column) -> Column:
@@ -81,13 +85,16 @@ def angular(a: Column, b: Column) -> Column:
 
 #: Values of a bank that may be sent to every task; a larger one is dealt in blocks.
 BANK_VALUES = 1 << 24
+#: Values of the queries that one task holds, about.
+QUERY_VALUES = 1 << 20
 
 
 def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int = 10, metric: str = "euclidean") -> DataFrame:
     """``key``, ``score``: mean distance to the k nearest bank rows. A query that is in the bank meets itself too.
 
     The distances are worked out in numpy: each bank block (of checked size) meets all queries and gives each its k
-    smallest, which are merged per query; so neither side must fit a task, and no pair of rows is ever a row.
+    smallest, which are merged per query. Both sides are dealt in parts of bounded size, as many as it takes, so neither
+    must fit a task, and no pair of rows is ever a row.
     """
     import numpy as np
     import pyarrow as pa
@@ -117,7 +124,7 @@ def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k:
             at += [i] * len(near)
         return pa.table({"key": keys.take(pa.array(at, type=pa.int64())), "d": pa.array(np.concatenate(out) if out else [], type=pa.float64())})
 
-    parts = 32
+    parts = max(1, -(-queries.count() * size["d"] // QUERY_VALUES))
     dealt = q.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     copies = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     found = dealt.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInArrow(meet, f"key {key_type}, d double")
@@ -133,11 +140,6 @@ def standard_scaled(df: DataFrame, key: str, vector: str, train: Column) -> Data
     return z.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda e: e["z"]).alias(vector))
 
 
-def held(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)``, the value worked out once: inside a lambda it would be again for every element."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def subsequence_start(tokens: Column, part: Column) -> Column:
     """Index from 0 of the first occurrence of a contiguous part; null if there is none or it is empty."""
 

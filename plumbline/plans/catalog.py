@@ -662,7 +662,20 @@ def norm_gate(spark, sf):
 # --- models, scorers, streams: no SQL, or none needed ------------------------------------------------------------------
 
 
-@query()
+def _model_gates_sql() -> str:
+    parts = []
+    for name, pairs, drop in (("sphere_g", gates.SPHERE, 0.02), ("traj_g", gates.TRAJECTORY, 0.05)):
+        values = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+        parts.append(f"""d{name} AS (SELECT x.readout, x.pr_auc - z.pr_auc AS pr, x.roc_auc - z.roc_auc AS roc FROM (VALUES {values}) p(a, b) JOIN m x ON x.variant = p.a JOIN m z ON z.variant = p.b AND z.readout = x.readout),
+        c{name} AS (SELECT count(*) AS n, count(DISTINCT readout) FILTER (pr >= 0.01 AND roc >= -{drop}) AS won, count(*) FILTER (pr < 0 AND roc < 0) AS worse FROM d{name}),
+        {name} AS (SELECT CASE WHEN won > 1 THEN 'pass' WHEN won = 1 THEN 'mixed' WHEN n > 0 AND worse = n THEN 'fail' ELSE 'mixed' END AS status FROM c{name})""")
+    norm = "SELECT CASE WHEN max(pr_auc) FILTER (variant LIKE 'Norm-%') >= 0.9 * max(pr_auc) FILTER (variant NOT LIKE 'Norm-%') THEN 'strong' ELSE 'weak' END AS status FROM m"
+    return _gate_sql(f""", {parts[0]}, {parts[1]}, k AS ({norm})
+    SELECT sphere_g.status AS sphere, traj_g.status AS trajectory, k.status AS norm, CASE WHEN sphere_g.status = 'pass' AND traj_g.status = 'pass' THEN 'pass'
+        WHEN (sphere_g.status, traj_g.status) IN (('pass', 'mixed'), ('mixed', 'pass')) THEN 'mixed_positive' ELSE 'fail' END AS overall_decision FROM sphere_g, traj_g, k""")
+
+
+@query(_model_gates_sql())
 def model_gates(spark, sf):
     return gates.model_gates(_variant_metrics(spark, sf))
 

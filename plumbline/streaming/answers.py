@@ -30,8 +30,12 @@ def run_available(counts: DataFrame, name: str, checkpoint: str) -> StreamingQue
 
 
 def latest_counts(spark: SparkSession, path: str, *, label: str, parsed: str) -> DataFrame:
-    """What ``population_counts`` holds once all present files are in. Its state is kept in ``spark.checkpoint.dir``, or in a temporary folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
+    """What ``population_counts`` holds once all present files are in. Its state is kept in ``spark.checkpoint.dir``; a temporary folder stands in for that on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="plumbline-")
     name = f"counts_{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     # as a pattern, the path may be a single file
