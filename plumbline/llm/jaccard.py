@@ -52,6 +52,7 @@ CLASSES, FEW_CLASSES = 512, 64  # hash classes of the suffix filter: across comp
 SHIFTS = 256  # entries further apart in a bucket count as partners when candidates are chosen
 FREQUENT = 1 << 15  # a shingle of so many rows, and of four times the mean slot's, is dealt by class
 BLOCK = 8192  # classes of a bucket that meet in one group
+GROUP = 8192  # entries of small buckets in one group, on the average
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -468,15 +469,16 @@ def contested(entries: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFram
     return with_sets.mapInArrow(run, "token long, m long, cls long, comp long, inside boolean, n long, pos long, counts binary")
 
 
-def cross_pairs(rows: DataFrame, t: int, nearest: bool, ranges: int) -> DataFrame:
+def cross_pairs(rows: DataFrame, t: int, nearest: bool, parts: int) -> DataFrame:
     """From ``contested``: pairs of different components that pass all filters; or, with ``nearest``, of each class outside
-    its bucket's largest component the pair with the nearest inside. A saturated count only lets more through."""
+    its bucket's largest component the pair with the nearest inside. A saturated count only lets more through. Buckets of
+    one block are dealt to ``parts`` groups."""
     blocks, zero = F.ceil(F.col("m") / BLOCK), F.lit(0).cast("long")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cls"), blocks))
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     several = F.transform(F.sequence(zero, blocks - 1), lambda k: pair(F.least(k, "blk"), F.greatest(k, "blk")))
     rows = rows.withColumn("p", F.explode(F.when(blocks > 1, several).otherwise(F.array(pair(zero, zero)))))
-    group = F.when(blocks > 1, F.xxhash64("token", "p.i", "p.j")).otherwise(F.pmod("token", F.lit(ranges)))
+    group = F.when(blocks > 1, F.xxhash64("token", "p.i", "p.j")).otherwise(F.pmod("token", F.lit(parts)))
     rows = rows.select(group.alias("g"), "token", "p.i", "p.j", "blk", "cls", "comp", "inside", "n", "pos", "counts")
     empty = (pa.schema([(c, pa.int64()) for c in ("token", "cls", "other", "apart")]) if nearest else pa.schema([("a", pa.int64()), ("b", pa.int64())])).empty_table()
 
@@ -547,6 +549,7 @@ class Prepared:
             bitmap = spark.sparkContext.broadcast(membership(active, n_active))
             self.sets_name, self.sets = bucketed(kept_sets(texts, width, sketch, bitmap, clashing), "jaccard-sets", "cls")
             self.entries = stored(set_entries(self.sets, t), "jaccard-entries")
+            self.parts = max(ranges, -(-self.entries.count() // GROUP))  # grow with the entries, so that a group doesn't
 
     def forget_sets(self) -> None:
         """Once no lazy result reads them any more."""
@@ -564,7 +567,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
         linked = components(links)
         for nearest in (True, True, False):
             comps = linked.select(F.col("node").alias("cls"), F.col("label").alias("comp"))
-            more = cross_pairs(contested(p.entries, comps, p.sets), t, nearest, p.ranges)
+            more = cross_pairs(contested(p.entries, comps, p.sets), t, nearest, p.parts)
             more = stored(more.join(tried, ["a", "b"], "left_anti"), "jaccard-tried")  # a pair is verified once
             tried = tried.union(more)
             more = stored(verified(more, p.sets, t).select("a", "b"), "jaccard-links")
@@ -590,7 +593,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     if not p.any:
         return docs.sparkSession.createDataFrame([], "a string, b string, a_id long, b_id long, jaccard double")
     alone = p.sets.select("cls", F.col("cls").alias("comp"))
-    pairs = stored(cross_pairs(contested(p.entries, alone, p.sets), threshold, False, p.ranges), "jaccard-tried")
+    pairs = stored(cross_pairs(contested(p.entries, alone, p.sets), threshold, False, p.parts), "jaccard-tried")
     found = stored(verified(pairs, p.sets, threshold), "jaccard-links").withColumn("jaccard", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
     p.forget_sets()
     key = F.concat_ws("-", *[F.lower(F.hex(c)) for c in ("f", "g")])
