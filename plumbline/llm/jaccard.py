@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, combine, mix, stored, text_slices, word_hashes
+from .common import bucketed, combine, give_back, mix, stored, text_slices, tidy, word_hashes
 from .components import components
 from .lm import from_planes, planes
 
@@ -131,7 +131,7 @@ def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
         for k, part in enumerate(np.split(sketch.astype(np.uint32), SLICES)):
             yield pa.RecordBatch.from_pylist([{"slice": k, "sketch": planes(part)}], schema=_SETS)
 
-    return docs.mapInArrow(run, "id long, key string, n long, f long, g long, sig binary, slice int, sketch binary")
+    return docs.mapInArrow(tidy(run), "id long, key string, n long, f long, g long, sig binary, slice int, sketch binary")
 
 
 def summed_sketch(rows: DataFrame) -> np.ndarray:
@@ -237,7 +237,7 @@ def prefix_entries(docs: DataFrame, width: int, t: int, ranges: int, sketch, cla
                 token = gram[np.repeat(starts, p) + pos]
                 yield dealt(token, ranges, counted[slot(token)] > frequent, cls=np.repeat(cls, p), n=np.repeat(counts, p), pos=pos)
 
-    return docs.mapInArrow(run, _ENTRY_DDL)
+    return docs.mapInArrow(tidy(run), _ENTRY_DDL)
 
 
 def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -283,6 +283,7 @@ def candidates(entries: DataFrame, t: int, ranges: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         e = undealt(group)
         ok = partnered(e, t, SHIFTS) if group.column("range")[0].as_py() < ranges else np.ones(len(e["token"]), dtype=bool)
+        give_back()
         return pa.table([pa.array(e["token"][ok].view(np.int64)), *(pa.array(e[c][ok]) for c in ("cls", "n", "pos"))], schema=_CANDIDATE)
 
     return entries.groupBy("range").applyInArrow(run, "token long, cls long, n long, pos long")
@@ -306,7 +307,7 @@ def active_classes(two: DataFrame, signed: DataFrame, t: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"cls": pa.array(np.unique(e["cls"][found]))})
 
     rows = two.join(signed, "cls").select("token", "cls", "n", "pos", "sig")
-    return rows.repartitionByRange("token", "n", "cls").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "cls long").distinct()
+    return rows.repartitionByRange("token", "n", "cls").sortWithinPartitions("token", "n", "cls").mapInArrow(tidy(run), "cls long").distinct()
 
 
 def membership(cls: DataFrame, n: int) -> np.ndarray:
@@ -353,7 +354,7 @@ def kept_sets(docs: DataFrame, width: int, sketch, active, clashing: np.ndarray)
                     rows = [{"cls": int(c), "n": int(n), "tokens": mine[e - n : e].tobytes()} for c, n, e in zip(cls[use], counts[use], ends, strict=True)]
                     yield pa.RecordBatch.from_pylist(rows, schema=_CLASS_SET)
 
-    return docs.mapInArrow(run, "cls long, n long, tokens binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return docs.mapInArrow(tidy(run), "cls long, n long, tokens binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
 def suffix_counts(tokens: np.ndarray, pos: np.ndarray, classes: int) -> Iterator[np.ndarray]:
@@ -393,7 +394,7 @@ def set_entries(sets: DataFrame, t: int) -> DataFrame:
                     same = lambda x, part=part: pa.array(np.full(len(part), x, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), same(cls), same(n), pa.array(part), binaries(sig)], schema=_SIGNED_ENTRY)
 
-    return sets.select("cls", "n", "tokens").mapInArrow(run, "token long, cls long, n long, pos long, sig binary")
+    return sets.select("cls", "n", "tokens").mapInArrow(tidy(run), "token long, cls long, n long, pos long, sig binary")
 
 
 def positional(na, pa_, nb, pb, t: int):
@@ -466,7 +467,7 @@ def contested(entries: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFram
                     yield pa.RecordBatch.from_pydict(here | {"counts": binaries(counts)}, schema=_CONTESTED)
 
     with_sets = by.join(sets.select("cls", "tokens"), "cls").select("cls", "comp", "n", "at", "tokens")
-    return with_sets.mapInArrow(run, "token long, m long, cls long, comp long, inside boolean, n long, pos long, counts binary")
+    return with_sets.mapInArrow(tidy(run), "token long, m long, cls long, comp long, inside boolean, n long, pos long, counts binary")
 
 
 def cross_pairs(rows: DataFrame, t: int, nearest: bool, parts: int) -> DataFrame:
