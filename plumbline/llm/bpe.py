@@ -28,8 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker remembers in each of its two tables; what is forgotten changes speed only.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers in each of its two tables, and characters and bytes that these may hold; what is forgotten changes speed only.
+REMEMBERED, HELD = 400_000, 32 << 20
 
 # The byte-level alphabet gives printable bytes themselves and the others code points from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,16 +47,17 @@ class Words(dict):
     """
 
     def __init__(self, encode):
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.size = encode, {}, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = self.copy()
+        if len(self) >= REMEMBERED or self.size >= HELD:
+            self.older, self.size = self.copy(), 0
             self.clear()
         found = self.older.pop(word, None)
         if found is None:
             found = array("i", self.encode(word)).tobytes()
         self[word] = found
+        self.size += len(word) + len(found)
         return found
 
 

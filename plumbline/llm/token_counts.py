@@ -29,19 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, OVERLAP = 65_536, 1_024
-#: Pieces whose counts a worker remembers at most; the table is emptied when full, which changes speed only.
-REMEMBERED = 500_000
+#: Pieces whose counts a worker remembers at most, and their characters; the table is emptied when full, which changes speed only.
+REMEMBERED, HELD = 500_000, 32 << 20
 _PIECES, _ODD = re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
 
 
 class Counts(dict):
     def __init__(self, encode: Callable[[str], list]):
-        self.encode = encode
+        self.encode, self.size = encode, 0
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED or self.size >= HELD:
+            self.size = 0
             self.clear()
         n = self[piece] = len(self.encode(piece))
+        self.size += len(piece)
         return n
 
 
