@@ -19,7 +19,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Words whose ids a worker remembers in each of its two tables, and characters and bytes that these may hold; what is forgotten changes speed only.
 REMEMBERED, HELD = 400_000, 32 << 20
+#: Texts whose ids are held at a time, and go back to Spark as one batch.
+STEP = 128
 
 # The byte-level alphabet gives printable bytes themselves and the others code points from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -154,19 +158,11 @@ def load(path: str) -> Bpe:
 
 
 def encode_array(texts: pa.Array, bpe: Bpe) -> tuple[pa.Array, pa.Array]:
-    """Ids and decoded texts of a batch of texts, some texts at a time; decoding looks the ids up and joins their strings."""
-    flat, ends, decoded, total = [], [np.zeros(1, dtype=np.int64)], [], 0
-    it = iter(texts)
-    while part := [bpe.ids_in_bytes(x.as_py()) for x in islice(it, 256)]:
-        ids = pa.array(np.frombuffer(b"".join(part), dtype=np.int32))
-        end = np.cumsum([len(x) >> 2 for x in part])
-        at = pa.array(np.concatenate(([0], end)), type=pa.int32())
-        decoded.append(pc.binary_join(pa.ListArray.from_arrays(at, bpe.table.take(ids)), " "))
-        flat.append(ids)
-        ends.append(end + total)
-        total += len(ids)
-    values = pa.concat_arrays(flat) if flat else pa.array([], type=pa.int32())
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), type=pa.int32()), values), pa.concat_arrays(decoded) if decoded else pa.array([], type=pa.string())
+    """Ids and decoded texts of some texts; decoding looks the ids up and joins their strings."""
+    part = [bpe.ids_in_bytes(x.as_py()) for x in texts]
+    at = pa.array(np.cumsum([0, *(len(x) >> 2 for x in part)]), type=pa.int32())
+    ids = pa.array(np.frombuffer(b"".join(part), dtype=np.int32))
+    return pa.ListArray.from_arrays(at, ids), pc.binary_join(pa.ListArray.from_arrays(at, bpe.table.take(ids)), " ")
 
 
 def encode(df: DataFrame, text_col: str = "text", *, path: str = "word_bpe_49k.json", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -174,10 +170,12 @@ def encode(df: DataFrame, text_col: str = "text", *, path: str = "word_bpe_49k.j
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()  # what other stages left in this worker
         bpe = load(path)
         for x in batches:
-            ids, decoded = encode_array(x, bpe)
-            yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+            for k in range(0, len(x), STEP):
+                yield pa.StructArray.from_arrays([*encode_array(x.slice(k, STEP), bpe)], names=["ids", "decoded"])
+        give_back()
 
     both = f"__{ids_col}_{decoded_col}"
     out = df.withColumn(both, run(F.col(text_col)))

@@ -417,6 +417,7 @@ def first_pairs(entries: DataFrame, t: int) -> DataFrame:
             n, pos, m, at = (x.to_numpy() for x in (n, pos, m, at))
             x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(len(n), FEW_CLASSES) for c in (sig, other))
             yield pa.array(fits(n, m, t) & positional(n, pos, m, at, t) & (differences(x, y) <= allowed(n, pos, m, at, t)))
+        give_back()
 
     met = entries.join(first, "token").where("cls != p.cls").where(through("n", "pos", "sig", "p.n", "p.pos", "p.sig"))
     return met.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
@@ -434,6 +435,7 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 out.append(common if common >= least_overlap(len(a), len(b), t) else None)
             yield pa.array(out, type=pa.int64())
+        give_back()
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sets = sets.join(needed, "cls", "left_semi")  # by bucket: what no pair names isn't shuffled
