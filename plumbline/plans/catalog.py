@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import gates, metrics, quality, reconcile, scoring, splits, vectors
+from ..operators import gates, metrics, preflight, quality, reconcile, scoring, splits, vectors
 from ..streaming import answers
 from .bindings import DOCS, EVT, LAYERS, VEC, curve_sql, docs, evt, split_sql, table, vec
 
@@ -230,6 +230,63 @@ def count_mismatch_labels(spark, sf):
     return reconcile.mismatch_labels(matrix_states(spark, sf), ("model", "subset"))
 
 
+_SCOPE = {"source": ("books", "news", "wiki"), "lang": ("de", "en")}
+
+
+@query(
+    "WITH d AS (SELECT coalesce(nullif(trim(source), ''), '<blank>') AS source, coalesce(nullif(trim(lang), ''), '<blank>') AS lang FROM documents) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value, count(*) AS n FROM d WHERE {c} NOT IN {v} GROUP BY {c}" for c, v in _SCOPE.items())
+)
+def scope_issues(spark, sf):
+    return preflight.scope_issues(table(spark, sf, "documents"), _SCOPE)
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS k, max(CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 7 END) AS x FROM orders WHERE o_orderstatus != 'P' GROUP BY ALL),
+    c AS (SELECT l_orderkey AS k, count(*) AS y FROM lineitem GROUP BY ALL), m AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity >= 50), w AS (SELECT DISTINCT o_orderkey AS k FROM orders),
+    j AS (SELECT w.k, r.k AS rk, x, c.k AS ck, y, m.k AS mk FROM w LEFT JOIN r USING (k) LEFT JOIN c USING (k) LEFT JOIN m USING (k))
+    SELECT 'required_cache_matrix missing' AS check, CAST(k AS VARCHAR) AS item, '' AS detail FROM j WHERE rk IS NULL UNION ALL SELECT 'completed_cache_matrix missing', CAST(k AS VARCHAR), '' FROM j WHERE ck IS NULL
+    UNION ALL SELECT 'missing_cache_matrix contains required entries', CAST(k AS VARCHAR), '' FROM j WHERE mk IS NOT NULL UNION ALL SELECT 'cache matrix count mismatch', CAST(k AS VARCHAR), 'expected ' || x || ' got ' || y FROM j WHERE x != y
+    UNION ALL SELECT 'missing_cache_matrix is not empty', CAST(k AS VARCHAR), '' FROM m WHERE k NOT IN (SELECT k FROM w)"""
+)
+def summary_issues(spark, sf):
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")  # noqa: E741
+    k = F.col("o_orderkey").alias("k")
+    required = o.where("o_orderstatus != 'P'").select(k, F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 7).alias("expected"))
+    completed = l.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("observed"))
+    return preflight.summary_issues(o.select(k), required, completed, l.where("l_quantity >= 50").select(F.col("l_orderkey").alias("k")), ("k",))
+
+
+@query(
+    """SELECT 'model-' || (doc_id % 3) AS model_name, source AS dataset_name, source AS source_dataset, lang AS subset, CAST(sum(n_chars) AS BIGINT) AS cache_num_entries FROM documents
+    WHERE doc_id IS NOT NULL AND nullif(trim(source), '') IS NOT NULL AND nullif(trim(lang), '') IS NOT NULL GROUP BY ALL"""
+)
+def matrix_of_shards(spark, sf):
+    d = table(spark, sf, "documents")
+    model = F.concat(F.lit("model-"), (F.col("doc_id") % 3).cast("string")).alias("model_name")
+    return preflight.matrix_of_shards(d.select(model, F.col("source").alias("dataset_name"), F.lit(None).cast("string").alias("source_dataset"), F.col("lang").alias("subset"), F.col("n_chars").alias("num_entries")))
+
+
+@query("SELECT event_type AS subset, count(*) FILTER (b IS NULL OR b NOT IN (0, 1)) AS num_bad_labels, count(*) FILTER (value IS NULL OR NOT isfinite(value)) AS num_bad_scores FROM (SELECT *, user_id % 3 AS b FROM events) GROUP BY ALL HAVING num_bad_labels > 0 OR num_bad_scores > 0")
+def label_issues(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("subset"), (F.col("user_id") % 3).alias("b"), "value")
+    return preflight.label_issues(e, "b", "value", by=("subset",))
+
+
+@query(
+    f"""WITH {EVT}, {split_sql('evt', 'user_key')}, a AS (SELECT evt.*, split FROM evt JOIN named ON user_key = key_text),
+    s AS (SELECT subset, split, count(*) AS n, count(DISTINCT user_key) AS o FROM a GROUP BY ALL), y AS (SELECT subset, split, y, count(*) AS n FROM a GROUP BY ALL)
+    SELECT subset, CAST(sum(n) AS BIGINT) AS input_records, string_agg(split || '=' || n, ',' ORDER BY split) AS counts_per_split,
+        (SELECT string_agg(y.split || ':' || coalesce(CAST(y.y AS VARCHAR), '<blank>') || '=' || y.n, ',' ORDER BY y.split, y.y) FROM y WHERE y.subset = s.subset) AS label_counts_per_split,
+        string_agg(split || '=' || o, ',' ORDER BY split) AS objects_per_split,
+        (SELECT count(*) FROM (SELECT user_key FROM a WHERE a.subset = s.subset GROUP BY user_key HAVING count(DISTINCT split) > 1)) AS images_in_several_splits,
+        (SELECT count(*) FROM (SELECT event_id FROM a WHERE a.subset = s.subset GROUP BY event_id HAVING count(DISTINCT split) > 1)) AS samples_in_several_splits
+    FROM s GROUP BY subset"""
+)
+def split_index(spark, sf):
+    return preflight.split_index(_evt_split(spark, sf), ("subset",), label="y", name="user_key", image="user_key", sample="event_id")
+
+
 @query(
     """SELECT k, coalesce(a.n, 0) AS expected_n, coalesce(b.n, 0) AS observed_n FROM (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY ALL) a
     FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY ALL) b USING (k) WHERE coalesce(a.n, 0) != coalesce(b.n, 0)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").cast("long").alias("image_id"))
 
 
+def allowed_objects(spark: SparkSession, paths: list[str], names: tuple[str, ...] = ()) -> DataFrame:
+    """``name``, once each: the given names and the objects of JSONL files, trimmed; blank ones are left out."""
+    j = lambda n: field(F.col("json"), n)
+    given = spark.createDataFrame([(n,) for n in names], "name string")
+    files = [read_jsonl(spark, p).select(F.coalesce(j("object_name"), j("object")).alias("name")) for p in paths]
+    return reduce(DataFrame.unionByName, files, given).select(text_or_null("name").alias("name")).where("name is not null").distinct()
+
+
 def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("emptyValue", "").csv(path)
 
