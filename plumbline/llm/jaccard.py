@@ -13,7 +13,7 @@ The join is exact. Sets are those of distinct ``width``-word shingles (64-bit ha
    as entries at most, go through the length, positional and suffix filters; what passes is verified and linked, and
    connected components follow.
 5. Further rounds, in buckets that still hold different components: first every class outside a bucket's largest
-   component meets its nearest class inside, twice; then all pairs across components that are left go through the three
+   component meets its nearest class inside; then all pairs across components that are left go through the three
    filters. A bucket of more than ``BLOCK`` classes is cut into blocks, and each pair of blocks is a group of its own,
    so no task holds a whole large bucket.
 
@@ -568,7 +568,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
         tried = stored(first_pairs(p.entries, t), "jaccard-tried")
         links = stored(verified(tried, p.sets, t).select("a", "b"), "jaccard-links")
         linked = components(links)
-        for nearest in (True, True, False):
+        for nearest in (True, False):
             comps = linked.select(F.col("node").alias("cls"), F.col("label").alias("comp"))
             more = cross_pairs(contested(p.entries, comps, p.sets), t, nearest, p.parts)
             more = stored(more.join(tried, ["a", "b"], "left_anti"), "jaccard-tried")  # a pair is verified once
