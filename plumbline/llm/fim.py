@@ -52,9 +52,9 @@ class Sentinels:
 
     def __post_init__(self):
         every = (self.prefix, self.suffix, self.middle)
-        for a in every:
-            for b in every:
-                if not a or a is not b and a in b or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
+        for i, a in enumerate(every):
+            for j, b in enumerate(every):
+                if not a or i != j and a in b or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
                     raise ValueError(f"sentinels may not be empty, hold or overlap one another: {a!r}, {b!r}")
 
 
