@@ -200,7 +200,8 @@ def test_topk_odd_rows(spark):
 
 def test_topk_prunes_by_length_and_by_coordinate():
     rng = np.random.default_rng(2)
-    x = np.round(1000 * (np.repeat(np.eye(16), 256, axis=0) + 0.02 * rng.normal(size=(4096, 16)))).astype(np.int64)
+    x = np.repeat(np.eye(16), 256, axis=0) + 0.02 * rng.normal(size=(4096, 16))
+    x = np.round(x * (10_000 * (1 + 0.01 * rng.random(4096)) / np.linalg.norm(x, axis=1))[:, None]).astype(np.int64)
     order = np.argsort(-topk.lengths(x), kind="stable")
     buckets = [topk.Bucket(order[k : k + 512], x[order[k : k + 512]]) for k in range(0, 4096, 512)]
     q = x[:64]
