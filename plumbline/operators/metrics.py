@@ -6,44 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranges
+from .vectors import held
+
 NAN = float("nan")
 
 
-def curve(df: DataFrame, by: tuple[str, ...], *, label: str = "y", score: str = "score", weight: str | None = None) -> DataFrame:
-    """A row per distinct score and group, highest first: cumulative hits ``tp``, misses ``fp``, and the totals ``pos`` and ``neg``.
+def curve(df: DataFrame, by: tuple[str, ...], *, label: str = "y", score: str = "score", weight: str | None = None, parts: int = ranges.PARTS) -> DataFrame:
+    """A row per distinct score and group: hits ``p`` and misses ``n`` there, ``tp`` and ``fp`` from the highest score down to it, the totals ``pos`` and ``neg``, and ``corner``.
 
-    Ties are one row after a pre-aggregation, which also shrinks what the ordered window sees.
+    Ties are one row after a pre-aggregation. Running sums are taken within ranges of scores and added to those of the
+    ranges above, so a task orders one range of one group. ``corner`` is false for a point on a straight run of equal
+    steps; first and last are corners.
     """
     k = F.col(weight) if weight else F.lit(1)
-    g = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, k).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, k).otherwise(0)).alias("n"))
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    down = part.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    return g.select(*by, F.col(score).alias("score"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(part).alias("pos"), F.sum("n").over(part).alias("neg"))
-
-
-def corners(points: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Without the points that lie on a straight run of equal steps; first and last stay."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    o = w.orderBy(F.desc("score"))
-    bend = lambda c: F.lead(c).over(o) - 2 * F.col(c) + F.lag(c).over(o)
-    marked = points.withColumn("__b", (bend("tp") != 0) | (bend("fp") != 0)).withColumn("__k", F.count("*").over(w))
-    return marked.where(F.col("__b").isNull() | F.col("__b") | (F.col("__k") <= 2)).drop("__b", "__k")
-
-
-def ranking_metrics(df: DataFrame, by: tuple[str, ...] = (), *, label: str = "y", score: str = "score", max_fpr: float = 0.01, min_tpr: float = 0.95, weight: str | None = None) -> DataFrame:
+    g = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, k).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, k).otherwise(0)).alias("n"))
+    g = g.withColumn("__part", ranges.range_of(F.col("score"), ranges.cuts(df.select(F.col(score).alias("score")), "score", parts)))
+    ends = g.groupBy(*by, "__part").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"), F.max(F.struct("score", "p", "n")).alias("__first"))
+    down = W.partitionBy(*by).orderBy(F.desc("__part"))  # a row for each range
+    above, whole = down.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    ends = ends.select(*by, "__part", before("__p").alias("__tp"), before("__n").alias("__fp"), F.sum("__p").over(whole).alias("pos"), F.sum("__n").over(whole).alias("neg"), F.lead("__first").over(down).alias("__next"))
+    inside = W.partitionBy(*by, "__part").orderBy(F.desc("score"))
+    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
+    out = ranges.joined(g, ends, (*by, "__part"))
+    out = out.select(*by, "score", "p", "n", "pos", "neg", (F.col("__tp") + F.sum("p").over(so_far)).alias("tp"), (F.col("__fp") + F.sum("n").over(so_far)).alias("fp"), F.coalesce(F.lead(F.struct("p", "n")).over(inside), F.struct("__next.p", "__next.n")).alias("__then"))
+    first, last = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n")), F.col("__then.p").isNull()
+    return out.withColumn("corner", first | last | (F.col("__then.p") != F.col("p")) | (F.col("__then.n") != F.col("n"))).drop("__then")
+
+
+def ranking_metrics(df: DataFrame, by: tuple[str, ...] = (), *, label: str = "y", score: str = "score", max_fpr: float = 0.01, min_tpr: float = 0.95, weight: str | None = None, parts: int = ranges.PARTS) -> DataFrame:
     """Per group: roc_auc, pr_auc (trapezoid from recall 0 at precision 1), average_precision, tpr at ``max_fpr``, fpr at ``min_tpr``.
 
     Null, with ``metric_status`` undefined and the reason, where only one class is present.
     """
-    pts = curve(df, by, label=label, score=score, weight=weight)
-    o = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc("score"))
-    tpr, fpr = F.try_divide(F.col("tp").cast("double"), "pos"), F.try_divide(F.col("fp").cast("double"), "neg")
-    prec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
-    pts = pts.withColumn("tpr", tpr).withColumn("fpr", fpr).withColumn("prec", prec)
-    lag = lambda c, first: F.lag(c, 1, first).over(o)
-    steps = pts.withColumn("d_tpr", F.col("tpr") - lag("tpr", 0.0)).withColumn("d_fpr", F.col("fpr") - lag("fpr", 0.0)).withColumn("s_tpr", F.col("tpr") + lag("tpr", 0.0)).withColumn("s_prec", F.col("prec") + lag("prec", 1.0))
+    pts = curve(df, by, label=label, score=score, weight=weight, parts=parts)
+    over = lambda a, b: F.try_divide(a.cast("double"), b)
+    tp, fp, p, n, pos, neg = (F.col(c) for c in ("tp", "fp", "p", "n", "pos", "neg"))
+    pts = pts.withColumns({"tpr": over(tp, pos), "fpr": over(fp, neg), "prec": over(tp, tp + fp), "d_tpr": over(tp, pos) - over(tp - p, pos), "d_fpr": over(fp, neg) - over(fp - n, neg)})
+    pts = pts.withColumns({"s_tpr": F.col("tpr") + over(tp - p, pos), "s_prec": F.col("prec") + F.coalesce(over(tp - p, tp - p + fp - n), F.lit(1.0))})
     ok = (F.max("pos") > 0) & (F.max("neg") > 0)
-    areas = steps.groupBy(*by).agg(
+    low = F.max(F.when(F.col("corner") & (F.col("fpr") <= max_fpr), F.col("tpr")))
+    high = F.min(F.when(F.col("corner") & (F.col("tpr") >= min_tpr), F.col("fpr")))
+    return pts.groupBy(*by).agg(
         (F.max("pos") + F.max("neg")).cast("long").alias("num_samples"),
         F.max("pos").cast("long").alias("num_positive"),
         F.when(ok, F.sum(F.col("d_fpr") * F.col("s_tpr") / 2)).alias("roc_auc"),
@@ -51,15 +56,9 @@ def ranking_metrics(df: DataFrame, by: tuple[str, ...] = (), *, label: str = "y"
         F.when(ok, F.sum(F.col("d_tpr") * F.col("prec"))).alias("average_precision"),
         F.when(ok, "ok").otherwise("undefined").alias("metric_status"),
         F.when(~ok, "one class present in evaluation scope").alias("failure_reason"),
+        F.when(ok, F.coalesce(low, F.lit(0.0))).alias("tpr_at_fpr"),
+        F.when(ok, F.coalesce(high, F.lit(1.0))).alias("fpr_at_tpr"),
     )
-    bent = corners(pts, by)
-    at = bent.groupBy(*by).agg(
-        F.coalesce(F.max(F.when(F.col("fpr") <= max_fpr, F.col("tpr"))), F.lit(0.0)).alias("__t"),
-        F.coalesce(F.min(F.when(F.col("tpr") >= min_tpr, F.col("fpr"))), F.lit(1.0)).alias("__f"),
-        ok.alias("__ok"),
-    )
-    at = at.select(*by, F.when(F.col("__ok"), F.col("__t")).alias("tpr_at_fpr"), F.when(F.col("__ok"), F.col("__f")).alias("fpr_at_tpr"))
-    return areas.join(at, list(by)) if by else areas.crossJoin(at)  # one row each
 
 
 def threshold_metrics(df: DataFrame, by: tuple[str, ...], *, label: str = "y", score: str = "score", threshold: float = 0.5) -> DataFrame:
@@ -95,10 +94,7 @@ def poisson_steps() -> list[float]:
 def resample_weight(seed: int, replicate: Column, key: Column) -> Column:
     """A Poisson(1) count by hash: how often a replicate draws a row."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    out = F.lit(0)
-    for step in poisson_steps():
-        out = out + (u >= step).cast("int")
-    return out
+    return held(u, lambda u: sum(((u >= step).cast("int") for step in poisson_steps()), F.lit(0)))
 
 
 def bootstrap_intervals(df: DataFrame, by: tuple[str, ...], *, key: str, label: str = "y", score: str = "score", replicates: int = 1000, confidence: float = 0.95, seed: int = 20260506) -> DataFrame:

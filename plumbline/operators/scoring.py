@@ -15,8 +15,8 @@ from .vectors import standard_scaled
 
 def logistic_scores(df: DataFrame, *, key: str, vector: str, label: str, train: str, max_iter: int = 1000) -> DataFrame:
     """``key``, ``score``: probability of class 1 by L2 logistic regression (C = 1, balanced classes) on standardised vectors, fitted on the rows that ``train`` marks."""
-    scaled = standard_scaled(df, key, vector, F.col(train)).withColumn("features", array_to_vector(F.col(vector)))
-    rows = scaled.select(key, "features").join(df.select(key, F.col(label).cast("double").alias("y"), F.col(train).alias("t")), key)
+    scaled = standard_scaled(df, vector, F.col(train))
+    rows = scaled.select(key, array_to_vector(F.col(vector)).alias("features"), F.col(label).cast("double").alias("y"), F.col(train).alias("t"))
     sizes = {r["y"]: r["n"] for r in rows.where("t").groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) != 2:
         raise ValueError("training rows must have both classes")

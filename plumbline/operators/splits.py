@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import text_or_null
+from . import ranges
 from .quality import require_none
 
 # Names, shares and seed of the four splits, and what a report says was done about conflicts.
@@ -117,8 +118,8 @@ def first_n(df: DataFrame, by: tuple[str, ...], n: int, *order: str) -> DataFram
 
 
 def chunked(df: DataFrame, by: tuple[str, ...], size: int, *order: str) -> DataFrame:
-    """Adds ``shard``: the number of the chunk of ``size`` rows within each group."""
+    """Adds ``shard``: the number of the chunk of ``size`` rows within each group, numbered over ranges of the first order column."""
     if size <= 0:
         raise ValueError("size must be positive")
-    w = W.partitionBy(*by).orderBy(*order)
-    return df.withColumn("shard", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    first, *rest = order
+    return ranges.ordinals(df, by, first, tie=tuple(rest), name="__i").withColumn("shard", F.floor(F.col("__i") / size).cast("long")).drop("__i")

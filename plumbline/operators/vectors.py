@@ -90,10 +90,11 @@ QUERY_VALUES = 1 << 20
 
 
 def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int = 10, metric: str = "euclidean") -> DataFrame:
-    """``key``, ``score``: mean distance to the k nearest bank rows. A query that is in the bank meets itself too.
+    """``key``, ``score`` of each query row: mean distance to the k nearest bank rows. A query that is in the bank meets itself too.
 
     The distances are worked out in numpy: each bank block (of checked size) meets all queries and gives each its k
-    smallest, which are merged per query. Both sides are dealt in parts of bounded size, as many as it takes, so neither
+    smallest, which are merged per query. Rows that share a key are told apart by their vectors; equal ones are asked
+    once and given back as often as they stand there. Both sides are dealt in parts of bounded size, as many as it takes, so neither
     must fit a task, and no pair of rows is ever a row.
     """
     import numpy as np
@@ -104,6 +105,7 @@ def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k:
         raise ValueError("bank has fewer than k rows")
     blocks = max(1, -(-size["n"] * size["d"] // BANK_VALUES))
     q = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    q = q.groupBy("key", "v").agg(F.count("*").alias("times")).withColumn("own", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
     b = bank.select(F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
     key_type = q.schema["key"].dataType.simpleString()
 
@@ -112,7 +114,7 @@ def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k:
         return np.asarray(a.flatten(), dtype=np.float64).reshape(len(a), -1) if len(a) else np.zeros((0, 0))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y, keys, out, at = matrix(left.column("v")), matrix(right.column("v")), left.column("key"), [], []
+        x, y, out, at = matrix(left.column("v")), matrix(right.column("v")), [], []
         if metric == "angular":
             if len(x) and len(y) and not (np.abs(x).sum(axis=1).all() and np.abs(y).sum(axis=1).all()):
                 raise ValueError("angular distance of a zero vector")
@@ -122,22 +124,29 @@ def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k:
             near = np.sort(np.partition(d, k - 1)[:k] if len(d) > k else d)
             out.append(near)
             at += [i] * len(near)
-        return pa.table({"key": keys.take(pa.array(at, type=pa.int64())), "d": pa.array(np.concatenate(out) if out else [], type=pa.float64())})
+        asked = left.select(["key", "own", "times"]).take(pa.array(at, type=pa.int64()))
+        return asked.append_column("d", pa.array(np.concatenate(out) if out else [], type=pa.float64()))
 
-    parts = max(1, -(-queries.count() * size["d"] // QUERY_VALUES))
-    dealt = q.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    parts = max(bank.sparkSession.sparkContext.defaultParallelism, -(-queries.count() * size["d"] // QUERY_VALUES))
+    dealt = q.withColumn("part", F.pmod(F.xxhash64("own"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     copies = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    found = dealt.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInArrow(meet, f"key {key_type}, d double")
-    rank = F.row_number().over(W.partitionBy("key").orderBy("d"))
-    return found.withColumn("rn", rank).where(F.col("rn") <= k).groupBy(F.col("key").alias(key)).agg(F.avg("d").alias("score"))
+    found = dealt.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInArrow(meet, f"key {key_type}, own string, times long, d double")
+    rank = F.row_number().over(W.partitionBy("key", "own").orderBy("d"))
+    near = found.withColumn("rn", rank).where(F.col("rn") <= k).groupBy("key", "own", "times").agg(F.avg("d").alias("score"))
+    return near.select(F.col("key").alias(key), "score", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
 
 
-def standard_scaled(df: DataFrame, key: str, vector: str, train: Column) -> DataFrame:
-    """Each position less its mean over the training rows, divided by their population deviation (1 where that is 0)."""
-    long = df.select(key, train.alias("__t"), F.posexplode(vector).alias("i", "x"))
-    stats = long.where("__t").groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    z = long.join(stats, "i").withColumn("z", (F.col("x") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0))
-    return z.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "z"))), lambda e: e["z"]).alias(vector))
+def standard_scaled(df: DataFrame, vector: str, train: Column) -> DataFrame:
+    """``df`` with each position of the vector less its mean over the training rows, divided by their population deviation (1 where that is 0).
+
+    Means and deviations are one row, as long as a vector, which is sent to all tasks; the rows themselves are not shuffled.
+    Positions that no training row has are left out.
+    """
+    long = df.where(train).select(F.posexplode(vector).alias("i", "x"))
+    stats = long.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("__stats"))
+    scaled = F.zip_with(F.slice(vector, 1, F.size("__stats")), F.slice("__stats", 1, F.size(vector)), lambda x, e: (x - e["m"]) / e["s"])
+    return df.crossJoin(F.broadcast(one)).withColumn(vector, scaled).drop("__stats")
 
 
 def subsequence_start(tokens: Column, part: Column) -> Column:

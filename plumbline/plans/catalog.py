@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import gates, metrics, preflight, quality, reconcile, scoring, splits, vectors
+from ..operators import bootstrap, gates, metrics, preflight, quality, reconcile, scoring, splits, vectors
 from ..streaming import answers
 from .bindings import DOCS, EVT, LAYERS, VEC, curve_sql, docs, evt, split_sql, table, vec
 
@@ -536,7 +536,7 @@ def knn_angular(spark, sf):
     SELECT vec_id, i, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS z FROM l JOIN s USING (i)"""
 )
 def standard_scale(spark, sf):
-    z = vectors.standard_scaled(vec(spark, sf), "vec_id", "v", F.col("y") == 1)
+    z = vectors.standard_scaled(vec(spark, sf), "v", F.col("y") == 1)
     return z.select("vec_id", F.posexplode("v").alias("i", "z")).select("vec_id", F.col("i").cast("long").alias("i"), six("z").alias("z"))
 
 
@@ -645,7 +645,7 @@ def metric_scope_grid(spark, sf):
 REPLICATES, WHOLE_REPLICATES = 40, 1000
 
 
-def _bootstrap_sql(replicates: int = REPLICATES, most: int = 8) -> str:
+def _bootstrap_sql(replicates: int, most: int = 12) -> str:
     step, p, total = [], 0.36787944117144233, 0.36787944117144233
     for k in range(1, most + 1):
         step.append(f"CAST(u >= CAST({total!r} AS DOUBLE) AS INTEGER)")
@@ -663,17 +663,29 @@ def _bootstrap(spark, sf, replicates):
     return rounded(metrics.bootstrap_intervals(d, ("subset",), key="doc_id", replicates=replicates))
 
 
-@query(_bootstrap_sql())
+@query(_bootstrap_sql(REPLICATES))
 def bootstrap_ci(spark, sf):
     return _bootstrap(spark, sf, REPLICATES)
 
 
-@query(_bootstrap_sql(WHOLE_REPLICATES, 12))
+@query(_bootstrap_sql(WHOLE_REPLICATES))
 def bootstrap_ci_whole(spark, sf):
     """With the reference's number of replicates."""
     return _bootstrap(spark, sf, WHOLE_REPLICATES)
 
 
+@query()
+def bootstrap_exact(spark, sf):
+    """Exactly as many draws as rows in every replicate, and a metric of one's own among the others."""
+    d = docs(spark, sf).where("label is not null").select("subset", F.col("label").alias("y"), F.col("n_chars").cast("double").alias("score"))
+    return rounded(bootstrap.intervals(d, ("subset",), metrics=bootstrap.BOTH | {"average_precision": bootstrap.average_precision}))
+
+
+@query(f"WITH {EVT}, {curve_sql('evt', 'subset')} SELECT subset, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(average_precision, 6) AS average_precision FROM areas")
+def custom_metrics(spark, sf):
+    return rounded(bootstrap.metric_values(evt(spark, sf), ("subset",), metrics=bootstrap.BOTH | {"average_precision": bootstrap.average_precision}))
+
+
 def _variant_metrics(spark, sf):
     """A metric table for the gates: the knn score against the bank of each untrained variant, by two readouts."""
     rows = vectors.representations(vec(spark, sf), "vec_id", "layers").select("vec_id", "variant", F.element_at("vector", 1).alias("a"), F.element_at("vector", -1).alias("b"))

@@ -6,6 +6,7 @@ import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import first_text, image_id, object_name, question_text, text_or_null, variant_label, yes_no_label
@@ -18,22 +19,33 @@ EXTRACTION_COLUMNS = ("sample_id", "image_id", "image_path", "question", "label"
 DASH_B_TEMPLATE = "Can you see a {object_name} in this image? Please answer only with yes or no."
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line`` (from 1 in each file), ``value`` of text files, in the plan: no Python, no shuffle of the lines.
+
+    Lines are counted by block of a file, the blocks' counts are added up, and a line's number is that sum plus its place in
+    its block, told by the ids that rising row numbers of a partition give.
+    """
+    meta = lambda c: F.col(f"_metadata.{c}")
+    rows = spark.read.text(path).select(meta("file_path").alias("file"), meta("file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
+    blocks = rows.groupBy("file", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))  # a row for each block
+    before = F.sum("__n").over(W.partitionBy("file").orderBy("__block")) - F.col("__n")
+    offsets = blocks.select("file", "__block", (before - F.col("__first") + 1).alias("__shift"))
+    return rows.join(offsets, ["file", "__block"]).select("file", (F.col("__id") + F.col("__shift")).alias("line"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
-    """``line`` (from 1), ``json`` (VARIANT) of each non-blank line.
+    """``file``, ``line`` (from 1 in each file), ``json`` (VARIANT) of each non-blank line.
 
-    Files are read whole lines at a time and numbered in order. ``strict`` raises on the first line that is no JSON
-    object; otherwise such lines have a null ``json``.
+    ``strict`` raises for the first line, by file and number, that is no JSON object; otherwise such lines have a null ``json``.
     """
-    rows = spark.read.text(path)
-    numbered = rows.rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0])).toDF("line long, value string")  # the text source has no row numbers
-    out = numbered.where(F.trim("value") != "").select("line", "value", F.try_parse_json("value").alias("json"))
+    out = numbered_lines(spark, path).where(F.trim("value") != "").select("file", "line", F.try_parse_json("value").alias("json"))
     bad = F.col("json").isNull() | ~F.startswith(F.schema_of_variant("json"), F.lit("OBJECT"))
     if strict:
-        first = out.where(bad).orderBy("line").limit(1).collect()
+        first = out.where(bad).agg(F.min(F.struct("file", "line")).alias("at")).first()["at"]
         if first:
-            raise ValueError(f"{path}:{first[0]['line']}: not a JSON object")
-        return out.select("line", "json")
-    return out.select("line", F.when(~bad, F.col("json")).alias("json"))
+            raise ValueError(f"{first['file']}:{first['line']}: not a JSON object")
+        return out
+    return out.withColumn("json", F.when(~bad, F.col("json")))
 
 
 def field(json_col: Column, name: str) -> Column:
