@@ -71,7 +71,7 @@ class Store:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``bytes``, ``sha256`` of a folder's Parquet files, read in tasks; a shard is a small file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    return found.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return found.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def publish(df: DataFrame, root: str, *, by: tuple[str, ...] = (), rows_per_file: int = 128, checks: dict[str, Column] | None = None, key: str | None = None, metadata: dict | None = None) -> dict:
@@ -96,9 +96,8 @@ def publish(df: DataFrame, root: str, *, by: tuple[str, ...] = (), rows_per_file
         if odd:
             raise OSError(f"{home}: other types than were written: {', '.join(odd)}")
         counts = back.groupBy(F.col("_metadata.file_path").alias("file"), *by).agg(F.count("*").alias("rows"))
-        name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)  # noqa: E731  unique in a generation; its path may be written in two ways
-        shards = counts.withColumn("name", name("file")).join(digests(spark, f"{home}/data").select(name("file").alias("name"), "bytes", "sha256"), "name").drop("name")
-        shards.write.parquet(f"{home}/shards")
+        files = digests(spark, f"{home}/data").join(counts, "file", "left")  # an empty file has no row to count
+        files.withColumn("rows", F.coalesce("rows", F.lit(0).cast("long"))).write.parquet(f"{home}/shards")
         found = spark.read.parquet(f"{home}/shards").agg(F.count("*").alias("shards"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first().asDict()
         if found["rows"] != wrote:
             raise OSError(f"{home}: {found['rows']} rows were read back of {wrote}")
@@ -121,7 +120,7 @@ def read_published(spark: SparkSession, root: str, *, verify: bool = False) -> D
     said = current(spark, root)
     home = f"{root.rstrip('/')}/{said['generation']}"
     if verify:
-        name = F.regexp_extract("file", r"([^/]+)$", 1).alias("name")
+        name = F.element_at(F.split("file", f"/{said['generation']}/"), -1).alias("name")  # the table may have been moved as a whole
         want = spark.read.parquet(f"{home}/shards").select(name, F.col("sha256").alias("want"))
         odd = want.join(digests(spark, f"{home}/data").select(name, "sha256"), "name", "full_outer").where(~F.col("want").eqNullSafe(F.col("sha256")))
         bad = odd.select("name").limit(3).collect()
