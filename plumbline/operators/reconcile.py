@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import text_or_null
-from .quality import require_none
+from .quality import require_none, violations
+from .ranges import joined
 
 
 def cascaded_match(records: DataFrame, answers: DataFrame, *, keys: tuple[str, str, str] = ("dataset_name", "subset", "sample_id"), model: str = "model_name", parsed: str = "parsed", for_model: str | None = None) -> DataFrame:
@@ -52,16 +53,31 @@ def lossless_violations(left: DataFrame, right: DataFrame, *, ordinal: str, fiel
 
 
 def lossless_relabel(cache: DataFrame, targets: DataFrame, *, key: str = "sample_id", identity: tuple[str, ...] = ("sample_id", "image_id", "image_path", "question", "object_name"), replaced: tuple[str, ...] = ("label", "dataset_name", "subset", "split")) -> DataFrame:
-    """Cache rows under their targets' labels and names; raises, before anything is written, unless both sides match one to one."""
-    require_none(targets.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "target keys repeat")
-    t = targets.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__t_{c}") for c in dict.fromkeys((*identity, *replaced))])
+    """Cache rows under their targets' labels and names; raises, before anything is written, unless both sides match one to one. One job looks for all faults."""
+    cols = [F.col(c).alias(f"__t_{c}") for c in dict.fromkeys((*identity, *replaced))]
+    t = targets.select(F.col(key).alias("__key"), (F.count("*").over(W.partitionBy(key)) > 1).alias("__many"), *cols)
     both = cache.join(t, cache[key] == F.col("__key"), "full_outer")
-    require_none(both.where(F.col(key).isNull() | F.col("__key").isNull()).select(key, "__key"), "rows without a partner")
-    for f in identity:
-        require_none(both.where(~text_or_null(f).eqNullSafe(text_or_null(f"__t_{f}"))).select(key, f, f"__t_{f}"), f"{f} differs")
+    lone = F.col(key).isNull() | F.col("__key").isNull()
+    differs = {f"{f} differs": ~lone & ~text_or_null(f).eqNullSafe(text_or_null(f"__t_{f}")) for f in identity}
+    faults = violations({"target keys repeat": F.coalesce(F.col("__many"), F.lit(False)), "rows without a partner": lone} | differs)
+    require_none(both.select(key, "__key", faults.alias("faults")).where(F.size("faults") > 0), "not one to one")
     return both.select(*[F.col(f"__t_{c}").alias(c) if c in replaced else F.col(c) for c in cache.columns])
 
 
+def must_match(rows: DataFrame, others: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], *, what: str = "partner") -> DataFrame:
+    """``rows`` with columns of the one other row that has their keys; whenever it is computed, a row without one, or with several, raises with its keys.
+
+    Null keys match null keys. The check is in the plan: no job of its own.
+    """
+    named = others.groupBy(*keys).agg(F.count("*").alias("__n"), *(F.first(c).alias(f"__o_{c}") for c in columns))
+    out = joined(rows, named, keys, "left")
+    label = F.concat_ws("/", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    fault = F.when(F.col("__n").isNull(), F.concat(F.lit(f"missing {what} for "), label)).when(F.col("__n") > 1, F.concat(F.lit(f"several {what}s for "), label))
+    first, *rest = columns
+    held = F.when(fault.isNotNull(), F.raise_error(fault).cast(out.schema[f"__o_{first}"].dataType)).otherwise(F.col(f"__o_{first}"))
+    return out.select(*rows.columns, held.alias(first), *(F.col(f"__o_{c}").alias(c) for c in rest))
+
+
 def required_matrix(models: DataFrame, specs: DataFrame) -> DataFrame:
     """All pairs of two short lists of names: the work that must be there."""
     return models.crossJoin(F.broadcast(specs))  # configuration lists, a few rows each

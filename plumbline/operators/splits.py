@@ -123,3 +123,71 @@ def chunked(df: DataFrame, by: tuple[str, ...], size: int, *order: str) -> DataF
         raise ValueError("size must be positive")
     first, *rest = order
     return ranges.ordinals(df, by, first, tie=tuple(rest), name="__i").withColumn("shard", F.floor(F.col("__i") / size).cast("long")).drop("__i")
+
+
+# --- manifests -------------------------------------------------------------------------------------------------------
+
+ASSIGNMENT_COLUMNS = ("split", "dataset_name", "subset", "sample_id", "image_id", "image_path", "object_name", "label", "question")
+
+
+def assignment_rows(df: DataFrame, *, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of an assignment as text, absent ones and nulls as ''; ``defaults`` name columns that the rows lack."""
+    have = {c: F.col(c) for c in df.columns} | (defaults or {})
+    return df.select(*(F.coalesce(have[c].cast("string"), F.lit("")).alias(c) if c in have else F.lit("").alias(c) for c in ASSIGNMENT_COLUMNS))
+
+
+def stage0_split(c: Column | str) -> Column:
+    """An earlier split's name, or ``missing``."""
+    return F.coalesce(text_or_null(c), F.lit("missing"))
+
+
+def manifests(assigned: DataFrame, by: tuple[str, ...] = ("dataset_name", "subset"), *, fields: tuple[str, ...] = ("label", "object_name"), keys: tuple[str, ...] = ("image_id", "sample_id"), split: str = "split", ratios: tuple[float, ...] = RATIOS, seed: int = SEED) -> DataFrame:
+    """A manifest for each group: seed, names and ratios, ``counts_per_split``, for each field its values' counts by split, and for each key whether no value stands in two splits, with those that do.
+
+    Counts are maps from every split's name in its order, to 0 or an empty map where it has no row. The assignments
+    themselves stay a table (``assignment_rows``). ``overlaps`` has a pair of splits and its shared values, blanks left
+    out; a manifest with many is as large as they are.
+    """
+    per = assigned.groupBy(*by, F.col(split).alias("__s")).agg(F.count("*").alias("__n"))
+    names = F.array(*(F.lit(n) for n in NAMES))
+    at = lambda found, n, none: F.coalesce(F.try_element_at(F.filter(found, lambda e: e["s"] == n), F.lit(1))["m"], none)
+    by_name = lambda found, none: F.map_from_arrays(names, F.transform(names, lambda n: at(found, n, none)))
+    out = per.groupBy(*by).agg(by_name(F.collect_list(F.struct(F.col("__s").alias("s"), F.col("__n").alias("m"))), F.lit(0).cast("long")).alias("counts_per_split"))
+    empty = F.create_map().cast("map<string,bigint>")
+    for f in fields:
+        values = assigned.groupBy(*by, F.col(split).alias("__s"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("__v")).agg(F.count("*").alias("__n"))
+        maps = values.groupBy(*by, "__s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__v", "__n")))).alias("__m"))
+        maps = maps.groupBy(*by).agg(by_name(F.collect_list(F.struct(F.col("__s").alias("s"), F.col("__m").alias("m"))), empty).alias(f"{f}_counts_per_split"))
+        out = ranges.joined(out, maps, by)
+    for k in keys:
+        value = text_or_null(k)
+        per_value = assigned.where(value.isNotNull()).groupBy(*by, value.alias("__v")).agg(F.array_sort(F.collect_set(split)).alias("__in")).where(F.size("__in") > 1)
+        pairs = F.filter(F.flatten(F.transform("__in", lambda a: F.transform("__in", lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p["a"] < p["b"])
+        shared = per_value.select(*by, "__v", F.explode(pairs).alias("p")).groupBy(*by, F.concat_ws("/", "p.a", "p.b").alias("pair")).agg(F.array_sort(F.collect_list("__v")).alias("values"))
+        shared = shared.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pair", "values")))).alias("__o"))
+        none = F.create_map().cast("map<string,array<string>>")
+        out = ranges.joined(out, shared, by, "left").withColumn(f"{k}_overlap_validation", F.struct(F.col("__o").isNull().alias("valid"), F.coalesce("__o", none).alias("overlaps"))).drop("__o")
+    return out.select(F.lit(seed).alias("seed"), names.alias("split_names"), F.array(*map(F.lit, ratios)).alias("ratios"), "*")
+
+
+def nested_totals(manifest: DataFrame, counts: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Maps of maps of counts added up: for each group, every split in its order with the sums of its values; splits of other names and nulls are left out."""
+    long = manifest.select(*by, F.explode(counts).alias("split", "__m")).where(F.col("split").isin(*NAMES)).select(*by, "split", F.explode("__m").alias("__v", "__n"))
+    sums = long.groupBy(*by, "split", "__v").agg(F.sum("__n").alias("__n"))
+    maps = sums.groupBy(*by, "split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__v", "__n")))).alias("__m"))
+    names = F.array(*(F.lit(n) for n in NAMES))
+    found = F.collect_list(F.struct("split", "__m"))
+    at = lambda found, n: F.coalesce(F.try_element_at(F.filter(found, lambda e: e["split"] == n), F.lit(1))["__m"], F.create_map().cast("map<string,bigint>"))
+    return maps.groupBy(*by).agg(F.map_from_arrays(names, F.transform(names, lambda n: at(found, n))).alias(counts))
+
+
+def overlap_summary(manifest: DataFrame, validation: str, *, label: tuple[str, str] = ("dataset_name", "subset")) -> DataFrame:
+    """One row: ``valid`` where every manifest's validation is, ``overlaps`` of those that aren't and ``per_dataset`` of all, by dataset/subset."""
+    name, v = F.concat_ws("/", *label), F.col(validation)
+    entry = F.struct(name.alias("k"), v.alias("v"))
+    bad = F.when(~F.coalesce(v["valid"], F.lit(False)), F.struct(name.alias("k"), v["overlaps"].alias("v")))
+    return manifest.agg(
+        F.coalesce(F.bool_and(F.coalesce(v["valid"], F.lit(False))), F.lit(True)).alias("valid"),
+        F.map_from_entries(F.collect_list(bad)).alias("overlaps"),
+        F.map_from_entries(F.collect_list(entry)).alias("per_dataset"),
+    )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import paths, walk
 from ..functions import text as T
-from ..operators import bootstrap, gates, metrics, preflight, quality, reconcile, scoring, splits, vectors
+from ..operators import bootstrap, cache_checks, experiment, gates, metrics, preflight, quality, reconcile, scoring, splits, tokens, vectors
 from ..streaming import answers
 from .bindings import DOCS, EVT, LAYERS, VEC, curve_sql, docs, evt, split_sql, table, vec
 
@@ -770,3 +772,170 @@ def scorer_answers_whole(spark, sf):
 def population_stream(spark, sf):
     """Counts kept by a stream over the files there are."""
     return answers.latest_counts(spark, f"{sf}/labels.parquet", label="quality", parsed="toxic")
+
+
+# --- walks, paths, tokens, manifests, caches ---------------------------------------------------------------------------
+
+
+@query(
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, role, text FROM conversations)
+    SELECT conv_id, 'conv' AS path, 'BIGINT' AS type, CAST(conv_id AS VARCHAR) AS leaf FROM t GROUP BY conv_id
+    UNION ALL SELECT conv_id, 'turns[' || i || '].role', CASE WHEN role IS NULL THEN 'VOID' ELSE 'STRING' END, coalesce('"' || role || '"', 'null') FROM t
+    UNION ALL SELECT conv_id, 'turns[' || i || '].size.chars', 'BIGINT', CAST(length(coalesce(text, '')) AS VARCHAR) FROM t
+    UNION ALL SELECT conv_id, 'turns[' || i || '].size.ends[' || k || ']', 'BIGINT', CAST(k * length(coalesce(text, '')) AS VARCHAR) FROM t, range(2) r(k)"""
+)
+def json_leaves(spark, sf):
+    """What conversations hold as nested JSON, walked level by level."""
+    chars = F.length(F.coalesce("text", F.lit("")))
+    turn = F.struct("turn", "role", "text", F.struct(chars.alias("chars"), F.array(F.lit(0), chars).alias("ends")).alias("size"))
+    each = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    doc = F.to_json(F.struct(F.col("conv_id").alias("conv"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["size"].alias("size"))).alias("turns")), {"ignoreNullFields": "false"})
+    return walk.leaves(each.select("conv_id", F.parse_json(doc).alias("doc")), "doc", ("conv_id",))
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '\"k\": ?([0-9]+)', 1) AS BIGINT) AS k, [CAST(regexp_extract(props, '\"k\": ?([0-9]+)', 1) AS BIGINT), user_id] AS numbers FROM events")
+def json_lookups(spark, sf):
+    """The first of several paths that is there, and a strict list of integers."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.parse_json("props").alias("p"))
+    k = walk.first_at(F.col("p"), "$.config.k", "$.key", "$.k", kind="long")
+    listed = F.parse_json(F.concat(F.lit("["), k.cast("string"), F.lit(', "'), F.col("user_id").cast("string"), F.lit('"]')))
+    return e.select("event_id", k.alias("k"), walk.int_list(listed).alias("numbers"))
+
+
+_CANONICAL = """WITH RECURSIVE p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    s AS (SELECT page_id, path, string_split(CASE WHEN page_id % 3 = 0 THEN path || '/../x//./y' WHEN page_id % 3 = 1 THEN '../../' || path ELSE 'fr/' || path END, '/') AS parts FROM p),
+    w AS (SELECT page_id, parts, 1 AS k, CASE WHEN page_id % 3 = 0 THEN '' ELSE '/en' END AS acc FROM s
+        UNION ALL SELECT page_id, parts, k + 1, CASE WHEN parts[k] IN ('', '.') THEN acc WHEN parts[k] = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || parts[k] END FROM w WHERE k <= len(parts)),
+    c AS (SELECT page_id, CASE WHEN acc = '' THEN '/' ELSE acc END AS path FROM w WHERE k = len(parts) + 1)"""
+
+
+@query(f"{_CANONICAL} SELECT page_id, path, path = '/en' OR path LIKE '/en/%' AS inside FROM c")
+def canonical_paths(spark, sf):
+    """Paths of URLs, some made to leave their root, as canonical paths and whether they stay under it."""
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    odd = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/"), path, F.lit("/../x//./y"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("../../"), path)).otherwise(F.concat(F.lit("fr/"), path))
+    return table(spark, sf, "pages").select("page_id", paths.resolved(odd, "/en").alias("path"), paths.is_under(odd, "/en").alias("inside"))
+
+
+_NAMED = "n AS (SELECT CAST(conv_id AS VARCHAR) || ':' || turn AS key, text, substr(text, length(text) // 3 + 1, 9) AS name FROM conversations WHERE length(text) > 0)"
+
+
+@query(
+    f"""WITH {_NAMED}, s AS (SELECT key, name, instr(lower(text), lower(name)) - 1 AS start FROM n), u AS (SELECT key, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+'), 1) - 1 AS k FROM n),
+    o AS (SELECT key, k, length(w) AS id, sum(length(w)) OVER (PARTITION BY key ORDER BY k) AS stop FROM u)
+    SELECT s.key, s.start, s.start + length(name) AS stop, min(k) AS first, max(k) AS last, list(id ORDER BY k) AS ids FROM s JOIN o ON s.key = o.key AND o.stop - o.id < s.start + length(name) AND o.stop > s.start GROUP BY ALL"""
+)
+def token_spans(spark, sf):
+    """The tokens of a name's place in each text; a token's id is its length here."""
+    rows = table(spark, sf, "conversations").where("length(text) > 0").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text", F.substr("text", F.floor(F.length("text") / 3).cast("int") + 1, F.lit(9)).alias("name"))
+    pieces = rows.select("key", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+|[^A-Za-z]+)"))).alias("at", "w"))
+    stop = F.sum(F.length("w")).over(W.partitionBy("key").orderBy("at"))  # of one text
+    offsets = pieces.select("key", "at", F.length("w").cast("long").alias("id"), stop.alias("stop")).withColumn("start", F.col("stop") - F.col("id"))
+    spans = rows.select("key", tokens.name_span(F.col("text"), F.lit(""), F.col("name")).alias("s")).select("key", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
+    return tokens.token_spans(offsets, spans, "key").select("key", "start", "stop", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "ids")
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, [[length(w) FOR w IN string_split(s, ' ')] FOR s IN string_split(coalesce(text, ''), '.')] AS v FROM conversations),
+    b AS (SELECT conv_id, max(len(v)) AS h, max(list_max([len(x) FOR x IN v])) AS w FROM r GROUP BY conv_id)
+    SELECT conv_id, turn, h AS rows, w AS columns, array_to_string([array_to_string(list_resize(x, w, -1), ',') FOR x IN list_resize(v, h, [])], ';') AS padded FROM r JOIN b USING (conv_id)"""
+)
+def padded_batches(spark, sf):
+    """Word lengths by sentence, ragged in two dimensions, filled up with -1 to the shape of their conversation."""
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), "\\."), lambda s: F.transform(F.split(s, " "), F.length))
+    out = tokens.collated(table(spark, sf, "conversations").select("conv_id", "turn", words.alias("v")), ("conv_id",), {"v": F.lit(-1)})
+    text = F.array_join(F.transform("v", lambda x: F.array_join(x.cast("array<string>"), ",")), ";")
+    return out.select("conv_id", "turn", F.size("v").cast("long").alias("rows"), F.size(F.get("v", F.lit(0))).cast("long").alias("columns"), text.alias("padded"))
+
+
+def _assigned(spark, sf):
+    d = docs(spark, sf).where("label is not null").select("bucket", "dataset_name", "subset", "sample_id", "label", F.concat(F.lit("o"), (F.col("n_chars") % 5).cast("string")).alias("object_name"), F.col("bucket").alias("image_id"))
+    return splits.grouped_split(d, "bucket")
+
+
+_ASSIGNED = f"{DOCS}, lab AS (SELECT dataset_name, subset, sample_id, bucket, bucket AS image_id, label, 'o' || n_chars % 5 AS object_name FROM docs WHERE label IS NOT NULL), {split_sql('lab', 'bucket')}, assigned AS (SELECT lab.*, split FROM lab JOIN named ON bucket = key_text)"
+
+
+@query(
+    f"""WITH {_ASSIGNED}, f AS (SELECT split, 'label' AS field, CAST(label AS VARCHAR) AS value FROM assigned UNION ALL SELECT split, 'object_name', object_name FROM assigned)
+    SELECT split, field, value, count(*) AS n FROM f GROUP BY ALL"""
+)
+def nested_split_totals(spark, sf):
+    """Manifests of all datasets and subsets, and their maps of counts added up."""
+    m = splits.manifests(_assigned(spark, sf))
+    each = [splits.nested_totals(m, f"{f}_counts_per_split").select(F.lit(f).alias("field"), F.explode(f"{f}_counts_per_split").alias("split", "c")).select("split", "field", F.explode("c").alias("value", "n")) for f in ("label", "object_name")]
+    return each[0].unionByName(each[1])
+
+
+@query(
+    f"""WITH {_ASSIGNED}, c AS (SELECT dataset_name, subset, split, count(*) AS n FROM assigned GROUP BY ALL), g AS (SELECT DISTINCT dataset_name, subset FROM assigned),
+    s AS (SELECT dataset_name, subset, object_name FROM assigned GROUP BY ALL HAVING count(DISTINCT split) > 1)
+    SELECT g.dataset_name, g.subset, ends.name AS split, coalesce(n, 0) AS n, true AS image_valid, (SELECT count(*) FROM s WHERE s.dataset_name = g.dataset_name AND s.subset = g.subset) = 0 AS object_valid
+    FROM g CROSS JOIN ends LEFT JOIN c ON c.dataset_name = g.dataset_name AND c.subset = g.subset AND c.split = ends.name"""
+)
+def split_manifests(spark, sf):
+    m = splits.manifests(_assigned(spark, sf), keys=("image_id", "object_name"))
+    return m.select("dataset_name", "subset", F.explode("counts_per_split").alias("split", "n"), F.col("image_id_overlap_validation.valid").alias("image_valid"), F.col("object_name_overlap_validation.valid").alias("object_valid"))
+
+
+@query(
+    f"""WITH {_ASSIGNED}, s AS (SELECT dataset_name || '/' || subset AS label, object_name FROM assigned GROUP BY dataset_name, subset, object_name HAVING count(DISTINCT split) > 1)
+    SELECT (SELECT count(*) FROM s) = 0 AS valid, (SELECT count(DISTINCT label) FROM s) AS overlapping, (SELECT count(DISTINCT dataset_name || '/' || subset) FROM assigned) AS datasets"""
+)
+def overlap_of_manifests(spark, sf):
+    m = splits.manifests(_assigned(spark, sf), keys=("object_name",))
+    return splits.overlap_summary(m, "object_name_overlap_validation").select("valid", F.size("overlaps").cast("long").alias("overlapping"), F.size("per_dataset").cast("long").alias("datasets"))
+
+
+@query(f"WITH {_ASSIGNED} SELECT sample_id, split FROM assigned")
+def must_match_splits(spark, sf):
+    """Each labelled document with the split that a table of assignments has for it."""
+    a = _assigned(spark, sf)
+    keys = ("dataset_name", "subset", "sample_id")
+    return reconcile.must_match(a.select(*keys), splits.assignment_rows(a), keys, ("split",), what="split").select("sample_id", "split")
+
+
+SHARD_ROWS = 64
+
+
+def _cache(spark, sf):
+    """Embeddings as entries of shards, with some sidecars and entries at odds: a count too high, another model's rows, a layer too many."""
+    e = table(spark, sf, "embeddings").withColumn("shard", F.floor(F.col("vec_id") / SHARD_ROWS))
+    v = F.col("embedding").cast("array<float>")
+    layers = F.array(*[F.slice(v, k * 8 + 1, 8) for k in range(8)])
+    text = lambda x: F.lit(x)
+    path = F.format_string("shard-%05d", F.col("shard"))
+    entries = e.select(
+        path.alias("shard_path"), "vec_id", text("pope").alias("dataset_name"), text("pope").alias("source_dataset"), text("popular").alias("subset"), text("val").alias("split"), F.col("vec_id").cast("string").alias("sample_id"),
+        F.when(F.col("vec_id") % 50 == 0, "other").otherwise("tiny").alias("model_name"), F.col("vec_id").cast("string").alias("image_id"), text("p").alias("image_path"), text("q").alias("question"), (F.col("label") % 2).alias("label"),
+        text("o").alias("object_name"), text("yes").alias("answer_text"), F.lit(1).alias("parsed_answer"), F.array(F.lit(0.5)).alias("first_token_logits"), F.when(F.col("vec_id") % 70 == 0, F.concat(layers, F.array(F.slice(v, 1, 8)))).otherwise(layers).alias("layer_vectors"),
+    )
+    sizes = e.groupBy("shard").agg(F.count("*").alias("n"))
+    said = F.struct(*(F.lit("x").alias(c) for c in cache_checks.SIDECAR_FIELDS if c not in ("model_name", "dataset_name", "source_dataset", "subset", "split", "total_layers", "selected_layers", "num_selected_layers", "hidden_dim", "num_entries")), text("tiny").alias("model_name"), text("pope").alias("dataset_name"), text("pope").alias("source_dataset"), text("popular").alias("subset"), text("val").alias("split"), F.lit(8).alias("total_layers"), F.sequence(F.lit(0), F.lit(7)).alias("selected_layers"), F.lit(8).alias("num_selected_layers"), F.lit(8).alias("hidden_dim"), (F.col("n") + (F.col("shard") % 3 == 1).cast("int")).alias("num_entries"))
+    side = sizes.select(path.alias("shard_path"), F.parse_json(F.to_json(said)).alias("side"))
+    return entries, side.select("shard_path", *cache_checks.sidecar_columns(F.col("side")))
+
+
+_SHARDS = f"""WITH e AS (SELECT vec_id, vec_id // {SHARD_ROWS} AS shard, row_number() OVER (PARTITION BY vec_id // {SHARD_ROWS} ORDER BY vec_id) - 1 AS k FROM embeddings),
+    m AS (SELECT shard, k * 2 AS o, 'entry ' || k || ' model_name=other does not match sidecar model_name=tiny' AS msg FROM e WHERE vec_id % 50 = 0 UNION ALL SELECT shard, k * 2 + 1, 'entry ' || k || ' layer_vectors.shape[0]=9 does not match num_selected_layers=8' FROM e WHERE vec_id % 70 = 0
+        UNION ALL SELECT shard, -1, 'sidecar num_entries=' || count(*) + 1 || ' does not match payload length ' || count(*) FROM e WHERE shard % 3 = 1 GROUP BY shard),
+    g AS (SELECT shard, string_agg(msg, '; ' ORDER BY o) AS errors FROM m GROUP BY shard), s AS (SELECT shard, count(*) AS n FROM e GROUP BY shard)"""
+
+
+@query(f"{_SHARDS} SELECT 'shard-' || lpad(CAST(s.shard AS VARCHAR), 5, '0') AS path, CASE WHEN errors IS NULL THEN 'passed' ELSE 'failed' END AS status, n AS num_entries, CAST(8 AS BIGINT) AS hidden_dim, coalesce(errors, '') AS errors FROM s LEFT JOIN g USING (shard)")
+def cache_shards(spark, sf):
+    shards, _, _ = cache_checks.validated(*_cache(spark, sf), order="vec_id", expected={"model_name": "tiny", "split": "val"})
+    return shards.select("path", "status", "num_entries", "hidden_dim", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(f"{_SHARDS} SELECT CASE WHEN (SELECT count(*) FROM m) = 0 THEN 'passed' ELSE 'failed' END AS status, (SELECT count(*) FROM s) AS num_shards, (SELECT count(*) FROM e) AS total_entries, (SELECT count(*) FROM m) AS num_errors, CAST(0 AS BIGINT) AS num_duplicate_keys")
+def cache_summary(spark, sf):
+    return cache_checks.validated(*_cache(spark, sf), order="vec_id")[2]
+
+
+@query()
+def variant_experiment(spark, sf):
+    """All untrained variants by both readouts on every scope, with intervals from exact draws."""
+    rows = vec(spark, sf).select(F.col("vec_id").cast("string").alias("sample_id"), F.concat(F.lit("s"), (F.col("label") % 3).cast("string")).alias("subset"), F.col("layers").alias("layer_vectors"), F.lit(0).alias("label"), F.when(F.col("label") >= 5, 1).otherwise(0).alias("parsed"), F.concat(F.lit("g"), (F.col("vec_id") % 97).cast("string")).alias("bucket"))
+    found, _ = experiment.run(splits.grouped_split(rows, "bucket"), key="sample_id", subsets=("s0", "s1", "s2"), replicates=200, least_positives=1)
+    return rounded(found.select("variant", "readout", "eval_split", "eval_scope", "metric_status", "failure_reason", "num_samples", "roc_auc", "roc_auc_ci_low", "roc_auc_ci_high", "pr_auc", "pr_auc_ci_low", "pr_auc_ci_high", "num_bank_correct"))
