@@ -13,6 +13,7 @@ from .quality import repeated, require_none
 from .reconcile import must_match
 from .scoring import logistic_scores
 from .splits import NAMES, first_n
+from .tables import stored
 
 #: Hard cases that a population must have, and neighbours that are asked for.
 LEAST_POSITIVES, NEIGHBOURS = 50, 10
@@ -73,9 +74,11 @@ def metric_rows(scores: DataFrame, *, subsets: tuple[str, ...], replicates: int
 
 def run(entries: DataFrame, *, key: str, subsets: tuple[str, ...], layers: str = "layer_vectors", variants: tuple[str, ...] = vectors.VARIANTS, k: int = NEIGHBOURS, replicates: int = 1000, seed: int = bootstrap.SEED, least_positives: int = LEAST_POSITIVES) -> tuple[DataFrame, DataFrame]:
     """Metric rows and the gate's row for a model's entries; raises where the population has too few hard cases."""
-    rows = primary(entries)
+    rows = stored(primary(entries), "experiment-rows")
     hard = rows.where("y = 1").count()
     if hard < least_positives:
         raise ValueError(f"fewer than {least_positives} hard hallucination samples in the primary population: {hard}")
-    found = metric_rows(scored(rows, key=key, layers=layers, variants=variants, k=k), subsets=subsets, replicates=replicates, seed=seed).withColumn("num_bank_correct", F.lit(bank_correct(rows)))
+    scores = stored(scored(rows, key=key, layers=layers, variants=variants, k=k), "experiment-scores")
+    found = metric_rows(scores, subsets=subsets, replicates=replicates, seed=seed).withColumn("num_bank_correct", F.lit(bank_correct(rows)))
+    found = stored(found, "experiment-metrics")
     return found, gates.model_gates(found)
