@@ -22,6 +22,8 @@ are few (one row each meets in a window that orders them all).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from .common import cut
 
 BLOCK = 64
 STEP = 65_536
+#: Parts by hash and by place into which rows of one id, source and size are dealt to be numbered.
+PARTS = 32
 CAP = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20_240_501
@@ -67,10 +71,10 @@ def _uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def _fold(units: Column, level: int, seed: int) -> Column:
+def _fold(units: Column, level: int, seed: int, kind: str) -> Column:
     """Folds an array of (key, size, p): ``left``, the unit that stays fractional (or null), and ``decided``, the others with ``more``, 0 or 1."""
-    none = F.lit(None).cast("struct<key: bigint, size: double, p: double>")
-    start = F.struct(none.alias("left"), F.array().cast("array<struct<key: bigint, more: int>>").alias("decided"))
+    none = F.lit(None).cast(f"struct<key: {kind}, size: double, p: double>")
+    start = F.struct(none.alias("left"), F.array().cast(f"array<struct<key: {kind}, more: int>>").alias("decided"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["left"]
@@ -91,7 +95,8 @@ def _fold(units: Column, level: int, seed: int) -> Column:
 
 
 def rounded(units: DataFrame, *, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``key``, ``more`` (0 or 1) for units (``key`` distinct, ``source``, ``size`` > 0, ``p``), by a tree of pivotal folds."""
+    """``key``, ``more`` (0 or 1) for units (``key`` distinct, of any type that can be compared; ``source``, ``size`` > 0, ``p``), by a tree of pivotal folds."""
+    kind = units.schema["key"].dataType.simpleString()
     counts = units.groupBy("source").agg(F.count("*").alias("n"))
     largest = counts.agg(F.max("n")).first()[0] or 0  # one number
     here = units.join(counts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -102,7 +107,7 @@ def rounded(units: DataFrame, *, block: int = BLOCK, seed: int = SEED) -> DataFr
         dealt = here.withColumn("blk", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("key")), blocks))
         row = F.struct(F.xxhash64(F.lit(seed + 1), F.col("key")).alias("h"), F.struct("key", "size", "p").alias("u"))
         grouped = dealt.groupBy("source", "blk").agg(F.array_sort(F.collect_list(row)).alias("us"), F.first("n").alias("n"))
-        folded = grouped.select("source", "n", _fold(F.transform("us", lambda x: x["u"]), level, seed).alias("f"))
+        folded = grouped.select("source", "n", _fold(F.transform("us", lambda x: x["u"]), level, seed, kind).alias("f"))
         folded = cut(folded)  # the next level and the result both read it
         decided = folded.select(F.explode("f.decided").alias("d")).select("d.key", "d.more")
         out = decided if out is None else out.unionByName(decided)
@@ -113,10 +118,6 @@ def rounded(units: DataFrame, *, block: int = BLOCK, seed: int = SEED) -> DataFr
         here, largest, level = left, -(-largest // block), level + 1
 
 
-def _key(*cols) -> Column:
-    return F.xxhash64(F.lit("unit"), *cols)
-
-
 def copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """Per distinct (``id``, ``source``, ``size``): ``rows`` that have it, ``source_size``, ``target``, and ``total`` copies for all of them."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (size if size is not None else word_count(text_col)).alias("size"))
@@ -127,7 +128,7 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source
     units = units.join(t, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     wanted = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size")) * F.col("rows")).otherwise(0.0)
     units = units.withColumn("wanted", wanted).withColumn("sure", F.floor(F.col("wanted") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("wanted") - F.col("sure")))
-    units = units.withColumn("key", _key("id", "source", "size"))
+    units = units.withColumn("key", F.struct("id", "source", "size"))  # the unit itself: no two share it
     open_units = units.where("size > 0 and p > 1e-12").select("key", "source", F.col("size").cast("double").alias("size"), "p")
     more = rounded(open_units, seed=seed)
     out = units.join(more, "key", "left")
@@ -142,19 +143,36 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * _share()).alias("taken"))
 
 
-def _share(prefix: str = "") -> Column:
+def _share() -> Column:
     """Copies of the ``k``-th of ``rows`` equal rows."""
-    total, rows, k = (F.col(prefix + c) for c in ("total", "rows", "k"))
+    total, rows, k = (F.col(c) for c in ("total", "rows", "k"))
     return (F.floor(total / rows) + (k <= F.pmod(total, rows)).cast("long")).cast("long")
 
 
+def _hash_of(docs: DataFrame) -> Column:
+    """Of all columns; what has no hash of its own, such as a map, by its JSON."""
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return F.xxhash64(*(F.to_json(F.struct(q(c))) if re.search("map<|variant", t) else q(c) for c, t in docs.dtypes))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, columns unchanged."""
+    """``docs`` with every row as often as the mix takes it, columns unchanged.
+
+    Rows that share id, source and size are numbered by the hash of all their columns: counted by parts of hashes and
+    places in the input first, so no task orders more than one part of them.
+    """
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     c = copies(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    single = c.select(_key("id", "source", "size").alias("__key"), F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("rows").alias("__rows"), F.col("total").alias("__total"))
-    sized = docs.withColumn("__n", word_count(text_col))
-    sized = sized.withColumn("__key", _key(id_col, F.col(source_col).cast("string"), "__n"))
-    here = sized.join(single, "__key").where(F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    same = W.partitionBy("__key").orderBy(F.xxhash64(*[F.col(x) for x in docs.columns]))  # as the join has dealt the rows
-    here = here.withColumn("__k", F.row_number().over(same)).withColumn("__copies", _share("__")).where("__copies > 0")
-    return here.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    named = c.select(F.struct("id", "source", "size").alias("unit"), "rows", "total")
+    unit = F.struct(q(id_col).alias("id"), q(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    rows = docs.select(F.struct(*(q(x) for x in docs.columns)).alias("row"), unit.alias("unit"), _hash_of(docs).alias("h"), F.monotonically_increasing_id().alias("place"))
+    here = rows.join(named, "unit").where("total > 0")
+    alone = here.where("rows = 1").select("row", "total")
+    many = here.where("rows > 1").withColumn("part", F.struct(F.pmod("h", F.lit(PARTS)).alias("h"), F.pmod("place", F.lit(PARTS)).alias("p")))
+    sizes = many.groupBy("unit", "part").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(W.partitionBy("unit").orderBy("part")) - F.col("m")  # PARTS * PARTS rows at most
+    offsets = sizes.select("unit", "part", before.alias("before"))
+    inside = F.row_number().over(W.partitionBy("unit", "part").orderBy("h", "place"))
+    dealt = many.join(offsets, ["unit", "part"]).withColumn("k", F.col("before") + inside).select("row", _share().alias("total"))
+    out = alone.unionByName(dealt).where("total > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total")))).select("row.*")
