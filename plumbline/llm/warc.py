@@ -93,7 +93,7 @@ def parse_headers(block: bytes) -> dict[str, str]:
     out = {}
     for line in block.decode("utf-8").split("\r\n")[1:]:
         name, _, value = line.partition(":")
-        out[name.strip().lower()] = value.strip()
+        out[name.strip(" \t").lower()] = value.strip(" \t")  # other white space is part of a value
     return out
 
 
