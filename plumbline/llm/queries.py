@@ -19,11 +19,16 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
 
 
+def rendered(turns: list[chat.Turn]) -> str:
+    """The plain template as a black box: nothing is declared of it, so every prefix is rendered whole."""
+    return chat.plain_template(turns)
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    out = chat.read_back(chat.format_turns(rows.unionByName(own)))
+    out = chat.read_back(chat.format_turns(rows.unionByName(own), template=rendered))
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
