@@ -222,6 +222,13 @@ def packed(counts: np.ndarray, salts: np.ndarray) -> np.ndarray:
     return out
 
 
+def folded(rows: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the rows with the k + 1 smallest ids, k of each: no others can be among k neighbours. What a task may leave out it leaves out before the shuffle."""
+    same = W.partitionBy("v").orderBy("id")
+    rows = rows.withColumn("__d", F.dense_rank().over(same)).where(F.col("__d") <= k + 1).drop("__d")
+    return rows.withColumn("__n", F.row_number().over(W.partitionBy("v", "id").orderBy("id"))).where(F.col("__n") <= k).drop("__n")
+
+
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -236,6 +243,7 @@ def search(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_
     dim, n_rows = lengths[0]["dim"], lengths[0]["n"]
     found = found.where(F.size("v") == dim)
     queries = found.where(is_query).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
+    found = folded(found, k)
 
     def sample_of(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         t = df.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id", "v").limit(most).select("id", "v").toArrow().combine_chunks()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import divergence, fim, queries, topk
+from plumbline.llm import ann, chat, divergence, fim, mixing, queries, token_counts, topk, warc
 
 
 def duck(sf, sql):
@@ -221,3 +221,80 @@ def test_topk_refuses_what_does_not_fit():
     q = np.full((1, 2), 1 << 40)
     with pytest.raises(ValueError):
         topk.products(q, topk.lengths(q), b, slice(0, 2))
+
+
+# --- faults of earlier operators -------------------------------------------------------------------------------------
+
+
+def test_mix_keeps_any_column_and_spreads_rows_that_share_a_unit(spark):
+    rows = [(k % 3 if k % 4 else None, f"{'w ' * (k % 5 + 1)}", "ab"[k % 2] if k % 7 else None, {"k": k}, k, f"h{k}", k, k) for k in range(60)]
+    rows += [(1, "same text", "a", {"k": 0}, 0, "h", 0, 0)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string, int>, __n int, h string, unit int, total int")
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    have = {(r["doc_id"], r["text"], r["source"], r["tags"]["k"], r["__n"], r["h"]) for r in df.collect()}
+    got = Counter((r["doc_id"], r["text"], r["source"], r["tags"]["k"], r["__n"], r["h"]) for r in out.collect())
+    assert set(got) <= have and got == Counter((r["doc_id"], r["text"], r["source"], r["tags"]["k"], r["__n"], r["h"]) for r in mixing.mix(df).collect())
+    words = lambda t: len(t.split())
+    report = mixing.mix_report(df).collect()
+    assert len(report) == 100 and sum(r["taken"] for r in report) == sum(words(k[1]) * n for k, n in got.items())
+    copies = got[1, "same text", "a", 0, 0, "h"]
+    assert 40 * (copies // 40) <= copies <= 40 * 3
+
+
+def test_units_are_joined_by_what_they_are(spark):
+    """No hash can melt two units into one: keys hold id, source and size."""
+    df = spark.createDataFrame([(k, "w " * (k % 9 + 1), f"s{k % 2}") for k in range(200)], "doc_id long, text string, source string")
+    units = df.select(F.struct(F.col("doc_id").alias("id"), "source", F.lit(1).cast("long").alias("size")).alias("key"), "source", F.lit(1.0).alias("size"), F.lit(0.5).alias("p"))
+    got = mixing.rounded(units, block=16).collect()
+    assert len({r["key"] for r in got}) == 200 and sum(r["more"] for r in got) == 100
+    assert mixing.copies(df).count() == 200
+
+
+def test_warc_headers_keep_white_space_that_is_not_ascii():
+    got = warc.parse_headers("WARC/1.1\r\nWARC-Target-URI: \t http://x/ 　 \r\nA:b".encode())
+    assert got == {"warc-target-uri": "http://x/ 　", "a": "b"}
+
+
+def test_unknown_vocabularies_are_counted_whole(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    path = tmp_path / "own.json"
+    Tokenizer(models.BPE(vocab={"a": 0, "b": 1, " ": 2, "a ": 3, "a b": 4}, merges=[("a", " "), ("a ", "b")])).save(str(path))
+    assert token_counts.count("a b", str(path)) == 1
+    assert token_counts.count("a b" * 30_000, str(path)) == len(Tokenizer.from_file(str(path)).encode("a b" * 30_000).ids)
+
+
+def test_chat_query_renders_every_prefix(spark):
+    """The query's template is a black box: of 200 turns the longest prefix rendered has all."""
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(200)]
+    seen = []
+
+    def template(t):
+        seen.append(len(t))
+        return queries.rendered(t)
+
+    r = chat.Renderer(template)
+    for t in turns:
+        r.add(t)
+    assert max(seen) >= 200 and not getattr(queries.rendered, "local", False)
+
+
+def test_ann_folds_equal_vectors(spark):
+    rows = [(k, [1.0, 2.0]) for k in range(400)] + [(7, [1.0, 2.0])] * 5 + [(1000 + k, [float(k), 3.0]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    kept = ann.folded(df, 3).collect()
+    assert Counter(r["id"] for r in kept if r["v"] == [1.0, 2.0]) == {0: 1, 1: 1, 2: 1, 3: 1}
+    assert sum(r["id"] >= 1000 for r in kept) == 40
+    assert Counter(r["id"] for r in ann.folded(spark.createDataFrame([(7, [1.0])] * 9 + [(8, [1.0])], "id long, v array<double>"), 3).collect()) == {7: 3, 8: 1}
+    found = ann.search(df.withColumnsRenamed({"id": "vec_id", "v": "embedding"}), F.col("id").isin(7, 399), k=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == [(7, 1, 0), (7, 2, 1), (7, 3, 2), (399, 1, 0), (399, 2, 1), (399, 3, 2)]
+
+
+def test_classifier_leaves_columns_of_any_name(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20).withColumns({"__score": F.lit(7), "Score": F.lit("s"), "score_": F.lit(1)})
+    out = corpus_pipeline.classify(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert {(r["__score"], r["Score"], r["score_"]) for r in out.collect()} <= {(7, "s", 1)}
