@@ -24,8 +24,11 @@ LEAST_QUALITY = 0.3
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects. Equal texts have equal scores: all of them go, or none; empty texts have the bias's score."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
-    scored = quality.score(docs, quality.fit(docs, labels), score_col="__score")
-    return scored.where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:  # a column of the documents stays as it is
+        name += "_"
+    scored = quality.score(docs, quality.fit(docs, labels), score_col=name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
