@@ -49,7 +49,7 @@ MAY_BE_NULL = ("parsed_answer",)
 
 def read_sidecars(spark: SparkSession, root: str, pattern: str = "*.parquet.json") -> DataFrame:
     """``shard_path``, ``side`` (VARIANT) and ``side_errors`` of every sidecar under a folder; one that is no JSON object has no fields, and says so."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     rows = text.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", "").alias("shard_path"), F.try_parse_json("value").alias("side"))
     return rows.select("shard_path", *sidecar_columns(F.col("side")))
 
