@@ -19,18 +19,25 @@ EXTRACTION_COLUMNS = ("sample_id", "image_id", "image_path", "question", "label"
 DASH_B_TEMPLATE = "Can you see a {object_name} in this image? Please answer only with yes or no."
 
 
+#: Blocks of files whose offsets are sent to all tasks, some 100 bytes each.
+BLOCKS = 50_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``line`` (from 1 in each file), ``value`` of text files, in the plan: no Python, no shuffle of the lines.
 
     Lines are counted by block of a file, the blocks' counts are added up, and a line's number is that sum plus its place in
-    its block, told by the ids that rising row numbers of a partition give.
+    its block, told by the ids that rising row numbers of a partition give. There are at most as many blocks as files and
+    partitions together; up to ``BLOCKS`` their offsets are broadcast, and the lines stay where they were read.
     """
     meta = lambda c: F.col(f"_metadata.{c}")
     rows = spark.read.text(path).select(meta("file_path").alias("file"), meta("file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
     blocks = rows.groupBy("file", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))  # a row for each block
     before = F.sum("__n").over(W.partitionBy("file").orderBy("__block")) - F.col("__n")
     offsets = blocks.select("file", "__block", (before - F.col("__first") + 1).alias("__shift"))
-    return rows.join(offsets, ["file", "__block"]).select("file", (F.col("__id") + F.col("__shift")).alias("line"), "value")
+    lines = spark.read.text(path)
+    few = len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= BLOCKS
+    return rows.join(F.broadcast(offsets) if few else offsets, ["file", "__block"]).select("file", (F.col("__id") + F.col("__shift")).alias("line"), "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
