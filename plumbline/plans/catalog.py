@@ -939,3 +939,52 @@ def variant_experiment(spark, sf):
     rows = vec(spark, sf).select(F.col("vec_id").cast("string").alias("sample_id"), F.concat(F.lit("s"), (F.col("label") % 3).cast("string")).alias("subset"), F.col("layers").alias("layer_vectors"), F.lit(0).alias("label"), F.when(F.col("label") >= 5, 1).otherwise(0).alias("parsed"), F.concat(F.lit("g"), (F.col("vec_id") % 97).cast("string")).alias("bucket"))
     found, _ = experiment.run(splits.grouped_split(rows, "bucket"), key="sample_id", subsets=("s0", "s1", "s2"), replicates=200, least_positives=1)
     return rounded(found.select("variant", "readout", "eval_split", "eval_scope", "metric_status", "failure_reason", "num_samples", "roc_auc", "roc_auc_ci_low", "roc_auc_ci_high", "pr_auc", "pr_auc_ci_low", "pr_auc_ci_high", "num_bank_correct"))
+
+
+# --- bindings in which every case occurs -------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT vec_id, CASE vec_id % 7 WHEN 0 THEN 'missing layer_vectors' WHEN 1 THEN 'layer_vectors must be two-dimensional' WHEN 2 THEN 'layer count differs' WHEN 3 THEN 'selected_layers must be contiguous from 0' WHEN 4 THEN 'layer_vectors must be finite'
+        WHEN 5 THEN 'layer count differs,layer_vectors must be finite' ELSE '' END AS errors FROM embeddings"""
+)
+def vector_errors(spark, sf):
+    """Matrices from embeddings, six of seven made faulty in one way or two: each message is shown."""
+    k, layers = F.col("vec_id") % 7, F.col("layers")
+    odd = F.array(F.concat(F.slice(F.element_at(layers, 1), 1, 7), F.array(F.lit(float("inf")))))
+    made = F.when(k == 0, F.lit(None)).when(k == 1, F.concat(F.slice(layers, 1, 7), F.array(F.array(F.lit(0.0))))).when(k == 2, F.slice(layers, 1, 7)).when(k == 4, F.concat(odd, F.slice(layers, 2, 7))).when(k == 5, F.concat(odd, layers)).otherwise(layers)
+    selected = F.when(k == 3, F.sequence(F.lit(1), F.lit(8))).otherwise(F.sequence(F.lit(0), F.lit(7)))
+    return vec(spark, sf).select("vec_id", F.array_join(quality.layer_vector_errors(made, selected, F.lit(8)), ",").alias("errors"))
+
+
+@query("SELECT doc_id, quality AS number, toxic AS word, CASE WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 0 END AS variant, CAST(NULL AS INTEGER) AS neither FROM labels")
+def labels_as_words(spark, sf):
+    """Labels written as numbers, as yes and no in odd spellings, and as JSON, read back; and words that are neither."""
+    word = F.when(F.col("toxic") == 1, "  YES\t").when(F.col("toxic") == 0, "No")
+    rows = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("n"), word.alias("w"), F.parse_json(F.when(F.col("quality") == 1, "true").when(F.col("quality") == 0, "false")).alias("v"))
+    return rows.select("doc_id", T.yes_no_label(F.col("n")).alias("number"), T.yes_no_label(F.col("w")).alias("word"), T.variant_label(F.col("v")).alias("variant"), T.yes_no_label(F.concat("w", F.lit(" or not"))).alias("neither"))
+
+
+_LABELLED = f"{DOCS}, m AS (SELECT dataset_name, subset, count(*) AS expected, count(label) AS observed FROM docs GROUP BY ALL)"
+
+
+@query(f"WITH {_LABELLED} SELECT dataset_name || '/' || subset || ': expected ' || expected || ', observed ' || observed AS label FROM m WHERE observed > 0 AND observed != expected")
+def label_count_mismatches(spark, sf):
+    """Datasets of which some documents, not all, have a label."""
+    keys = ("dataset_name", "subset")
+    d = docs(spark, sf).select(*keys, "label")
+    required, seen = d.groupBy(*keys).agg(F.count("*").alias("expected")), d.where("label is not null").groupBy(*keys).agg(F.count("*").alias("observed"))
+    return reconcile.mismatch_labels(reconcile.reconciled(required, seen, keys), keys)
+
+
+@query(
+    f"""WITH {DOCS}, d AS (SELECT *, CASE WHEN n_chars % 4 = 0 THEN '' ELSE sample_id END AS path, CASE WHEN n_chars % 5 = 0 THEN 'unknown' ELSE bucket END AS name FROM docs)
+    SELECT dataset_name, count(*) AS num_records, count(*) FILTER (path = '') AS num_missing_image_path, count(*) FILTER (name = 'unknown') AS num_unknown_object, count(DISTINCT name) AS num_unique_objects,
+        CAST(sum(CAST(path = '' AS INT) + CAST(text IS NULL OR regexp_matches(text, '^\\s*$') AS INT) + CAST(label IS NULL AS INT)) AS BIGINT) AS num_null_required_fields FROM d GROUP BY dataset_name"""
+)
+def dataset_audit_gaps(spark, sf):
+    """The audit where paths are missing and objects unknown."""
+    n = F.col("n_chars")
+    d = docs(spark, sf).withColumn("image_path", F.when(n % 4 == 0, " ").otherwise(F.col("sample_id"))).withColumn("object_name", F.when(n % 5 == 0, "unknown").otherwise(F.col("bucket")))
+    a = quality.dataset_audit(d, ("dataset_name",), image="n_chars", question="text")
+    return a.select("dataset_name", "num_records", "num_missing_image_path", "num_unknown_object", "num_unique_objects", "num_null_required_fields")
