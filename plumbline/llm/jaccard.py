@@ -437,7 +437,8 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
             yield pa.array(out, type=pa.int64())
         give_back()
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sides = [pairs.select(F.col(c).alias("cls")).distinct() for c in ("a", "b")]  # a class may stand in many pairs
+    needed = sides[0].union(sides[1]).distinct()
     sets = sets.join(needed, "cls", "left_semi")  # by bucket: what no pair names isn't shuffled
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
