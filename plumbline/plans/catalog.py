@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, walk
 from ..functions import text as T
-from ..operators import bootstrap, cache_checks, experiment, gates, metrics, preflight, quality, reconcile, scoring, splits, tokens, vectors
+from ..operators import bootstrap, cache_checks, experiment, extraction, gates, metrics, preflight, quality, reconcile, scoring, splits, tokens, vectors
 from ..streaming import answers
 from .bindings import DOCS, EVT, LAYERS, VEC, curve_sql, docs, evt, split_sql, table, vec
 
@@ -988,3 +988,16 @@ def dataset_audit_gaps(spark, sf):
     d = docs(spark, sf).withColumn("image_path", F.when(n % 4 == 0, " ").otherwise(F.col("sample_id"))).withColumn("object_name", F.when(n % 5 == 0, "unknown").otherwise(F.col("bucket")))
     a = quality.dataset_audit(d, ("dataset_name",), image="n_chars", question="text")
     return a.select("dataset_name", "num_records", "num_missing_image_path", "num_unknown_object", "num_unique_objects", "num_null_required_fields")
+
+
+@query(
+    f"""WITH {DOCS}, m AS (SELECT DISTINCT o_orderstatus AS model_name FROM orders), r AS (SELECT dataset_name, subset, least(count(*), 10) AS num_records, count(label) AS n FROM docs GROUP BY ALL)
+    SELECT model_name, dataset_name, subset, num_records, CAST(ceil(num_records / 4.0) AS BIGINT) AS num_shards, '/cache/' || model_name || '/' || dataset_name || '/' || subset AS folder,
+        CASE WHEN model_name = 'F' AND n >= num_records THEN 'done' WHEN model_name = 'F' AND n > 0 THEN 'partial' ELSE 'planned' END AS state FROM m CROSS JOIN r"""
+)
+def extraction_plan(spark, sf):
+    """What a run over all documents would do for each model, with those done that have a label."""
+    d = docs(spark, sf)
+    models = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("model_name"))
+    done = d.where("label is not null").groupBy(F.lit("F").alias("model_name"), "dataset_name", "subset").agg(F.count("*").alias("n"))
+    return extraction.planned(d.withColumnRenamed("dataset_name", "source_dataset"), models, "/cache", rows_per_shard=4, limit=10, done=done)

@@ -54,6 +54,12 @@ class Store:
     def delete(self, path: str) -> None:
         self.fs.delete(self.at(path), True)
 
+    def rename(self, source: str, target: str) -> None:
+        """Parents of the target are made; a target that is there is an error."""
+        self.fs.mkdirs(self.at(target).getParent())
+        if not self.fs.rename(self.at(source), self.at(target)):
+            raise OSError(f"{source} could not be renamed to {target}")
+
     def write(self, path: str, text: str) -> None:
         """A reader sees the old text or the new one."""
         draft = self.at(f"{path}.{uuid.uuid4().hex}")
@@ -91,8 +97,8 @@ def publish(df: DataFrame, root: str, *, by: tuple[str, ...] = (), rows_per_file
         rows.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(f"{home}/data")
         wrote = seen.get["rows"]
         back = spark.read.schema(df.schema).parquet(f"{home}/data")
-        kinds = {f.name: f.dataType for f in spark.read.parquet(f"{home}/data").schema} if wrote else {}
-        odd = [f.name for f in df.schema if wrote and f.name not in by and kinds.get(f.name) != f.dataType]
+        kinds = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{home}/data").schema} if wrote else {}
+        odd = [f.name for f in df.schema if wrote and f.name not in by and kinds.get(f.name) != f.dataType.simpleString()]
         if odd:
             raise OSError(f"{home}: other types than were written: {', '.join(odd)}")
         counts = back.groupBy(F.col("_metadata.file_path").alias("file"), *by).agg(F.count("*").alias("rows"))
