@@ -4,7 +4,7 @@ Rows are counted by group, score and label. Ranges of scores, split by label, ar
 n draws go down it by binomials, each conditional on what its node was given and keyed by the seed and the node. So any
 task can work out, from the counts of the leaves alone, how many positives and negatives every replicate draws in and
 above its range: it needs no other task's rows. Inside a range the draws go to the cells, from the highest score on, by
-further conditional binomials. Counts add up to n in every replicate and depend on seed and table only.
+further conditional binomials. Counts add up to n in every replicate and depend on the seed, the table and the number of ranges only.
 
 A metric is a function of a ``Step``: what it adds up over the distinct scores, for all replicates at once. Its sums over
 ranges are its partial states; Spark adds them up. Only one range of one group is ever in a task, in blocks of ``BLOCK``.

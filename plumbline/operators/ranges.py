@@ -1,7 +1,7 @@
 """Order without a task that sees all rows: ranges of values, totals per range, and sums over the ranges before.
 
 Ranges are cut by a bounded sample of the values, those with the smallest hashes, so the same table is cut alike in every
-run. Where they are cut decides how work is dealt, never a result.
+run. Where they are cut decides how work is dealt and, of results, only which rows an exact bootstrap draws.
 """
 
 from __future__ import annotations
