@@ -125,6 +125,22 @@ def metric_grid(grid: DataFrame, metrics: DataFrame, keys: tuple[str, ...]) -> D
     return out.withColumn("failure_reason", F.when(empty, "no samples in evaluation scope").otherwise(F.col("failure_reason"))).withColumn("num_samples", F.coalesce("num_samples", F.lit(0).cast("long"))).withColumn("metric_status", F.coalesce("metric_status", F.lit("undefined")))
 
 
-def result_frame(df: DataFrame, defaults: dict[str, Column], order: str = "sample_id") -> DataFrame:
-    """Fixed columns in order: absent ones filled, sorted by sample id."""
-    return df.select(*[F.col(c) if c in df.columns else v.alias(c) for c, v in defaults.items()], *[c for c in df.columns if c not in defaults]).orderBy(order)
+# The columns of a result table and what stands for an absent one.
+RESULT_DEFAULTS = {"sample_id": None, "image_id": -1, "object_name": "", "subset": "", "label": 0, "prediction": 0, "score": 0.0, "fold": 0}
+
+
+def result_frame(df: DataFrame, defaults: dict[str, Column] | None = None, order: str = "sample_id", *, extra: tuple[str, ...] = (), place: str | None = None) -> DataFrame:
+    """Fixed columns in order: absent ones filled, sorted by sample id.
+
+    With no ``defaults``, the columns are those of a result table and then ``extra``, absent ones of which are ''; rows
+    without a sample id get one from their place in ascending order of the column ``place``, counted over ranges.
+    """
+    if defaults is not None:
+        return df.select(*[F.col(c) if c in df.columns else v.alias(c) for c, v in defaults.items()], *[c for c in df.columns if c not in defaults]).orderBy(order)
+    if "sample_id" not in df.columns:
+        if place is None:
+            raise ValueError("rows without a sample id need a column that orders them")
+        df = ranges.ordinals(df, (), place, name="__at").withColumn("sample_id", F.format_string("row-%06d", "__at"))
+    filled = [F.col(c) if c in df.columns else F.lit(v).alias(c) for c, v in RESULT_DEFAULTS.items() if c != "sample_id"]
+    more = [F.col(c) if c in df.columns else F.lit("").alias(c) for c in extra]
+    return df.select(F.col("sample_id").cast("string").alias("sample_id"), *filled, *more).orderBy("sample_id")

@@ -113,3 +113,18 @@ def sidecars(entries: DataFrame, shard: str, identity: tuple[str, ...], *, layer
 def knn_metric(variant: Column) -> Column:
     """The distance that a variant's neighbours are found by."""
     return F.when(F.startswith(variant, F.lit("Sphere-")), "angular").otherwise("euclidean")
+
+
+def balance_issues(balance: DataFrame, required: DataFrame, by: tuple[str, ...] = ("model_name", "dataset_name", "subset")) -> DataFrame:
+    """Issues of a table of label balances: the required keys that none of its rows has, blanks aside."""
+    seen = balance.select(*[text_or_null(c).alias(c) for c in by]).distinct()
+    lost = required.select(*by).distinct().join(seen, list(by), "left_anti")
+    return lost.select(F.lit("cache_label_balance.csv missing rows").alias("check"), F.concat_ws("/", *by).alias("item"), F.lit("").alias("detail"))
+
+
+def manifest_issues(summary: DataFrame, shards: DataFrame, first: int = 3) -> DataFrame:
+    """Issues of a cache's manifest (``status``; shards with ``errors``): a status that isn't passed, and its first errors."""
+    status = summary.where(~F.col("status").eqNullSafe(F.lit("passed"))).select(F.lit("cache_manifest status is not passed").alias("check"), F.coalesce("status", F.lit("")).alias("item"), F.lit("").alias("detail"))
+    errors = shards.select("path", F.posexplode("errors").alias("k", "error")).orderBy("path", "k").limit(first)
+    said = errors.agg(F.array_sort(F.collect_list(F.struct("path", "k", "error"))).alias("e")).where(F.size("e") > 0)
+    return status.unionByName(said.select(F.lit("cache_manifest errors present").alias("check"), F.lit("").alias("item"), F.array_join(F.transform("e", lambda e: F.concat(e["path"], F.lit(": "), e["error"])), "; ").alias("detail")))

@@ -84,6 +84,15 @@ def label_balance(df: DataFrame, by: tuple[str, ...], *, label: str = "label", p
     )
 
 
+def label_balance_of_specs(specs: DataFrame, balance: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """A row per spec, in its order: where it has no records, counts of them are 0, what is known of answers only is null, and both statuses are ``missing``."""
+    counts = ("num_records", "num_gt_yes", "num_gt_no", "num_invalid_label")
+    rest = [c for c in balance.columns if c not in (*by, *counts, "parsed_answer_status")]
+    out = specs.join(balance, list(by), "left")
+    gone = F.col("num_records").isNull()
+    return out.select(*specs.columns, F.when(gone, "missing").otherwise("present").alias("status"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], *rest, F.coalesce("parsed_answer_status", F.lit("missing")).alias("parsed_answer_status"))
+
+
 def cache_label_balance(df: DataFrame, by: tuple[str, ...], *, label: str = "label", parsed: str = "parsed") -> DataFrame:
     """As above per model and group; the denominator is the rows whose label is no."""
     y, p = F.col(label), F.col(parsed)

@@ -1001,3 +1001,33 @@ def extraction_plan(spark, sf):
     models = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("model_name"))
     done = d.where("label is not null").groupBy(F.lit("F").alias("model_name"), "dataset_name", "subset").agg(F.count("*").alias("n"))
     return extraction.planned(d.withColumnRenamed("dataset_name", "source_dataset"), models, "/cache", rows_per_shard=4, limit=10, done=done)
+
+
+@query(
+    f"""WITH {DOCS}, d AS (SELECT * FROM docs WHERE label IS NOT NULL), specs AS (SELECT DISTINCT dataset_name, subset FROM d UNION ALL SELECT 'absent', 'all')
+    SELECT dataset_name, subset, CASE WHEN count(d.doc_id) = 0 THEN 'missing' ELSE 'present' END AS status, count(d.doc_id) AS num_records, count(*) FILTER (label = 1) AS num_gt_yes, count(*) FILTER (label = 0) AS num_gt_no, CAST(0 AS BIGINT) AS num_invalid_label,
+        CASE WHEN count(d.doc_id) > 0 THEN count(*) FILTER (parsed = 1) END AS num_parsed_yes, CASE WHEN count(d.doc_id) > 0 THEN count(*) FILTER (parsed = label) END AS num_correct, CASE WHEN count(d.doc_id) = 0 THEN 'missing' ELSE 'available' END AS parsed_answer_status
+    FROM specs LEFT JOIN d USING (dataset_name, subset) GROUP BY dataset_name, subset"""
+)
+def label_balance_of_specs(spark, sf):
+    d, by = docs(spark, sf).where("label is not null"), ("dataset_name", "subset")
+    specs = d.select(*by).distinct().unionByName(spark.createDataFrame([("absent", "all")], "dataset_name string, subset string"))
+    out = quality.label_balance_of_specs(specs, quality.label_balance(d, by, has_field=F.lit(True)), by)
+    return out.select(*by, "status", "num_records", "num_gt_yes", "num_gt_no", "num_invalid_label", "num_parsed_yes", "num_correct", "parsed_answer_status")
+
+
+@query(
+    """SELECT 'row-' || lpad(CAST(row_number() OVER (ORDER BY event_id) - 1 AS VARCHAR), 6, '0') AS sample_id, -1 AS image_id, '' AS object_name, event_type AS subset, 0 AS label, 0 AS prediction, value AS score, 0 AS fold, '' AS note, CAST(user_id AS VARCHAR) AS user_key FROM events"""
+)
+def result_table(spark, sf):
+    """Events as a result table: ids from their place, absent columns filled."""
+    return metrics.result_frame(evt(spark, sf).select("event_id", "subset", "score", "user_key"), extra=("note", "user_key"), place="event_id")
+
+
+@query(f"{_SHARDS}, r AS (SELECT 'tiny' AS model_name, 'pope' AS dataset_name, unnest(['popular', 'random']) AS subset) SELECT 'cache_label_balance.csv missing rows' AS \"check\", 'tiny/pope/random' AS item, '' AS detail UNION ALL SELECT 'cache_manifest status is not passed', 'failed', '' WHERE (SELECT count(*) FROM m) > 0")
+def cache_issues(spark, sf):
+    """What a run would be told of the cache: a subset without label balances, and a manifest that did not pass."""
+    entries, sides = _cache(spark, sf)
+    shards, _, summary = cache_checks.validated(entries, sides, order="vec_id")
+    required = spark.createDataFrame([("tiny", "pope", "popular"), ("tiny", "pope", "random")], "model_name string, dataset_name string, subset string")
+    return preflight.balance_issues(entries, required).unionByName(preflight.manifest_issues(summary, shards, first=0))

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import extraction, scoring
+from plumbline.operators import extraction, metrics, preflight, scoring
 from plumbline.sources import ingest, readers, shards
 
 
@@ -160,3 +160,22 @@ def test_candidates_and_models(spark):
     m, f = frame(spark, [("a",), ("b",), (None,)], "path string"), frame(spark, [("b",), ("c",)], "path string")
     assert {r["path"]: r["listed"] for r in extraction.shard_candidates(m, f).collect()} == {"a": True, "b": True, "c": False}
     assert [r[0] for r in extraction.model_names(frame(spark, [("n",), (None,), ("m",), ("n",)], "model_name string")).collect()] == ["m", "n"]
+
+
+def test_result_tables_get_ids_and_defaults(spark):
+    df = frame(spark, [(k * 3 % 7, float(k)) for k in range(7)], "k int, score double")
+    got = metrics.result_frame(df, extra=("note",), place="k").collect()
+    assert got[0].asDict() == {"sample_id": "row-000000", "image_id": -1, "object_name": "", "subset": "", "label": 0, "prediction": 0, "score": 0.0, "fold": 0, "note": ""}
+    assert [r["sample_id"] for r in got] == [f"row-{k:06d}" for k in range(7)] and [r["score"] for r in got] == [0.0, 5.0, 3.0, 1.0, 6.0, 4.0, 2.0]
+    with pytest.raises(ValueError):
+        metrics.result_frame(df)
+    assert [r["sample_id"] for r in metrics.result_frame(frame(spark, [(5,), (12,)], "sample_id int")).collect()] == ["12", "5"]
+
+
+def test_issues_of_balances_and_manifests(spark):
+    kind = "model_name string, dataset_name string, subset string"
+    seen, need = frame(spark, [("m", " d ", "a"), (None, "d", "b")], kind), frame(spark, [("m", "d", "a"), ("m", "d", "b"), ("m", "d", "b")], kind)
+    assert [tuple(r) for r in preflight.balance_issues(seen, need).collect()] == [("cache_label_balance.csv missing rows", "m/d/b", "")]
+    s, p = frame(spark, [("failed",)], "status string"), frame(spark, [("b", ["x"]), ("a", ["y", "z"]), ("c", [])], "path string, errors array<string>")
+    assert [tuple(r) for r in preflight.manifest_issues(s, p, first=2).collect()] == [("cache_manifest status is not passed", "failed", ""), ("cache_manifest errors present", "", "a: y; a: z")]
+    assert preflight.manifest_issues(frame(spark, [("passed",)], "status string"), p.limit(0)).collect() == []
