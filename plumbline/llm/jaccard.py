@@ -561,15 +561,19 @@ class Prepared:
             self.sets.sparkSession.sql(f"DROP TABLE IF EXISTS {self.sets_name}")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """A row per row of ``docs``: ``doc_id``, ``key`` (of ``key_col``, or null), ``n_shingles``, ``component_id`` (smallest id that links reach), ``component`` (a number for it that needs no ids; null without words) and ``set_key``, the same for equal sets."""
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, width: int = WIDTH, threshold: int = THRESHOLD, nearest_rounds: int = 1) -> DataFrame:
+    """A row per row of ``docs``: ``doc_id``, ``key`` (of ``key_col``, or null), ``n_shingles``, ``component_id`` (smallest id that links reach), ``component`` (a number for it that needs no ids; null without words) and ``set_key``, the same for equal sets.
+
+    Before all pairs across components are looked at, ``nearest_rounds`` rounds link classes with their nearest across them.
+    The result is the same for any number: more rounds leave fewer pairs and cost a shuffle each.
+    """
     t = threshold
     p = Prepared(docs, id_col, text_col, width, t, key_col)
     if p.any:
         tried = stored(first_pairs(p.entries, t), "jaccard-tried")
         links = stored(verified(tried, p.sets, t).select("a", "b"), "jaccard-links")
         linked = components(links)
-        for nearest in (True, False):
+        for nearest in (*[True] * nearest_rounds, False):
             comps = linked.select(F.col("node").alias("cls"), F.col("label").alias("comp"))
             more = cross_pairs(contested(p.entries, comps, p.sets), t, nearest, p.parts)
             more = stored(more.join(tried, ["a", "b"], "left_anti"), "jaccard-tried")  # a pair is verified once

@@ -65,7 +65,7 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, threshold=90)
+    out = jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, threshold=90, nearest_rounds=2)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
