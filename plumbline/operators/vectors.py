@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,8 +66,6 @@ def trajectory(layers: Column, permutation: list[int] | None = None, normalise:
 
 def layer_permutation(n: int, seed: int = 20260506) -> list[int]:
     """A seeded order that is never the identity for n > 1."""
-    import numpy as np
-
     order = np.random.default_rng(seed).permutation(n).tolist()
     return order[1:] + order[:1] if n > 1 and order == list(range(n)) else order
 
@@ -86,7 +85,56 @@ def angular(a: Column, b: Column) -> Column:
 #: Values of a bank that may be sent to every task; a larger one is dealt in blocks.
 BANK_VALUES = 1 << 24
 #: Values of the queries that one task holds, about.
-QUERY_VALUES = 1 << 20
+QUERY_VALUES = 1 << 21
+#: Rows of the queries and of the bank that are multiplied at once.
+ASKED, MET = 512, 4096
+
+
+def _apart(x: np.ndarray, y: np.ndarray, angular: bool) -> np.ndarray:
+    """What rows are ordered by: the square of their distance, or the cosine with its sign turned."""
+    return -(x * y).sum(axis=1) if angular else ((y - x) ** 2).sum(axis=1)
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int, angular: bool = False) -> np.ndarray:
+    """The k smallest distances (all, if fewer) of each row of ``x`` to rows of ``y``, ascending.
+
+    A matrix product tells which rows may be among them, rounding allowed for; only those distances are worked out.
+    Rows that are not finite, or too large to be squared, are compared one by one.
+    """
+    k = min(k, len(y))
+    if angular:
+        x, y = (m / np.maximum(np.sqrt((m * m).sum(axis=1)), EPS)[:, None] for m in (x, y))
+    plain = lambda m: (np.abs(m) < 1e150).all(axis=1)
+    best, fit, bank = np.full((len(x), k), np.inf), plain(x), y[plain(y)]
+    if len(bank) < k:
+        fit[:] = False
+    for i in np.flatnonzero(~fit):
+        best[i] = np.partition(_apart(x[i], y, angular), k - 1)[:k]
+    rows, at = x[fit], np.flatnonzero(fit)
+    slack = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps
+    for first in range(0, len(rows), ASKED):
+        part = rows[first : first + ASKED]
+        near, own = np.full((len(part), k), np.inf), (part * part).sum(axis=1)
+        left = -part if angular else np.column_stack((-2 * part, np.ones(len(part))))
+        for start in range(0, len(bank), MET):
+            block = bank[start : start + MET]
+            size = (block * block).sum(axis=1)
+            about = left @ (block if angular else np.column_stack((block, size))).T  # less ``own`` where squares
+            room = slack * (own + size.max())
+            limit = near[:, -1] - (0 if angular else own)
+            if start == 0 and len(block) > k:
+                limit = np.partition(about, k - 1, axis=1)[:, k - 1] + room
+            i, j = np.divmod(np.flatnonzero(about <= (limit + room)[:, None]), len(block))
+            step = max(1, (1 << 22) // max(1, x.shape[1]))
+            found = [_apart(part[i[s : s + step]], block[j[s : s + step]], angular) for s in range(0, len(i), step)]
+            if found:
+                many = np.bincount(i, minlength=len(part))
+                more = np.full((len(part), many.max()), np.inf)
+                more[i, np.arange(len(i)) - (np.cumsum(many) - many)[i]] = np.concatenate(found)
+                near = np.partition(np.concatenate((near, more), axis=1), k - 1, axis=1)[:, :k]
+        best[at[first : first + ASKED]] = near
+    best = np.sort(best, axis=1)
+    return np.arccos(np.clip(-best, -1, 1)) / np.pi if angular else np.sqrt(best)
 
 
 def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int = 10, metric: str = "euclidean") -> DataFrame:
@@ -94,10 +142,10 @@ def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k:
 
     The distances are worked out in numpy: each bank block (of checked size) meets all queries and gives each its k
     smallest, which are merged per query. Rows that share a key are told apart by their vectors; equal ones are asked
-    once and given back as often as they stand there. Both sides are dealt in parts of bounded size, as many as it takes, so neither
-    must fit a task, and no pair of rows is ever a row.
+    once and given back as often as they stand there. Of equal bank rows k are enough. Both sides are dealt in parts of bounded size, as many
+    as it takes, and each pair of parts is a group with a partition of its own: neither side must fit a task, more rows are
+    more tasks instead of longer ones, and no pair of rows is ever a row.
     """
-    import numpy as np
     import pyarrow as pa
 
     size = bank.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
@@ -106,7 +154,8 @@ def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k:
     blocks = max(1, -(-size["n"] * size["d"] // BANK_VALUES))
     q = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     q = q.groupBy("key", "v").agg(F.count("*").alias("times")).withColumn("own", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
-    b = bank.select(F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    b = bank.select(F.col(vector).cast("array<double>").alias("v")).groupBy("v").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
+    b = b.select("v", F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("v", "block")
     key_type = q.schema["key"].dataType.simpleString()
 
     def matrix(c: pa.ChunkedArray) -> np.ndarray:
@@ -114,23 +163,18 @@ def knn_scores(bank: DataFrame, queries: DataFrame, *, key: str, vector: str, k:
         return np.asarray(a.flatten(), dtype=np.float64).reshape(len(a), -1) if len(a) else np.zeros((0, 0))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y, out, at = matrix(left.column("v")), matrix(right.column("v")), [], []
-        if metric == "angular":
-            if len(x) and len(y) and not (np.abs(x).sum(axis=1).all() and np.abs(y).sum(axis=1).all()):
-                raise ValueError("angular distance of a zero vector")
-            x, y = (m / np.maximum(np.sqrt((m * m).sum(axis=1)), EPS)[:, None] if len(m) else m for m in (x, y))
-        for i in range(len(x) if len(y) else 0):
-            d = np.arccos(np.clip(y @ x[i], -1, 1)) / np.pi if metric == "angular" else np.sqrt(((y - x[i]) ** 2).sum(axis=1))
-            near = np.sort(np.partition(d, k - 1)[:k] if len(d) > k else d)
-            out.append(near)
-            at += [i] * len(near)
-        asked = left.select(["key", "own", "times"]).take(pa.array(at, type=pa.int64()))
-        return asked.append_column("d", pa.array(np.concatenate(out) if out else [], type=pa.float64()))
+        x, y, angular = matrix(left.column("v")), matrix(right.column("v")), metric == "angular"
+        if angular and len(x) and len(y) and not (np.abs(x).sum(axis=1).all() and np.abs(y).sum(axis=1).all()):
+            raise ValueError("angular distance of a zero vector")
+        found = nearest(x, y, k, angular) if len(x) and len(y) else np.zeros((0, 0))
+        asked = left.select(["key", "own", "times"]).take(pa.array(np.repeat(np.arange(len(found)), found.shape[1]), type=pa.int64()))
+        return asked.append_column("d", pa.array(found.ravel(), type=pa.float64()))
 
     parts = max(bank.sparkSession.sparkContext.defaultParallelism, -(-queries.count() * size["d"] // QUERY_VALUES))
     dealt = q.withColumn("part", F.pmod(F.xxhash64("own"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     copies = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    found = dealt.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInArrow(meet, f"key {key_type}, own string, times long, d double")
+    groups = [df.repartition(4 * parts * blocks, "part", "block").groupBy("part", "block") for df in (dealt, copies)]  # not merged by their bytes: the work is in the pairs
+    found = groups[0].cogroup(groups[1]).applyInArrow(meet, f"key {key_type}, own string, times long, d double")
     rank = F.row_number().over(W.partitionBy("key", "own").orderBy("d"))
     near = found.withColumn("rn", rank).where(F.col("rn") <= k).groupBy("key", "own", "times").agg(F.avg("d").alias("score"))
     return near.select(F.col("key").alias(key), "score", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")

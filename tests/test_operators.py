@@ -290,6 +290,31 @@ def test_knn_in_blocks_equals_knn_in_one(spark, monkeypatch):
     assert [r["score"] for r in vectors.knn_scores(df, df, key="id", vector="v", k=4).orderBy("id").collect()] == pytest.approx([r["score"] for r in one])
 
 
+def test_nearest_equals_every_distance(monkeypatch):
+    monkeypatch.setattr(vectors, "ASKED", 7)
+    monkeypatch.setattr(vectors, "MET", 16)
+    rng = np.random.default_rng(3)
+    y = np.concatenate((rng.normal(size=(50, 3)), np.ones((40, 3)), rng.normal(size=(30, 3)) * 1e-7 + 5, [[1e9, 0, 0]]))
+    x = np.concatenate((y[::3], rng.normal(size=(9, 3))))
+    odd = np.array([[math.nan, 0, 0], [math.inf, 0, 0], [1e200, 0, 0]])
+    with np.errstate(all="ignore"):
+        for a, b in ((x, y), (np.concatenate((x, odd)), np.concatenate((odd, y))), (x, y[:2]), (x, np.concatenate((odd, y[:2])))):
+            want = np.sort(np.sqrt(((b[None] - a[:, None]) ** 2).sum(axis=2)), axis=1)[:, :5]
+            assert np.array_equal(vectors.nearest(a, b, 5), want, equal_nan=True)
+    unit = [m / np.sqrt((m * m).sum(axis=1))[:, None] for m in (x, y)]
+    want = np.sort(np.arccos(np.clip(unit[0] @ unit[1].T, -1, 1)) / np.pi, axis=1)[:, :5]
+    assert vectors.nearest(x, y, 5, True) == pytest.approx(want, abs=1e-7)
+
+
+def test_parts_of_knn_keep_tasks_of_their_own(spark, monkeypatch):
+    """Few bytes can be much work: pairs of parts must not be merged into one task by their size."""
+    monkeypatch.setattr(vectors, "QUERY_VALUES", 4)
+    df = frame(spark, [(k, [float(k % 20), 1.0]) for k in range(60)], "id long, v array<double>")
+    out = vectors.knn_scores(df, df, key="id", vector="v", k=3)
+    assert out._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 2
+    assert {r["score"] for r in out.collect()} == {0.0}  # three copies of each
+
+
 def test_token_readouts(spark):
     hidden = [[[float(10 * layer + t)] for t in range(4)] for layer in range(3)]
     df = frame(spark, [(hidden,)], "h array<array<array<double>>>")
