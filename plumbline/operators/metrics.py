@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import ranges
+from . import bootstrap, ranges
+from .tables import stored
 from .vectors import held
 
 NAN = float("nan")
@@ -97,14 +105,124 @@ def resample_weight(seed: int, replicate: Column, key: Column) -> Column:
     return held(u, lambda u: sum(((u >= step).cast("int") for step in poisson_steps()), F.lit(0)))
 
 
+def hashed_weights(seed: int, replicates: int, keys: list[str | None]) -> np.ndarray:
+    """``resample_weight`` of keys (rows) in all replicates (columns)."""
+    heads = [f"{seed}:{r}".encode() for r in range(replicates)]
+    tails = [b"" if k is None else b":" + k.encode() for k in keys]
+    digests = b"".join([hashlib.md5(h + t, usedforsecurity=False).digest()[:4] for t in tails for h in heads])
+    u, out = np.frombuffer(digests, dtype=">u4").astype(np.uint32), np.zeros(len(keys) * replicates, dtype=np.int16)
+    for step in poisson_steps():
+        out += u >= np.uint32(math.ceil(step * 2**32))
+    return out.reshape(len(keys), replicates)
+
+
+#: Rows whose draws are worked out at once, replicates of one group, scores of a group that are swept at once, and draws of a task.
+ROWS, WIDTH, SWEPT, DRAWS = 256, 250, 1024, 1 << 24
+
+
+def _starts(table: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
+    """Where runs of equal values of the columns start, nulls and NaN equal to themselves."""
+    new = np.zeros(len(table), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        v = table.column(c).combine_chunks()
+        if pa.types.is_floating(v.type):
+            null, x = v.is_null().to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False)
+            new[1:] |= (null[1:] != null[:-1]) | ((x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1])))
+        else:
+            x = v.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _lists(c: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return np.concatenate([a.flatten().to_numpy().reshape(len(a), -1) for a in c.chunks if len(a)])
+
+
+def _weighted_cells(rows: DataFrame, by: tuple[str, ...], replicates: int, seed: int) -> DataFrame:
+    """``by``, ``__part``, ``score``, ``first`` (replicate), ``whole``, and how often ``WIDTH`` replicates draw hits ``p`` and misses ``n`` there.
+
+    A row with ``whole`` is of all scores of a range; several rows of one cell add up.
+    """
+    kinds = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by])
+    schema = f"{kinds}{', ' if by else ''}__part int, score double, first int, whole boolean, p array<smallint>, n array<smallint>"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), ROWS):
+                t = pa.Table.from_batches([batch.slice(start, ROWS)])
+                w, y = hashed_weights(seed, replicates, t.column("__key").to_pylist()), t.column("y").combine_chunks()
+                sides = [w * pc.fill_null(pc.equal(y, k), False).to_numpy(zero_copy_only=False)[:, None] for k in (1, 0)]
+                for whole, columns in ((False, (*by, "__part", "score")), (True, (*by, "__part"))):
+                    at = _starts(t, columns)
+                    p, n = (np.add.reduceat(x, at, axis=0, dtype=np.int16) for x in sides)
+                    cells = t.take(pa.array(at)).select([*by, "__part"])
+                    score = t.column("score").take(pa.array(at)) if not whole else pa.nulls(len(at), pa.float64())
+                    for first in range(0, replicates, WIDTH):
+                        one = cells.append_column("score", score).append_column("first", pa.array(np.full(len(at), first, dtype=np.int32))).append_column("whole", pa.array(np.full(len(at), whole)))
+                        for name, x in (("p", p), ("n", n)):
+                            x = x[:, first : first + WIDTH]
+                            ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1])
+                            one = one.append_column(name, pa.ListArray.from_arrays(ends, pa.array(x.ravel())))
+                        yield from one.combine_chunks().to_batches()
+
+    return rows.mapInArrow(draw, schema)
+
+
+def _replicates(rows: DataFrame, by: tuple[str, ...], replicates: int, seed: int) -> DataFrame:
+    """``by``, ``replicate``, ``roc_auc``, ``pr_auc``; NaN where a replicate has one class."""
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in by)
+    cells = stored(_weighted_cells(rows, by, replicates, seed), "bootstrap-cells")
+    group = (*by, "__part", "first")
+
+    def named(t: pa.Table, columns: tuple[str, ...], **lists: np.ndarray) -> pa.Table:
+        return pa.table({c: t.column(c).slice(0, 1) for c in columns} | {k: pa.array([v], pa.list_(pa.float64())) for k, v in lists.items()})
+
+    def added(t: pa.Table) -> pa.Table:
+        return named(t, group, p=_lists(t.column("p")).sum(axis=0, dtype=np.int64), n=_lists(t.column("n")).sum(axis=0, dtype=np.int64))
+
+    def above(t: pa.Table) -> pa.Table:  # a row for each range
+        t = t.sort_by([("__part", "descending")])
+        p, n = (np.array(t.column(c).to_pylist()) for c in ("p", "n"))
+        lists = {"tp": p.cumsum(axis=0) - p, "fp": n.cumsum(axis=0) - n, "pos": [p.sum(axis=0)] * len(t), "neg": [n.sum(axis=0)] * len(t)}
+        return pa.table({c: t.column(c) for c in group} | {k: pa.array(list(v), pa.list_(pa.float64())) for k, v in lists.items()})
+
+    def sweep(t: pa.Table, ends: pa.Table) -> pa.Table:
+        null = t.column("score").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        score = t.column("score").to_numpy()
+        t = t.take(pa.array(np.lexsort((-score, ~np.isnan(score), null))))  # NaN first, nulls last
+        at = _starts(t, ("score",))
+        p, n = (np.add.reduceat(_lists(t.column(c)), at, axis=0, dtype=np.int64) for c in ("p", "n"))
+        tp, fp, pos, neg = (np.array(ends.column(c)[0].as_py()) for c in ("tp", "fp", "pos", "neg"))
+        pos, neg = (np.where((pos > 0) & (neg > 0), x, np.nan) for x in (pos, neg))
+        out = {m: np.zeros(p.shape[1]) for m in bootstrap.BOTH}
+        for i in range(0, len(at), SWEPT):
+            a, b = p[i : i + SWEPT], n[i : i + SWEPT]
+            step = bootstrap.Step(a, b, tp + a.cumsum(axis=0), fp + b.cumsum(axis=0), pos, neg)
+            tp, fp = step.tp[-1], step.fp[-1]
+            for m, f in bootstrap.BOTH.items():
+                out[m] += f(step).sum(axis=0)
+        return named(t, (*by, "first"), **out)
+
+    whole = cells.where("whole").groupBy(*group).applyInArrow(added, f"{kinds}__part int, first int, p array<double>, n array<double>")
+    ends = whole.groupBy(*by, "first").applyInArrow(above, f"{kinds}__part int, first int, tp array<double>, fp array<double>, pos array<double>, neg array<double>")
+    swept = cells.where("not whole").groupBy(*group).cogroup(ends.groupBy(*group)).applyInArrow(sweep, f"{kinds}first int, roc_auc array<double>, pr_auc array<double>")
+    long = swept.select(*by, "first", F.posexplode(F.arrays_zip("roc_auc", "pr_auc")).alias("i", "m"))
+    return long.groupBy(*by, (F.col("first") + F.col("i")).alias("replicate")).agg(F.sum("m.roc_auc").alias("roc_auc"), F.sum("m.pr_auc").alias("pr_auc"))
+
+
 def bootstrap_intervals(df: DataFrame, by: tuple[str, ...], *, key: str, label: str = "y", score: str = "score", replicates: int = 1000, confidence: float = 0.95, seed: int = 20260506) -> DataFrame:
     """Percentile intervals of roc_auc and pr_auc; replicates with one class are left out.
 
-    Draws are Poisson weights, row by row, so a replicate's size varies around that of the table. Rows with the same score and label are added up per replicate before any ordering.
+    Draws are Poisson weights, row by row, so a replicate's size varies around that of the table. A task works out all replicates of its rows,
+    sorted by score, and adds them up per score; replicates then go through ranges of scores side by side, so no draw is ever a row.
     """
-    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: resample_weight(seed, r, F.col(key)))
-    drawn = df.select(*by, label, score, F.posexplode(draws).alias("replicate", "__w")).where("__w > 0")
-    each = ranking_metrics(drawn, (*by, "replicate"), label=label, score=score, weight="__w").where("metric_status = 'ok'")
+    rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y"), F.col(key).cast("string").alias("__key"))
+    rows = rows.withColumn("__part", ranges.range_of(F.col("score"), ranges.cuts(rows.select("score"), "score")).cast("int"))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * replicates // DRAWS))
+    rows = rows.repartitionByRange(parts, *by, "score", "__key").sortWithinPartitions(*by, "score")
+    each = _replicates(rows, by, replicates, seed).where(~F.isnan("roc_auc"))
     low, high = (1 - confidence) / 2, (1 + confidence) / 2
     out = []
     for m in ("roc_auc", "pr_auc"):

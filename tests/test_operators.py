@@ -481,3 +481,24 @@ def test_budget_lock_and_reasons(tmp_path):
     with runtime.output_lock(str(tmp_path)):
         pass
     assert runtime.partial_reasons(runtime.RunConfig(bootstrap=8), subsets={"a"}, wanted={"a", "b"}, limit=3) == ["subset b is missing", "limited to 3 rows a subset", "8 bootstrap replicates"]
+
+
+def test_hashed_weights_are_the_column_s(spark):
+    keys = ["a", "7", "", None, "é" * 40]
+    got = metrics.hashed_weights(5, 30, keys)
+    df = frame(spark, [(r, k) for k in keys for r in range(30)], "r int, k string")
+    assert [r[0] for r in df.select(metrics.resample_weight(5, F.col("r"), F.col("k"))).collect()] == got.ravel().tolist()
+
+
+def test_bootstrap_of_ranges_and_blocks_equals_metrics_of_the_draws(spark, monkeypatch):
+    """Replicates side by side, in blocks, over batches that cut runs of equal scores; null scores lowest, NaN highest."""
+    for name, n in (("ROWS", 7), ("WIDTH", 4), ("SWEPT", 2)):
+        monkeypatch.setattr(metrics, name, n)
+    score = lambda k: None if k % 11 == 0 else math.nan if k % 13 == 0 else float(k % 6)
+    df = frame(spark, [(k, "ab"[k % 2] if k % 5 else None, k * 7 % 3 % 2, score(k)) for k in range(90)] + [(90, "c", 1, 0.5)], "id long, g string, y int, score double")
+    drawn = df.select("g", "y", "score", "id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("r")).withColumn("w", metrics.resample_weight(9, F.col("r"), F.col("id"))).where("w > 0")
+    want = metrics.ranking_metrics(drawn, ("g", "r"), weight="w").where("metric_status = 'ok'").groupBy("g").agg(F.count("*").alias("n"), F.avg("roc_auc").alias("roc"), F.avg("pr_auc").alias("pr"))
+    got = metrics.bootstrap_intervals(df, ("g",), key="id", replicates=10, seed=9)
+    order = lambda rows: sorted(rows, key=str)
+    for a, b in zip(order(got.select("g", "num_bootstrap", "roc_auc_mean", "pr_auc_mean").collect()), order(want.collect()), strict=True):
+        assert tuple(a)[:2] == tuple(b)[:2] and tuple(a)[2:] == pytest.approx(tuple(b)[2:])
