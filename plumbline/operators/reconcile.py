@@ -110,13 +110,25 @@ def overlap_counts(left: DataFrame, right: DataFrame, keys: dict[str, tuple[str,
     return long(left, pair[0]).join(long(right, pair[1]), ["key", "value"]).groupBy("key", *pair).agg(F.count("*").alias("n"))
 
 
+def first_ids(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """``by`` and ``__most``: a key below which, itself included, a group has ``n`` distinct keys and not many more; null where all may be needed.
+
+    It is the n-th smallest of the least keys of 4 n hash buckets, so a task holds 4 n keys of each group, not its rows.
+    """
+    least = df.groupBy(by, F.pmod(F.xxhash64(key), F.lit(4 * n)).alias("__bucket")).agg(F.min(key).alias("__least"))
+    return least.groupBy(by).agg(F.try_element_at(F.array_sort(F.collect_list("__least")), F.lit(n)).alias("__most"))
+
+
 def reference_candidates(images: DataFrame, categories: DataFrame, annotations: DataFrame, *, allowed: DataFrame, excluded: DataFrame, cap: int | None = None) -> DataFrame:
     """``image_id``, ``file_name``, ``object_names`` of images with an allowed object; each object counts on its first ``cap`` images by id only.
 
     ``images``: image_id, file_name; ``categories``: category_id, name; ``annotations``: image_id, category_id;
     ``allowed``: name; ``excluded``: image_id.
     """
-    pairs = annotations.join(categories, "category_id").join(allowed.distinct(), "name", "left_semi").join(excluded, "image_id", "left_anti").select("image_id", "name").distinct()
+    pairs = annotations.join(categories, "category_id").join(allowed.distinct(), "name", "left_semi").join(excluded, "image_id", "left_anti").select("image_id", "name")
+    if cap is not None:
+        pairs = joined(pairs, first_ids(pairs, "name", "image_id", cap), ("name",)).where(F.col("__most").isNull() | (F.col("image_id") <= F.col("__most"))).drop("__most")
+    pairs = pairs.distinct()
     if cap is not None:
         w = W.partitionBy("name").orderBy("image_id")
         pairs = pairs.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cap).drop("__rn")

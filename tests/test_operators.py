@@ -502,3 +502,19 @@ def test_bootstrap_of_ranges_and_blocks_equals_metrics_of_the_draws(spark, monke
     order = lambda rows: sorted(rows, key=str)
     for a, b in zip(order(got.select("g", "num_bootstrap", "roc_auc_mean", "pr_auc_mean").collect()), order(want.collect()), strict=True):
         assert tuple(a)[:2] == tuple(b)[:2] and tuple(a)[2:] == pytest.approx(tuple(b)[2:])
+
+
+def test_cap_orders_only_the_first_ids_of_each_object(spark):
+    """What is made distinct and ordered is about ``cap`` rows a name, however many images have it."""
+    notes = frame(spark, [(i * 37 % 1000, i % 3) for i in range(6000)] + [(5, 3), (5, 3)], "image_id int, category_id int")
+    names = frame(spark, [(0, "a"), (1, "b"), (2, "a"), (3, "c")], "category_id int, name string")
+    images = frame(spark, [(i, f"{i}.jpg") for i in range(1000)], "image_id int, file_name string")
+    excluded = frame(spark, [(0,), (3,)], "image_id int")
+    got = reconcile.reference_candidates(images, names, notes, allowed=names.select("name"), excluded=excluded, cap=4)
+    want, have = {}, {(i * 37 % 1000, "aba"[i % 3]) for i in range(6000)} | {(5, "c")}
+    for name in "abc":
+        for i in sorted(i for i, n in have if n == name and i not in (0, 3))[:4]:
+            want.setdefault(i, []).append(name)
+    assert {r["image_id"]: r["object_names"] for r in got.collect()} == want
+    ends = {r["name"]: r["__most"] for r in reconcile.first_ids(notes.join(names, "category_id"), "name", "image_id", 4).collect()}
+    assert ends["c"] is None and all(3 <= ends[n] < 100 for n in "ab")
