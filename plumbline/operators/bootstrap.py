@@ -126,12 +126,15 @@ def _states(df: DataFrame, by: tuple[str, ...], label: str, score: str, metrics:
     leaves = cells.groupBy(*by, "__part", "y").agg(F.sum("c").alias("c")).groupBy(*by).agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))  # two for each range
     kinds = [(k, df.schema[k].dataType.simpleString()) for k in by]
 
-    def run(cells: pa.Table) -> pa.Table:
-        out = swept(cells, cells.column("leaves")[0].as_py(), metrics, replicates, seed)
+    def run(cells: pa.Table, leaves: pa.Table) -> pa.Table:
+        out = swept(cells, leaves.column("leaves")[0].as_py(), metrics, replicates, seed)
         return pa.table({k: cells.column(k).slice(0, 1) for k in by} | {k: pa.array([v], pa.list_(pa.float64())) for k, v in out.items()})
 
     schema = ", ".join([f"`{k}` {t}" for k, t in kinds] + [f"{k} array<double>" for k in metrics])
-    each = ranges.joined(cells, leaves, by).groupBy(*by, "__part").applyInArrow(run, schema)
+    each_part = leaves.select(*by, "leaves", F.explode(F.array_distinct(F.transform("leaves", lambda x: x["part"]))).alias("__part"))  # a row for each range, not for each cell
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism  # not fewer for few bytes: the work is in the draws
+    groups = [x.repartition(tasks, *by, "__part").groupBy(*by, "__part") for x in (cells, each_part)]
+    each = groups[0].cogroup(groups[1]).applyInArrow(run, schema)
     long = each.select(*by, F.posexplode(F.arrays_zip(*metrics)).alias("replicate", "m"))
     return long.groupBy(*by, "replicate").agg(*(F.sum(f"m.{k}").alias(k) for k in metrics))
 

@@ -93,6 +93,13 @@ def test_draws_add_up_and_are_repeatable():
     assert (sum(cells) == m).all() and np.mean(cells[0]) == pytest.approx(3, abs=0.5)
 
 
+def test_ranges_of_an_exact_bootstrap_keep_tasks_of_their_own(spark):
+    """Few bytes can be many draws; and the counts of all ranges go along with a range, not with each of its cells."""
+    df = spark.range(50).select((F.col("id") % 2).alias("y"), F.col("id").cast("double").alias("score"), F.lit("a").alias("g"))
+    plan = bootstrap.intervals(df, ("g",), replicates=5)._jdf.queryExecution().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_exact_bootstrap_equals_a_plain_version(spark):
     """The same draws, row counts and metrics, without Spark and without running sums."""
     rng = np.random.default_rng(8)
