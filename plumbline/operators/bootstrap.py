@@ -131,9 +131,10 @@ def _states(df: DataFrame, by: tuple[str, ...], label: str, score: str, metrics:
         return pa.table({k: cells.column(k).slice(0, 1) for k in by} | {k: pa.array([v], pa.list_(pa.float64())) for k, v in out.items()})
 
     schema = ", ".join([f"`{k}` {t}" for k, t in kinds] + [f"{k} array<double>" for k in metrics])
-    each_part = leaves.select(*by, "leaves", F.explode(F.array_distinct(F.transform("leaves", lambda x: x["part"]))).alias("__part"))  # a row for each range, not for each cell
+    own = {k: f"__r_{k}" for k in (*by, "__part")}  # both sides come from the same rows: a column that is in both is ambiguous where the plan has a join
+    each_part = leaves.withColumn("__part", F.explode(F.array_distinct(F.transform("leaves", lambda x: x["part"])))).select(*(F.col(k).alias(x) for k, x in own.items()), "leaves")  # a row for each range, not for each cell
     tasks = 4 * df.sparkSession.sparkContext.defaultParallelism  # not fewer for few bytes: the work is in the draws
-    groups = [x.repartition(tasks, *by, "__part").groupBy(*by, "__part") for x in (cells, each_part)]
+    groups = [x.repartition(tasks, *keys).groupBy(*keys) for x, keys in ((cells, own), (each_part, own.values()))]
     each = groups[0].cogroup(groups[1]).applyInArrow(run, schema)
     long = each.select(*by, F.posexplode(F.arrays_zip(*metrics)).alias("replicate", "m"))
     return long.groupBy(*by, "replicate").agg(*(F.sum(f"m.{k}").alias(k) for k in metrics))

@@ -100,6 +100,20 @@ def test_ranges_of_an_exact_bootstrap_keep_tasks_of_their_own(spark):
     assert plan.count("REPARTITION_BY_NUM") >= 2 and "FlatMapCoGroupsInArrow" in plan
 
 
+def test_an_exact_bootstrap_takes_rows_of_a_join(spark):
+    """And draws for them what it draws for the same rows without one; groups may be null."""
+    rows = [(("a", "b", None)[k % 3], float(k % 5), int(k % 7 < 3)) for k in range(60)]
+    df = frame(spark, rows, "g string, score double, y int")
+    names = frame(spark, [("a", "x"), ("b", "y")], "g string, name string")
+    values = lambda d: {(r["g"], r["metric"]): pytest.approx([r[c] for c in ("value", "mean", "lower", "upper", "num_bootstrap")]) for r in d.collect()}
+    want = {k: v.expected for k, v in values(bootstrap.intervals(df, ("g",), replicates=5, parts=3)).items()}
+    assert {g for g, _ in want} == {"a", "b", None} and {v[-1] for v in want.values()} == {5}
+    named = df.join(names, "g", "left")
+    assert values(bootstrap.intervals(named, ("g",), replicates=5, parts=3)) == want
+    got = bootstrap.intervals(named.select(F.col("name").alias("n"), "g", "score", "y"), ("n", "g"), replicates=5, parts=3)
+    assert values(got) == want and {(r["n"], r["g"]) for r in got.select("n", "g").collect()} == {("x", "a"), ("y", "b"), (None, None)}
+
+
 def test_exact_bootstrap_equals_a_plain_version(spark):
     """The same draws, row counts and metrics, without Spark and without running sums."""
     rng = np.random.default_rng(8)
